@@ -81,3 +81,31 @@ def attach(df: DataFrame, stats: DataFrame, key: str, salt: str = "__salt", how:
     a hot group is spread over as many tasks as there are salts."""
     spread = stats.withColumn(salt, F.explode("__salts")).drop("__salts")
     return df.join(spread, [key, salt], how).drop(salt)
+
+
+def join_bounded(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = 100_000, rows: int | None = None) -> DataFrame:
+    """Joins with a table that has one row for each key.  Up to ``limit`` rows (counted, not
+    guessed) it is broadcast; beyond that Spark's own join is used, split by AQE.  Null keys match."""
+    n = small.count() if rows is None else rows
+    renamed = small.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    on = [df[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys]
+    out = df.join(F.broadcast(renamed) if n <= limit else renamed, on, how)
+    return out.drop(*[f"__r_{k}" for k in keys])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of the undirected edges (a, b), distributed: (node, root) for each
+    node of an edge, root being the smallest node reachable.  Every round takes the smallest
+    label among neighbours and then the label's own label, so rounds grow with the logarithm
+    of a component's diameter; each round is cut."""
+    edges = edges.where("a is not null and b is not null and a <> b")
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = labels.join(near, "node").select("node", F.least("root", "near").alias("next"), F.col("root").alias("was"))
+        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        labels = cut(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), "was"))
+        if labels.where("root <> was").isEmpty():
+            return labels.select("node", "root")
+        labels = labels.select("node", "root")

@@ -1,9 +1,10 @@
 """The registered queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import exact_dedup, warc
+from . import exact_dedup, simhash, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op4_simhash": simhash.op4_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
