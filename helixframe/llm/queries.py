@@ -1,11 +1,12 @@
 """The registered queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import exact_dedup, language, mixing, simhash, warc
+from . import exact_dedup, language, mixing, pii, simhash, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_language": language.op5_language,
+    "op6_pii": pii.op6_pii,
     "op9_mixing": mixing.op9_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
