@@ -1,9 +1,10 @@
 """The registered queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import exact_dedup, language, mixing, pii, simhash, warc
+from . import decontaminate, exact_dedup, language, mixing, pii, simhash, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_language": language.op5_language,
     "op6_pii": pii.op6_pii,
