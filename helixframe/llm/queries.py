@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, exact_dedup, language, mixing, pii, simhash, warc
+from . import decontaminate, exact_dedup, language, mixing, pii, quality, simhash, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_language": language.op5_language,
     "op6_pii": pii.op6_pii,
+    "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
