@@ -1,8 +1,9 @@
 """The registered queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, exact_dedup, language, mixing, pii, quality, simhash, warc
+from . import decontaminate, exact_dedup, language, mixing, packing, pii, quality, simhash, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_warc": warc.op2_warc,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,

@@ -95,18 +95,6 @@ def pack_archive(records: list[bytes]) -> bytes:
     return head + b"".join(map(packer.compress, records))
 
 
-def put(uri: str, name: str, data: bytes) -> None:
-    """Writes one file by a temporary name and a rename: a lost or repeated task leaves no half file."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(uri)
-    store.create_dir(root, recursive=True)
-    tmp = f"{root}/_{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
-    with store.open_output_stream(tmp) as f:
-        f.write(data)
-    store.move(tmp, f"{root}/{name}")
-
-
 def write_archives(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes (page_id, url, payload binary, revisit, refers_to) as archives below ``uri``;
     lazily returns a manifest (archive, n_records, n_bytes)."""
@@ -117,7 +105,7 @@ def write_archives(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES) ->
         def flush():
             nonlocal n, held, size
             name, data = f"part-{part:06d}-{n:05d}.warc.zst", pack_archive(held)
-            put(uri, name, data)
+            common.put(uri, name, data)
             row = pa.RecordBatch.from_pydict({"archive": [name], "n_records": [len(held)], "n_bytes": [len(data)]})
             n, held, size = n + 1, [], 0
             return row
