@@ -122,3 +122,25 @@ def put(uri: str, name: str, data: bytes) -> None:
     with store.open_output_stream(tmp) as f:
         f.write(data)
     store.move(tmp, f"{root}/{name}")
+
+
+class Store:
+    """Parquet tables in the shared folder that live until :meth:`drop`: for what is read
+    more than once, by column, and is too large for a checkpoint."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        release(self.spark)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = []
