@@ -203,25 +203,15 @@ class Index:
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each document and the items found in it."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n_blocks = max(1, -(-items.count() // (INDEX_ITEMS // 2)))
     out = None
-    for k in range(n_blocks):  # a block holds about half of INDEX_ITEMS
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        index = Index(sorted(map(tuple, block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+    for index in indexes(items, threshold, overlap):
 
         def task(batches: Iterator[pa.RecordBatch], ix=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                done, rows = 0, []
-                for data, offsets in tokens.chunks(b.column(1)):
-                    _, _, h, doc = tokens.split(data, offsets, signs=False)
-                    for (d, item), r in ix.search(h, doc).items():
-                        rows.append((b.column(0)[done + d].as_py(), ix.ids[item], *r))
-                    done += len(offsets) - 1
+                rows = [(b.column(0)[d].as_py(), ix.ids[item], *r) for d, item, r in found(ix, b.column(1))]
                 if rows:
                     types = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -231,5 +221,41 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     return out
 
 
+def indexes(items: DataFrame, threshold: float, overlap: float) -> Iterator[Index]:
+    """The items' indexes, one for each block of about half of INDEX_ITEMS items."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    n_blocks = max(1, -(-items.count() // (INDEX_ITEMS // 2)))
+    for k in range(n_blocks):
+        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+        yield Index(sorted(map(tuple, block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), threshold, overlap)
+
+
+def found(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
+    """(row of ``texts``, item, (score, question and answer overlap))."""
+    done = 0
+    for data, offsets in tokens.chunks(texts):
+        _, _, h, doc = tokens.split(data, offsets, signs=False)
+        for (d, item), r in index.search(h, doc).items():
+            yield done + d, item, r
+        done += len(offsets) - 1
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no item is found, in place: nothing is joined or shuffled."""
+    common.small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    for index in indexes(items, threshold, overlap):
+
+        def task(batches: Iterator[pa.RecordBatch], ix=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for d, _, _ in found(ix, b.column(at)):
+                    keep[d] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(task, docs.schema)
+    return docs
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

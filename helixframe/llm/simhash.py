@@ -108,7 +108,7 @@ def bit_counts(reps: DataFrame, lane: int) -> tuple[int, np.ndarray]:
             n += len(fp)
         yield pa.RecordBatch.from_pydict({"cell": np.append(np.arange(4096), -1), "n": np.append(total.ravel(), n)})
 
-    sums = reps.select(F.col("fp")[lane].alias("fp")).mapInArrow(task, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = reps.select(reps.columns[1 + lane]).mapInArrow(task, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     got = dict(map(tuple, sums.collect()))  # 4097 rows at any size
     return got.get(-1, 0), np.array([got.get(i, 0) for i in range(4096)], np.float64).reshape(64, 64)
 
@@ -220,101 +220,134 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.T
 
 
 EDGE = "a long, b long"
+#: Buckets up to this size are compared as arrays of equal buckets, larger ones one by one.
+SMALL = 16
 
 
 def bucket_edges(tau: int):
-    """mapInArrow over (pid, key, rep, fp) sorted by (pid, key): edges between representatives."""
+    """mapInArrow over (key, rep, f0, f1, ...) sorted by key: edges between representatives."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, 2):
-            pid, key, rep = (t.column(i).to_numpy() for i in range(3))
-            starts = np.flatnonzero(np.r_[True, (pid[1:] != pid[:-1]) | (key[1:] != key[:-1])])
-            sizes = np.diff(np.r_[starts, len(pid)])
+        for t in sorted_groups(batches, 1):
+            key, rep, *lanes = (t.column(i).to_numpy() for i in range(t.num_columns))
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
             if (sizes < 2).all():
                 continue
-            flat = t.column(3).combine_chunks()
-            fp = flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(pid), -1)
+            fp = np.stack(lanes, axis=1).view(np.uint64)
             a, b = [], []
-            for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                if n == 2:
-                    if np.bitwise_count(fp[s] ^ fp[s + 1]).sum() <= tau:
-                        a.append(rep[s])
-                        b.append(rep[s + 1])
-                else:
-                    for x, y in forest(fp[s : s + n], tau):
-                        a.append(rep[s + x])
-                        b.append(rep[s + y])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
+            for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+                at = starts[sizes == n]
+                for i in range(n):
+                    for j in range(i):
+                        near = np.bitwise_count(fp[at + i] ^ fp[at + j]).sum(axis=1) <= tau
+                        a.append(rep[at[near] + i])
+                        b.append(rep[at[near] + j])
+            for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+                if edges := forest(fp[s : s + n], tau):
+                    x, y = np.array(edges).T
+                    a.append(rep[s + x])
+                    b.append(rep[s + y])
+            if sum(map(len, a)):
+                a, b = np.concatenate(a), np.concatenate(b)
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return task
 
 
+def hashed(pid: int, value: np.ndarray) -> np.ndarray:
+    """A partition's value as a bucket key; unrelated values that collide cost a comparison, no more."""
+    return scramble(value, pid + 1).view(np.int64)
+
+
 def signatures(reps: DataFrame, lane: int, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(pid, key, rep, fp): every representative under each key of each partition."""
+    """(key, rep, f0, f1, ...): every representative under each key of each partition."""
     jobs = [(i, np.uint64(sum(1 << b for b in bits)), flips(bits, t)) for i, (bits, t) in enumerate(plan)]
+    names = ["key", *reps.columns]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lanes = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(b.num_rows, -1)
+            word = b.column(1 + lane).to_numpy(zero_copy_only=False).view(np.uint64)
             for pid, mask, masks in jobs:
                 step = max(1, 200_000 // len(masks))
                 for i in range(0, b.num_rows, step):
                     part = b.slice(i, step)
-                    keys = ((lanes[i : i + step, lane] & mask)[:, None] ^ masks[None, :]).ravel().view(np.int64)
+                    keys = hashed(pid, ((word[i : i + step] & mask)[:, None] ^ masks[None, :]).ravel())
                     pick = pa.array(np.repeat(np.arange(part.num_rows), len(masks)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), pid, np.int32)), pa.array(keys), part.column(0).take(pick), part.column(1).take(pick)], names=["pid", "key", "rep", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(pick) for c in part.columns)], names=names)
+
+    return reps.mapInArrow(task, ", ".join(f"{n} long" for n in names))
+
+
+def maybe_hot(reps: DataFrame, lane: int, plan: list[tuple[list[int], int]], bucket_rows: int) -> DataFrame | None:
+    """Keys that may hold more than ``bucket_rows``: those next to a value that alone has its share of as many.  None if there are none."""
+    jobs = [(i, np.uint64(sum(1 << b for b in bits)), flips(bits, t)) for i, (bits, t) in enumerate(plan)]
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for pid, mask, _ in jobs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), pid, np.int32)), pa.array((word & mask).view(np.int64))], names=["pid", "value"])
 
-    return reps.select("rep", "fp").mapInArrow(task, "pid int, key long, rep long, fp array<long>")
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pid, value in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(hashed(pid, value ^ jobs[pid][2]))], names=["key"])
+
+    share = F.element_at(F.array(*[F.lit(max(1, bucket_rows // len(m))) for *_, m in jobs]), F.col("pid") + 1)
+    counts = reps.select(reps.columns[1 + lane]).mapInArrow(values, "pid int, value long").groupBy("pid", "value").agg(F.count(F.lit(1)).alias("n"))
+    heavy = common.cut(counts.where(F.col("n") >= share).select("pid", "value"))
+    return None if heavy.isEmpty() else heavy.mapInArrow(around, "key long").distinct()
 
 
 def links(reps: DataFrame, tau: int, total: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (a, b) between the representatives of distinct fingerprints (rep, fp): a spanning
-    forest for each bucket.  A link differs in at most ``tau`` bits in some lane and, with
+    """Edges (a, b) between the representatives of distinct fingerprints (rep, f0, f1, ...) that
+    connect all that is linked.  A link differs in at most ``tau`` bits in some lane and, with
     ``total``, in at most that many bits in all lanes together."""
-    spark = reps.sparkSession
-    lanes = reps.select(F.max(F.size("fp"))).first()[0] or 0
+    lanes = len(reps.columns) - 1
     total = tau if total is None else total
-    edges = spark.createDataFrame([], EDGE)
+    edges = reps.sparkSession.createDataFrame([], EDGE)
     for lane in range(lanes):
-        n, both = bit_counts(reps, lane)
-        plan, _ = allocate(n, both, tau)
+        plan, _ = allocate(*bit_counts(reps, lane), tau)
         filed = signatures(reps, lane, plan)
-        hot = common.cut(filed.groupBy("pid", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows))
-        n_hot = hot.count()
-        if n_hot:
-            big = F.broadcast(hot) if n_hot <= 10_000 else hot
-            members = filed.join(big, ["pid", "key"]).select("rep", "fp", "pid", "key", "n")
-            if lanes == 1 and tau <= 2:
-                again = signatures(members.select("rep", "fp").distinct(), lane, [(list(range(64)), tau)])
-                hubs = again.groupBy("key").agg(F.min("rep").alias("b"))
-                edges = edges.union(again.select("key", "rep").join(hubs, "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
-            else:
-                edges = edges.union(block_edges(members, bucket_rows, total))
-            filed = filed.join(big, ["pid", "key"], "left_anti")
-        near = filed.repartition("pid", "key").sortWithinPartitions("pid", "key").mapInArrow(bucket_edges(total), EDGE)
-        edges = edges.union(near)
+        hot, found = maybe_hot(reps, lane, plan, bucket_rows), []
+        if hot is not None:
+            hot = filed.join(hot, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+            hot = common.cut(hot)
+            n_hot = hot.count()
+            if n_hot:
+                big = F.broadcast(hot) if n_hot <= 10_000 else hot
+                members = filed.join(big, "key")
+                if lanes == 1 and tau <= 2:
+                    again = signatures(members.select(*reps.columns).distinct(), lane, [(list(range(64)), tau)])
+                    hubs = again.groupBy("key").agg(F.min("rep").alias("b"))
+                    found.append(again.select("key", "rep").join(hubs, "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
+                else:
+                    found.append(block_edges(members, bucket_rows, total))
+                filed = filed.join(big, "key", "left_anti")
+        found.append(filed.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_edges(total), EDGE))
+        for more in found:
+            edges = edges.union(common.cut(more) if lanes > 1 else more)  # a lane's shuffle goes before the next begins
     return edges
 
 
 def block_edges(members: DataFrame, rows: int, tau: int) -> DataFrame:
     """All links within large buckets: members are dealt into blocks of about ``rows`` and every
     pair of blocks meets in a task of its own."""
-    blocks = F.ceil(F.col("n") / rows).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    paired = dealt.withColumn("other", other).select(
-        F.xxhash64("pid", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("pid"),
-        F.col("key"), "rep", "fp",
-    )
-    return paired.repartition("pid", "key").sortWithinPartitions("pid", "key").mapInArrow(bucket_edges(tau), EDGE)
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / rows).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key")
+    paired = dealt.select(cell, *[c for c in members.columns if c not in ("key", "n")])
+    return paired.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_edges(tau), EDGE)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 2, lanes: int = 1, total: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest id reachable over links."""
     fps = common.cut(fingerprints(docs, words, lanes, id_col, text_col))
-    reps = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    roots = common.components(links(reps, tau, total))
+    words64 = [F.col("fp")[k].alias(f"f{k}") for k in range(lanes)]
+    reps = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null").select("rep", "fp"))
+    roots = common.components(links(reps.select("rep", *words64), tau, total))
     of_fp = common.cut(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
     return fps.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
