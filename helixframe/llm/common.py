@@ -6,7 +6,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -138,9 +141,31 @@ class Store:
         release(self.spark)
         return self.spark.read.parquet(path)
 
-    def drop(self) -> None:
+    def drop(self, first: int | None = None) -> None:
+        """Deletes all tables, or the ``first`` so many."""
         jvm = self.spark.sparkContext._jvm
-        for path in self.paths:
+        for path in self.paths[:first]:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        self.paths = []
+        self.paths = [] if first is None else self.paths[first:]
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by their first ``keys`` columns; many groups in a table."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))
+        if held and any(held[-1].column(i)[-1] != b.column(i)[0] for i in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(new):
+            held.append(b.slice(0, int(new[-1]) + 1))
+            yield pa.Table.from_batches(held)
+            held = [b.slice(int(new[-1]) + 1)]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -8,9 +8,11 @@ strings that are equal have equal triggers at equal distances, wherever they sta
 
 The parse is reduced to the dictionary of distinct phrases and how often each occurs:
 a phrase that occurs twice repeats all its strings, a trigger that occurs once repeats
-none.  What is left are triggers that stand in several phrases.  Their phrases' suffixes
-are put in corpus order to a depth of 200 bytes: neighbours that agree to that depth are
-found by their fingerprints of 2 x 64 bits (trigger and string), each phrase counting once.
+none.  What is left are triggers that stand in several phrases.  Their phrases' suffixes are
+brought into corpus order to a depth of 200 bytes, trigger by trigger, each phrase counting
+once.  Only equality to that depth matters, so strings are ordered by fingerprints of 2 x 64
+bits (trigger and string) instead of their bytes, and the parse enters by its multiplicities.
+A trigger of more than GROUP phrases is dealt out by string instead.
 
 Defined results: null counts as empty; texts under 200 bytes lose nothing; strings never
 span documents; repeated rows are separate documents, so all their strings repeat; null
@@ -33,6 +35,8 @@ LENGTH = 200
 TRIGGER = 48
 #: Start positions handled at once; longer texts are parsed in overlapping parts.
 STEP = 1 << 20
+#: Distinct phrases of one trigger that a task may hold.
+GROUP = 4096
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _POS = np.uint64((1 << 24) - 1)
 
@@ -115,40 +119,94 @@ def phrases(docs: DataFrame, length: int) -> DataFrame:
     return cols.mapInArrow(task, "did long, th long, lo int, hi int, trigger long, phrase long")
 
 
-def strings(docs: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
-    """(trigger, string, did, th, at, once) for every string of the dictionary's phrases, read from the
-    document that a phrase was first seen in; ``once`` says that the phrase occurs there only."""
+def suffixes(docs: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
+    """The dictionary's phrases with their bytes, read from the document that each was first seen in."""
     wanted = dictionary.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi", "trigger", "once")).alias("spans"))
-    # repeated rows hold the same strings: one of them is enough
+    # repeated rows hold the same phrases: one of them is enough
     rows = docs.select("did", "th", "text").join(wanted, ["did", "th"]).dropDuplicates(["did", "th"]).select("did", "th", "text", "spans")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["trigger", "did", "th", "lo", "hi", "once", "bytes"]
         for b in batches:
             for i in range(b.num_rows):
-                data = np.frombuffer(b.column(2)[i].as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                spans = b.column(3)[i].values.flatten()
-                lo, hi, trigger, once = (x.to_numpy(zero_copy_only=False) for x in spans)
-                for s in range(0, len(lo), 2000):
-                    take = [data[x : y + length] for x, y in zip(lo[s : s + 2000], hi[s : s + 2000])]
-                    counts = (hi[s : s + 2000] - lo[s : s + 2000] + 1).astype(np.int64)
-                    (full,) = rolling(np.concatenate(take), _B2, (length,))
-                    begin = np.cumsum([0, *map(len, take[:-1])])
-                    inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                    h = tokens.finish(full[np.repeat(begin, counts) + inner])
-                    rep = lambda v, c=counts, s=s: np.repeat(v[s : s + 2000], c)
-                    n = len(h)
-                    yield pa.RecordBatch.from_arrays([pa.array(rep(trigger)), pa.array(h.view(np.int64)), b.column(0)[i : i + 1].take(pa.array(np.zeros(n, np.int64))), b.column(1)[i : i + 1].take(pa.array(np.zeros(n, np.int64))), pa.array((rep(lo) + inner).astype(np.int32)), pa.array(rep(once))], names=["trigger", "string", "did", "th", "at", "once"])
-
-    return rows.mapInArrow(task, "trigger long, string long, did long, th long, at int, once boolean")
-
-
-def repeated(docs: DataFrame, store: common.Store, length: int = LENGTH) -> DataFrame:
+                data = b.column(2)[i].as_py().encode("utf-8", "surrogatepass")
+                lo, hi, trigger, once = b.column(3)[i].values.flatten()
+                for s in range(0, len(lo), 10_000):
+                    part = [x.slice(s, 10_000) for x in (trigger, lo, hi, once)]
+                    cut = pa.array([data[x : y + length] for x, y in zip(part[1].to_pylist(), part[2].to_pylist())], pa.binary())
+                    same = pa.array(np.full(len(cut), i))
+                    yield pa.RecordBatch.from_arrays([part[0], b.column(0).take(same), b.column(1).take(same), part[1], part[2], part[3], cut], names=names)
+
+    return rows.mapInArrow(task, "trigger long, did long, th long, lo int, hi int, once boolean, bytes binary")
+
+
+def fingerprints(lo: np.ndarray, hi: np.ndarray, column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every string of a run of phrases: (phrase, start in its document, fingerprint)."""
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    counts = (hi - lo + 1).astype(np.int64)
+    phrase = np.repeat(np.arange(len(lo)), counts)
+    inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    (full,) = rolling(data, _B2, (length,))
+    return phrase, lo[phrase] + inner, tokens.finish(full[(ends[:-1] - ends[0])[phrase] + inner])
+
+
+def ranges(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(of, first, last) of runs of neighbouring positions; both arguments sorted."""
+    new = np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)] if len(of) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    return of[first], at[first], at[np.r_[first[1:], len(of)] - 1] if len(of) else at
+
+
+def order_groups(length: int):
+    """mapInArrow over suffixes sorted by trigger: (did, th, lo, hi) of the repeated strings of phrases that
+    occur once, from the order of all strings of a trigger."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in common.sorted_groups(batches, 1):
+            trigger, did, th, lo, hi, once = (t.column(i).to_numpy() for i in range(6))
+            phrase, at, string = fingerprints(lo, hi, t.column(6), length)
+            order = np.lexsort((string, trigger[phrase]))
+            s, g = string[order], trigger[phrase][order]
+            same = (s[1:] == s[:-1]) & (g[1:] == g[:-1])
+            twice = np.zeros(len(order), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            hit = np.sort(order[twice])
+            hit = hit[once[phrase[hit]]]
+            of, first, last = ranges(phrase[hit], at[hit])
+            if len(of):
+                yield pa.RecordBatch.from_arrays([pa.array(did[of]), pa.array(th[of]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["did", "th", "lo", "hi"])
+
+    return task
+
+
+def order_strings(held: DataFrame, length: int) -> DataFrame:
+    """The same for triggers of very many phrases: every string is a row, dealt by its fingerprint."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            trigger, did, th, lo, hi, once = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            step = 2000
+            for s in range(0, b.num_rows, step):
+                phrase, at, string = fingerprints(lo[s : s + step], hi[s : s + step], b.column(6).slice(s, step), length)
+                phrase += s
+                yield pa.RecordBatch.from_arrays([pa.array(trigger[phrase]), pa.array(string.view(np.int64)), pa.array(did[phrase]), pa.array(th[phrase]), pa.array(at.astype(np.int32)), pa.array(once[phrase])], names=["trigger", "string", "did", "th", "at", "once"])
+
+    rows = held.mapInArrow(task, "trigger long, string long, did long, th long, at int, once boolean")
+    twice = common.cut(rows.groupBy("trigger", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger", "string"))
+    return rows.where("once").join(twice, ["trigger", "string"], "left_semi").select("did", "th", F.col("at").alias("lo"), F.col("at").alias("hi"))
+
+
+def repeated(docs: DataFrame, store: common.Store, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(did, th, lo, hi): start positions lo..hi of strings that also start elsewhere."""
     found = store.keep(phrases(docs, length), "phrases")
     by_trigger = found.groupBy("trigger").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b"))
-    again = by_trigger.where("n > 1").select("trigger", (F.col("a") != F.col("b")).alias("mixed"))
-    again = store.keep(again, "triggers")
+    again = store.keep(by_trigger.where("n > 1").select("trigger", (F.col("a") != F.col("b")).alias("mixed")), "triggers")
     parsed = store.keep(found.join(again, "trigger"), "repeats")
+    store.drop(2)
     # triggers of one phrase only: it repeats
     whole = parsed.where("not mixed").select("did", "th", "lo", "hi")
     first = F.min(F.struct("did", "th", "lo", "hi")).alias("at")
@@ -156,11 +214,16 @@ def repeated(docs: DataFrame, store: common.Store, length: int = LENGTH) -> Data
     dictionary = store.keep(dictionary.select("trigger", "phrase", "n", "at.*"), "dictionary")
     often = dictionary.where("n > 1").select("trigger", "phrase")
     many = parsed.where("mixed").join(often, ["trigger", "phrase"], "left_semi").select("did", "th", "lo", "hi")
-    single = store.keep(strings(docs, dictionary.withColumn("once", F.col("n") == 1), length), "strings")
-    twice = single.groupBy("trigger", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger", "string")
-    twice = store.keep(twice, "twice")
-    some = single.where("once").join(twice, ["trigger", "string"], "left_semi").select("did", "th", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return whole.union(many).union(some)
+    wide = common.cut(dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("trigger"))
+    n_wide = wide.count()
+    held = store.keep(suffixes(docs, dictionary.withColumn("once", F.col("n") == 1), length), "suffixes")
+    out = whole.union(many)
+    if n_wide:
+        wide = F.broadcast(wide) if n_wide <= 10_000 else wide
+        out = out.union(order_strings(held.join(wide, "trigger", "left_semi"), length))
+        held = held.join(wide, "trigger", "left_anti")
+    few = held.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(order_groups(length), "did long, th long, lo int, hi int")
+    return out.union(few)
 
 
 def cut_out(data: bytes, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[int, int, bytes]:

@@ -198,27 +198,6 @@ def forest(rows: np.ndarray, tau: int) -> list[tuple[int, int]]:
     return edges
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by their first ``keys`` columns; many groups in a table."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))
-        if held and any(held[-1].column(i)[-1] != b.column(i)[0] for i in range(keys)):
-            yield pa.Table.from_batches(held)
-            held = []
-        if len(new):
-            held.append(b.slice(0, int(new[-1]) + 1))
-            yield pa.Table.from_batches(held)
-            held = [b.slice(int(new[-1]) + 1)]
-        else:
-            held.append(b)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 EDGE = "a long, b long"
 #: Buckets up to this size are compared as arrays of equal buckets, larger ones one by one.
 SMALL = 16
@@ -228,7 +207,7 @@ def bucket_edges(tau: int):
     """mapInArrow over (key, rep, f0, f1, ...) sorted by key: edges between representatives."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, 1):
+        for t in common.sorted_groups(batches, 1):
             key, rep, *lanes = (t.column(i).to_numpy() for i in range(t.num_columns))
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
