@@ -156,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"))
     sized = common.cut(sized.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy("size"))))
     sources = common.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, block).withColumn("src", F.col("src").cast("long")))
-    buckets = max(16, -(-sized.count() // BUCKET_ROWS))
+    buckets = max(256, -(-sized.count() // BUCKET_ROWS))
     laid = common.cut(streams(sized, sources, buckets))
     holds = laid.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     begin = F.greatest(F.col("block") * block, F.col("start"))
