@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bed_queries
+from . import bed_queries, read_queries, vcf_queries
 
-_MODULES = (bed_queries,)
+_MODULES = (bed_queries, vcf_queries, read_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

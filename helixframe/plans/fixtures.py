@@ -28,10 +28,10 @@ SELECT o_orderkey AS var_id, 'chr' || CAST(o_custkey % 5 + 1 AS STRING) AS chrom
             ELSE substr('ACGT', CAST(1 + IDIV(o_orderkey, 4) % 4 AS INT), 1) END AS alt,
        CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice / 1000 END AS qual,
        CASE WHEN o_orderkey % 5 = 0 THEN 'q10' WHEN o_orderkey % 9 = 0 THEN 's50' ELSE NULL END AS filter,
-       o_orderstatus AS status, o_orderkey % 3 AS flag, CAST(o_totalprice AS BIGINT) % 100 AS dp,
+       o_orderstatus AS status, o_orderkey % 3 AS flag, CAST(floor(o_totalprice) AS BIGINT) % 100 AS dp,
        CASE o_orderkey % 4 WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' WHEN 2 THEN '1|1' ELSE './.' END AS gt_a,
        CASE o_custkey % 3 WHEN 0 THEN '0/1' WHEN 1 THEN '1/1' ELSE '0|0' END AS gt_b,
-       CAST(o_totalprice AS BIGINT) % 41 AS sac0, CAST(o_totalprice AS BIGINT) % 37 AS sac1, CAST(o_totalprice AS BIGINT) % 31 AS sac2, CAST(o_totalprice AS BIGINT) % 29 AS sac3
+       CAST(floor(o_totalprice) AS BIGINT) % 41 AS sac0, CAST(floor(o_totalprice) AS BIGINT) % 37 AS sac1, CAST(floor(o_totalprice) AS BIGINT) % 31 AS sac2, CAST(floor(o_totalprice) AS BIGINT) % 29 AS sac3
 FROM orders""",
     "al": """
 SELECT event_id, 'r' || CAST(IDIV(event_id, 2) AS STRING) AS name,
