@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,6 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 
-@lru_cache(maxsize=1 << 16)
 def log_factorial(n: int) -> float:
     return math.lgamma(n + 1)
 
