@@ -3,6 +3,8 @@ survive hot keys, and prefix sums that survive hot groups."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -16,7 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Documents in one Arrow batch.  A batch is what a Python worker holds at once,
 #: so very long texts need a small one.
-BATCH_ROWS = 256
+BATCH_ROWS = 1024
+
+#: Edges of which one task keeps a spanning forest.
+EDGES_PER_TASK = 1_000_000
+#: Rows of a few numbers that go to one checkpoint file.
+ROWS_PER_FILE = 500_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -47,12 +54,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it from there: later jobs neither
     recompute it nor depend on the executors that made it.  Shuffle files that
-    nothing refers to any more are released."""
+    nothing refers to any more are released.  With ``rows``, about how many there are,
+    they go to few files instead of one for each task."""
     spark = df.sparkSession
     shared_root(spark)
+    if rows is not None:
+        df = df.repartition(2 + rows // ROWS_PER_FILE)
     out = df.checkpoint(eager=True)
     release(spark)
     return out
@@ -97,19 +107,58 @@ def join_bounded(df: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+class Forest:
+    """Union-find over any keys."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def find(self, x):
+        parent = self.parent
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while x != root:
+            parent[x], x = root, parent.get(x, x)
+        return root
+
+    def add(self, a, b) -> bool:
+        """Joins a and b; whether they were apart."""
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+    def thin(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
+        """The edges among (a, b) that join what was apart."""
+        keep = [i for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())) if self.add(x, y)]
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"]) if keep else None
+
+
+def forest_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = Forest()
+    for batch in batches:
+        if thin := forest.thin(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)):
+            yield thin
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b), distributed: (node, root) for each
     node of an edge, root being the smallest node reachable.  Every round takes the smallest
     label among neighbours and then the label's own label, so rounds grow with the logarithm
     of a component's diameter; each round is cut."""
-    edges = edges.where("a is not null and b is not null and a <> b")
+    edges = cut(edges.where("a is not null and b is not null and a <> b").select("a", "b"))
+    # each task keeps a spanning forest of its share of the edges: a large group shrinks to its size times the tasks
+    edges = edges.repartition(2 + edges.count() // EDGES_PER_TASK).mapInArrow(tidy(forest_edges), "a long, b long")
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    n = both.count()
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), n)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.least("root", "near").alias("next"), F.col("root").alias("was"))
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        labels = cut(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), "was"))
+        labels = cut(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), "was"), n)
         if labels.where("root <> was").isEmpty():
             return labels.select("node", "root")
         labels = labels.select("node", "root")
@@ -169,3 +218,18 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.T
             held.append(b)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def tidy(task):
+    """A mapInArrow function that gives unused memory back when its partition ends, as Python workers outlive it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run

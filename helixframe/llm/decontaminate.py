@@ -216,7 +216,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
                     types = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = cols.mapInArrow(task, schema)
+        part = cols.mapInArrow(common.tidy(task), schema)
         out = part if out is None else out.union(part)
     return out
 
@@ -253,7 +253,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                     keep[d] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(task, docs.schema)
+        docs = docs.mapInArrow(common.tidy(task), docs.schema)
     return docs
 
 

@@ -137,7 +137,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"feature": at, "n": df[at]})
 
-    seen = usable.select("text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    seen = usable.select("text").mapInArrow(common.tidy(frequencies), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     df = np.zeros(FEATURES)
     for feature, n in seen.collect():  # FEATURES rows at most
         df[feature] = n
@@ -153,7 +153,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], names=["draw", "lang", "at", "counts"])
 
     sample = usable.withColumn("draw", draw).where(F.col("draw") < share).select("draw", "lang", "text")
-    rows = sorted(sample.mapInArrow(features, "draw double, lang string, at binary, counts binary").collect(), key=lambda r: (r.draw, r.lang, r["at"]))
+    rows = sorted(sample.mapInArrow(common.tidy(features), "draw double, lang string, at binary, counts binary").collect(), key=lambda r: (r.draw, r.lang, r["at"]))
     order = np.random.default_rng(5).permutation(len(rows))
     data = [(np.frombuffer(rows[i]["at"], np.int32), np.frombuffer(rows[i]["counts"], np.float32), langs.index(rows[i]["lang"])) for i in order]
     data = [(at, weigh(c, idf[at]), label) for at, c, label in data]
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return docs.mapInArrow(task, T.StructType(docs.schema.fields + added))
+    return docs.mapInArrow(common.tidy(task), T.StructType(docs.schema.fields + added))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def write_packed(docs: DataFrame, uri: str, tokenizer: Tokenizer, length: int =
             yield flush()
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(task, "shard string, n_rows long, n_tokens long")
+    return cols.mapInArrow(common.tidy(task), "shard string, n_rows long, n_tokens long")
 
 
 SCHEMA = "shard string, row long, n_tokens long, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, pieces array<string>"
@@ -205,7 +205,7 @@ def read_packed(spark: SparkSession, uri: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.npz").load(uri)
-    return files.select("path", "content").mapInArrow(task, SCHEMA)
+    return files.select("path", "content").mapInArrow(common.tidy(task), SCHEMA)
 
 
 def pack(docs: DataFrame, uri: str | None = None, vocabulary: str = VOCABULARY, length: int = ROW) -> DataFrame:

@@ -101,9 +101,9 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"block": [now], "part": [0], "sums": [total.tobytes()]})
 
     schema = "block long, part long, sums binary"
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(collect, schema)
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(collect), schema)
     for _ in range(2):  # partial sums of 64 groups of tasks, then all
-        sums = sums.repartition(VOCAB // BLOCK, "block", "part").sortWithinPartitions("block", "part").mapInArrow(add, schema)
+        sums = sums.repartition(VOCAB // BLOCK, "block", "part").sortWithinPartitions("block", "part").mapInArrow(common.tidy(add), schema)
     got = np.zeros((VOCAB, SIZE + 1), np.int64)
     for block, _, raw in sums.collect():  # VOCAB / BLOCK rows
         got[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(raw, np.int64).reshape(BLOCK, SIZE + 1)
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             x = pool.texts(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["draw", "quality", "x"])
 
-    got = rows.withColumn("quality", F.col("quality").cast("int")).mapInArrow(vectors, "draw double, quality int, x binary").collect()
+    got = rows.withColumn("quality", F.col("quality").cast("int")).mapInArrow(common.tidy(vectors), "draw double, quality int, x binary").collect()
     got = sorted(got, key=lambda r: (r.draw, r.quality, r.x))
     if got:
         y = np.array([r.quality for r in got], np.float64)
@@ -227,7 +227,7 @@ def score(docs: DataFrame, pool: Pool, network: Network) -> DataFrame:
             s = network.score(pool.texts(b.column(b.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s.astype(np.float64))], names=[*b.schema.names[:-1], "score"])
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(common.tidy(task), T.StructType([*docs.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def phrases(docs: DataFrame, length: int) -> DataFrame:
                 done += len(offsets) - 1
 
     cols = docs.select("did", "th", "text").where(F.octet_length("text") >= length)
-    return cols.mapInArrow(task, "did long, th long, lo int, hi int, trigger long, phrase long")
+    return cols.mapInArrow(common.tidy(task), "did long, th long, lo int, hi int, trigger long, phrase long")
 
 
 def suffixes(docs: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
@@ -137,7 +137,7 @@ def suffixes(docs: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
                     same = pa.array(np.full(len(cut), i))
                     yield pa.RecordBatch.from_arrays([part[0], b.column(0).take(same), b.column(1).take(same), part[1], part[2], part[3], cut], names=names)
 
-    return rows.mapInArrow(task, "trigger long, did long, th long, lo int, hi int, once boolean, bytes binary")
+    return rows.mapInArrow(common.tidy(task), "trigger long, did long, th long, lo int, hi int, once boolean, bytes binary")
 
 
 def fingerprints(lo: np.ndarray, hi: np.ndarray, column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +195,7 @@ def order_strings(held: DataFrame, length: int) -> DataFrame:
                 phrase += s
                 yield pa.RecordBatch.from_arrays([pa.array(trigger[phrase]), pa.array(string.view(np.int64)), pa.array(did[phrase]), pa.array(th[phrase]), pa.array(at.astype(np.int32)), pa.array(once[phrase])], names=["trigger", "string", "did", "th", "at", "once"])
 
-    rows = held.mapInArrow(task, "trigger long, string long, did long, th long, at int, once boolean")
+    rows = held.mapInArrow(common.tidy(task), "trigger long, string long, did long, th long, at int, once boolean")
     twice = common.cut(rows.groupBy("trigger", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger", "string"))
     return rows.where("once").join(twice, ["trigger", "string"], "left_semi").select("did", "th", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
@@ -222,7 +222,7 @@ def repeated(docs: DataFrame, store: common.Store, length: int = LENGTH, group:
         wide = F.broadcast(wide) if n_wide <= 10_000 else wide
         out = out.union(order_strings(held.join(wide, "trigger", "left_semi"), length))
         held = held.join(wide, "trigger", "left_anti")
-    few = held.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(order_groups(length), "did long, th long, lo int, hi int")
+    few = held.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(common.tidy(order_groups(length)), "did long, th long, lo int, hi int")
     return out.union(few)
 
 
@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         joined = docs.join(spans, ["did", "th"], "left").select("doc_id", "text", "lo", "hi")
-        out = joined.mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        out = joined.mapInArrow(common.tidy(task), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
         return common.cut(out if texts else out.drop("kept"))
     finally:
         store.drop()

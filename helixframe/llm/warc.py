@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES) ->
             yield flush()
 
     cols = pages.select("page_id", "url", "payload", "revisit", "refers_to")
-    return cols.mapInArrow(task, "archive string, n_records long, n_bytes long")
+    return cols.mapInArrow(common.tidy(task), "archive string, n_records long, n_bytes long")
 
 
 # -- reading ------------------------------------------------------------------
@@ -229,7 +229,7 @@ def read_archives(spark: SparkSession, uri: str, payloads: bool = True) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(uri)
-    return files.select("path", "content").mapInArrow(task, SCHEMA)
+    return files.select("path", "content").mapInArrow(common.tidy(task), SCHEMA)
 
 
 # -- the operator ---------------------------------------------------------------
