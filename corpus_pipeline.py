@@ -21,9 +21,9 @@ from helixframe.llm import common, decontaminate, language, mixing, packing, sim
 
 #: Least probability of the predicted language.
 LEAST_SCORE = 0.3
-#: Fingerprints of five-word shingles: three words of 64 bits.  Two documents are alike if some word
-#: differs in at most 8 bits and all together in at most 35 of 192 (a similarity of about 0.8).
-SHINGLE, LANES, TAU, TOTAL = 5, 3, 8, 35
+#: Fingerprints of five-word shingles: four words of 64 bits.  Two documents are alike if at least 0.8 of the
+#: 256 bits agree (51 may differ) and some word differs in at most 8 bits, which is how such pairs are found.
+SHINGLE, LANES, TAU, TOTAL = 5, 4, 8, 51
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ SEED = 42
 #: Distinct fingerprints that one bucket may hold in a task.
 BUCKET_ROWS = 4096
 MAX_PARTITIONS = 6
+#: A comparison within a bucket against a row that is filed, sent and sorted (measured).
+PAIR_COST = 0.01
 
 
 # -- fingerprints ---------------------------------------------------------------
@@ -90,7 +92,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(flat), pa.list_(pa.int64()))], names=["doc_id", "fp"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(task, "doc_id long, fp array<long>")
+    return cols.mapInArrow(common.tidy(task), "doc_id long, fp array<long>")
 
 
 # -- partitions and thresholds ----------------------------------------------------
@@ -108,7 +110,7 @@ def bit_counts(reps: DataFrame, lane: int) -> tuple[int, np.ndarray]:
             n += len(fp)
         yield pa.RecordBatch.from_pydict({"cell": np.append(np.arange(4096), -1), "n": np.append(total.ravel(), n)})
 
-    sums = reps.select(reps.columns[1 + lane]).mapInArrow(task, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = reps.select(reps.columns[1 + lane]).mapInArrow(common.tidy(task), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     got = dict(map(tuple, sums.collect()))  # 4097 rows at any size
     return got.get(-1, 0), np.array([got.get(i, 0) for i in range(4096)], np.float64).reshape(64, 64)
 
@@ -163,7 +165,7 @@ def allocate(n: int, both: np.ndarray, tau: int) -> tuple[list[tuple[list[int],
                     to = used + t + 1
                     if to > tau + 1:
                         break
-                    c = cost if t < 0 else cost + n * ball(len(bits), t) + pairs[t] * 0.05
+                    c = cost if t < 0 else cost + n * ball(len(bits), t) + pairs[t] * PAIR_COST
                     if c < after.get(to, (math.inf,))[0]:
                         after[to] = (c, [*chosen, t])
             table = after
@@ -183,15 +185,32 @@ def flips(bits: list[int], t: int) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
-def forest(rows: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of the links among fingerprints (rows x lanes): all bits within tau."""
+def alike(a: np.ndarray, b: np.ndarray, tau: int, total: int) -> np.ndarray:
+    """Whether fingerprints (lanes last) are linked: some lane within ``tau`` bits and all together within ``total``."""
+    d = np.bitwise_count(a ^ b)
+    return (d.min(axis=-1) <= tau) & (d.sum(axis=-1) <= total)
+
+
+def forest(rows: np.ndarray, tau: int, total: int) -> list[tuple[int, int]]:
+    """Edges (positions) of a spanning forest of the links among fingerprints (rows x lanes)."""
     left = np.arange(len(rows))
     edges = []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        head = left[:64]
+        near = alike(rows[head][:, None, :], rows[left][None, :, :], tau, total)
+        near[np.arange(len(head)), np.arange(len(head))] = False
+        linked = near.any(axis=1)
+        if not linked.any():  # the usual case: none of these is near any that is left
+            left = left[len(head) :]
+            continue
+        stays = np.ones(len(left), bool)
+        stays[: len(head)] = linked
+        first = int(linked.argmax())
+        stays[first] = False
+        queue, left = [head[first]], left[stays]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(rows[left] ^ rows[x]).sum(axis=1) <= tau
+            near = alike(rows[left], rows[x], tau, total)
             queue += (hit := left[near]).tolist()
             edges += [(int(x), int(y)) for y in hit]
             left = left[~near]
@@ -203,10 +222,11 @@ EDGE = "a long, b long"
 SMALL = 16
 
 
-def bucket_edges(tau: int):
+def bucket_edges(tau: int, total: int):
     """mapInArrow over (key, rep, f0, f1, ...) sorted by key: edges between representatives."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = common.Forest()  # what this task has linked already
         for t in common.sorted_groups(batches, 1):
             key, rep, *lanes = (t.column(i).to_numpy() for i in range(t.num_columns))
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -219,18 +239,18 @@ def bucket_edges(tau: int):
                 at = starts[sizes == n]
                 for i in range(n):
                     for j in range(i):
-                        near = np.bitwise_count(fp[at + i] ^ fp[at + j]).sum(axis=1) <= tau
+                        near = alike(fp[at + i], fp[at + j], tau, total)
                         a.append(rep[at[near] + i])
                         b.append(rep[at[near] + j])
             for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-                if edges := forest(fp[s : s + n], tau):
+                if edges := forest(fp[s : s + n], tau, total):
                     x, y = np.array(edges).T
                     a.append(rep[s + x])
                     b.append(rep[s + y])
             if sum(map(len, a)):
                 a, b = np.concatenate(a), np.concatenate(b)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                if thin := seen.thin(a, b):
+                    yield thin
 
     return task
 
@@ -256,7 +276,7 @@ def signatures(reps: DataFrame, lane: int, plan: list[tuple[list[int], int]]) ->
                     pick = pa.array(np.repeat(np.arange(part.num_rows), len(masks)))
                     yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(pick) for c in part.columns)], names=names)
 
-    return reps.mapInArrow(task, ", ".join(f"{n} long" for n in names))
+    return reps.mapInArrow(common.tidy(task), ", ".join(f"{n} long" for n in names))
 
 
 def maybe_hot(reps: DataFrame, lane: int, plan: list[tuple[list[int], int]], bucket_rows: int) -> DataFrame | None:
@@ -275,9 +295,9 @@ def maybe_hot(reps: DataFrame, lane: int, plan: list[tuple[list[int], int]], buc
                 yield pa.RecordBatch.from_arrays([pa.array(hashed(pid, value ^ jobs[pid][2]))], names=["key"])
 
     share = F.element_at(F.array(*[F.lit(max(1, bucket_rows // len(m))) for *_, m in jobs]), F.col("pid") + 1)
-    counts = reps.select(reps.columns[1 + lane]).mapInArrow(values, "pid int, value long").groupBy("pid", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = reps.select(reps.columns[1 + lane]).mapInArrow(common.tidy(values), "pid int, value long").groupBy("pid", "value").agg(F.count(F.lit(1)).alias("n"))
     heavy = common.cut(counts.where(F.col("n") >= share).select("pid", "value"))
-    return None if heavy.isEmpty() else heavy.mapInArrow(around, "key long").distinct()
+    return None if heavy.isEmpty() else heavy.mapInArrow(common.tidy(around), "key long").distinct()
 
 
 def links(reps: DataFrame, tau: int, total: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -292,7 +312,7 @@ def links(reps: DataFrame, tau: int, total: int | None = None, bucket_rows: int
         filed = signatures(reps, lane, plan)
         hot, found = maybe_hot(reps, lane, plan, bucket_rows), []
         if hot is not None:
-            hot = filed.join(hot, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+            hot = filed.join(hot.hint("merge"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
             hot = common.cut(hot)
             n_hot = hot.count()
             if n_hot:
@@ -301,24 +321,24 @@ def links(reps: DataFrame, tau: int, total: int | None = None, bucket_rows: int
                 if lanes == 1 and tau <= 2:
                     again = signatures(members.select(*reps.columns).distinct(), lane, [(list(range(64)), tau)])
                     hubs = again.groupBy("key").agg(F.min("rep").alias("b"))
-                    found.append(again.select("key", "rep").join(hubs, "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
+                    found.append(again.select("key", "rep").join(hubs.hint("merge"), "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
                 else:
-                    found.append(block_edges(members, bucket_rows, total))
+                    found.append(block_edges(members, bucket_rows, tau, total))
                 filed = filed.join(big, "key", "left_anti")
-        found.append(filed.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_edges(total), EDGE))
+        found.append(filed.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(bucket_edges(tau, total)), EDGE))
         for more in found:
             edges = edges.union(common.cut(more) if lanes > 1 else more)  # a lane's shuffle goes before the next begins
     return edges
 
 
-def block_edges(members: DataFrame, rows: int, tau: int) -> DataFrame:
+def block_edges(members: DataFrame, rows: int, tau: int, total: int) -> DataFrame:
     """All links within large buckets: members are dealt into blocks of about ``rows`` and every
     pair of blocks meets in a task of its own."""
     dealt = members.withColumn("blocks", F.ceil(F.col("n") / rows).cast("int"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key")
     paired = dealt.select(cell, *[c for c in members.columns if c not in ("key", "n")])
-    return paired.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_edges(tau), EDGE)
+    return paired.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(bucket_edges(tau, total)), EDGE)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 2, lanes: int = 1, total: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
