@@ -81,7 +81,7 @@ class Mix:
         """doc_id, size, source_size, target, taken for each document."""
         times = self.slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
         got = (
-            self.pieces.join(times, ["src", "block"], "left")
+            self.pieces.join(times.hint("merge"), ["src", "block"], "left")
             .groupBy("doc_id", "src", "start", "size")
             .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
             .select("doc_id", "src", "size", "taken")
@@ -130,7 +130,8 @@ def streams(docs: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
 
 
 def deal(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
-    """The slot table (shard, slot, src, block, pass)."""
+    """The slot table (shard, slot, src, block, pass).  Joins with it ask for a sort-merge: a few rows become very many
+    here, which Spark's size estimate cannot see, so it might broadcast them."""
     chunk = 1 << 16
     spans = sources.where("slots > 0").withColumn("first", F.explode(F.expr(f"sequence(0L, slots - 1, {chunk}L)")))
     spans = spans.select("src", "blocks", "slots", "before", "all_slots", "first").repartition("src", "first")
@@ -147,7 +148,7 @@ def deal(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
                 cols = (place // np.uint64(shard_slots), place % np.uint64(shard_slots), same(r["src"]), block, turn)
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["shard", "slot", "src", "block", "pass"])
 
-    return spans.mapInArrow(task, "shard long, slot long, src long, block long, pass long")
+    return spans.mapInArrow(common.tidy(task), "shard long, slot long, src long, block long, pass long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> Mix:
@@ -191,14 +192,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     row with the columns of ``docs``; text and n_chars are those of the taken words.  A document that
     no slot takes has no row, one that is taken again has a row for each time."""
     made = mix(docs, **options)
-    want = made.pieces.join(made.slots.select("src", "block", "pass"), ["src", "block"])
+    want = made.pieces.join(made.slots.select("src", "block", "pass").hint("merge"), ["src", "block"])
     want = want.groupBy("doc_id", "src", "start", "text_hash", "copy", "pass").agg(F.collect_list(F.struct("from_word", "words")).alias("__spans"))
     want = want.groupBy("doc_id", "src", "start", "text_hash", "copy").agg(F.collect_list("__spans").alias("__passes"))
     want = common.join_bounded(want, made.sources.select("src", "source"), ["src"]).select("doc_id", "source", "text_hash", "copy", "__passes")
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    keyed = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "source", "__hash").orderBy(F.lit(0))))
-    want = want.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__h"), F.col("copy").alias("__c"), "__passes")
-    on = keyed.doc_id.eqNullSafe(want["__id"]) & keyed.source.eqNullSafe(want["__source"]) & (keyed["__hash"] == want["__h"]) & (keyed["__copy"] == want["__c"])
+    # keys without nulls: the numbering of equal rows and the join then share one exchange of the texts
+    keyed = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__row", F.xxhash64("doc_id", F.isnull("doc_id"), "source", F.isnull("source")))
+    keyed = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__row", "__hash").orderBy(F.lit(0))))
+    want = want.select(F.xxhash64("doc_id", F.isnull("doc_id"), "source", F.isnull("source")).alias("__r"), F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("text_hash").alias("__h"), F.col("copy").alias("__c"), "__passes")
+    on = (keyed["__row"] == want["__r"]) & (keyed["__hash"] == want["__h"]) & (keyed["__copy"] - want["__c"] == 0)
     rows = keyed.join(want, on).select(*docs.columns, "__passes")
     at, n_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     common.small_batches(docs.sparkSession)
@@ -216,7 +218,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                 cols[n_at] = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    return rows.mapInArrow(task, docs.schema)
+    return rows.mapInArrow(common.tidy(task), docs.schema)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
