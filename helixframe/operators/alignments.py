@@ -371,11 +371,11 @@ def check(df: DataFrame) -> DataFrame:
 
 
 def sample_names(df: DataFrame, n: int, lists: int = 1, seed: int = 1) -> DataFrame:
-    """``lists`` samples of ``n`` distinct names (all, if there are fewer), those of the least hash."""
+    """``lists`` samples of ``n`` distinct names (all, if there are fewer), those of the least digest of seed and name."""
     names = df.select("name").distinct()
     out = None
     for k in range(lists):
-        part = names.orderBy(F.xxhash64(F.lit(seed + k), "name"), "name").limit(n).select(F.lit(k).alias("list"), "name")
+        part = names.orderBy(F.md5(F.concat(F.lit(f"{seed + k}:"), "name")), "name").limit(n).select(F.lit(k).alias("list"), "name")
         out = part if out is None else out.union(part)
     return out
 

@@ -23,6 +23,7 @@ IMPACT = {
     "frameshift_variant": "HIGH", "start_lost": "HIGH", "inframe_insertion": "MODERATE", "inframe_deletion": "MODERATE", "missense_variant": "MODERATE",
     "synonymous_variant": "LOW",
 }
+PEPTIDES = ("frameshift_variant", "inframe_insertion", "inframe_deletion", "missense_variant", "stop_lost")
 GENE = ["gene_id", "gene_name", "biotype", "chrom", "strand"]
 
 
@@ -178,13 +179,14 @@ def protein(cds: str, table: dict[str, str]) -> str:
     return "".join(table.get(cds[i : i + 3], "X") for i in range(0, len(cds) - 2, 3))
 
 
-def effect(exon_spans: list[tuple[int, int]], cds_spans: list[tuple[int, int]], cds: str, strand: str, pos: int, ref: str, alt: str, table: dict[str, str] | None = None) -> dict[str, str]:
+def effect(exon_spans: list[tuple[int, int]], cds_spans: list[tuple[int, int]], cds: str, strand: str, pos: int, ref: str, alt: str, table: dict[str, str] | None = None, flank: int = 10) -> dict[str, str]:
     """Consequence of a variant (pos 1-based, alleles on the plus strand) for a transcript with ``cds`` in transcript direction:
-    consequence, impact, cds_change, aa_change."""
-    table = table or codons()
+    consequence, impact, cds_change, aa_change and, where amino acids change, the peptide with ``flank`` of them on both sides."""
+    table, changed = table or codons(), cds
 
     def result(consequence: str, c: str = "", p: str = "") -> dict[str, str]:
-        return {"consequence": consequence, "impact": IMPACT.get(consequence, "MODIFIER"), "cds_change": c, "aa_change": p}
+        pep = peptide(cds, changed, flank, table) if consequence in PEPTIDES else ""
+        return {"consequence": consequence, "impact": IMPACT.get(consequence, "MODIFIER"), "cds_change": c, "aa_change": p, "peptide": pep}
 
     plus, start, end = strand != "-", pos - 1, pos - 1 + len(ref)
     exon_spans, cds_spans = sorted(exon_spans), sorted(cds_spans)
@@ -244,7 +246,7 @@ def peptide(cds: str, changed: str, flank: int, table: dict[str, str] | None = N
 
 def effects(variants: DataFrame, key: list[str], model: DataFrame, cds: DataFrame) -> DataFrame:
     """Effect of each variant (key, chrom, pos, ref, alt) on each transcript it overlaps: key, transcript_id, consequence, impact,
-    cds_change, aa_change.  ``cds`` has transcript_id and seq in transcript direction."""
+    cds_change, aa_change, peptide.  ``cds`` has transcript_id and seq in transcript direction."""
     span = lambda kind, name: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("start", "end")))).alias(name)
     whole = model.groupBy("transcript_id", "chrom", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), span("exon", "exons"), span("CDS", "coding"))
     whole = whole.join(cds.select("transcript_id", F.col("seq").alias("cds")), "transcript_id", "left")
@@ -256,12 +258,18 @@ def effects(variants: DataFrame, key: list[str], model: DataFrame, cds: DataFram
         for p in parts:
             got = [effect([(x["start"], x["end"]) for x in e], [(x["start"], x["end"]) for x in c], s or "", st, int(pos), r, a, table) for e, c, s, st, pos, r, a in zip(p.exons, p.coding, p.cds, p.strand, p.pos, p.ref, p.alt)]
             out = p[[*key, "transcript_id"]].copy()
-            for name in ("consequence", "impact", "cds_change", "aa_change"):
+            for name in ("consequence", "impact", "cds_change", "aa_change", "peptide"):
                 out[name] = [g[name] for g in got]
             yield out
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name in key)
-    return pairs.mapInPandas(run, f"{kept}, transcript_id string, consequence string, impact string, cds_change string, aa_change string")
+    return pairs.mapInPandas(run, f"{kept}, transcript_id string, consequence string, impact string, cds_change string, aa_change string, peptide string")
+
+
+def peptides(found: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct mutated peptides of each variant: key, peptide and its transcripts (sorted, joined by comma)."""
+    rows = found.where("peptide <> ''").groupBy(*key, "peptide")
+    return rows.agg(F.array_join(F.array_sort(F.collect_set("transcript_id")), ",").alias("transcripts"))
 
 
 def sv_sequences(joins: DataFrame, reference: DataFrame, flank: int) -> DataFrame:

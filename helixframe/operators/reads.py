@@ -124,7 +124,8 @@ def separate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def split(df: DataFrame, parts: int) -> DataFrame:
     """Adds part: reads of one name go together, names are dealt by hash, so nothing is numbered globally."""
-    return df.withColumn("part", F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(parts)).cast("int"))
+    number = F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("long")
+    return df.withColumn("part", F.pmod(number, F.lit(parts)).cast("int"))
 
 
 def barcode_matches(text: Column, barcode: str, mismatches: int = 0, wildcard: bool = False) -> Column:
@@ -209,10 +210,10 @@ def merge_overlapping(df: DataFrame, overlap: int = 10) -> DataFrame:
 
 
 def remix(tables: list[tuple[DataFrame, float]], seed: int = 1) -> DataFrame:
-    """ceil(names * ratio) fragments of each table, those of the least hash of (seed, name); mates stay together."""
+    """ceil(names * ratio) fragments of each table, those of the least digest of seed and name; mates stay together."""
     out = None
     for k, (df, ratio) in enumerate(tables):
-        names = df.select("name").distinct().withColumn("__h", F.xxhash64(F.lit(seed + k), "name"))
+        names = df.select("name").distinct().withColumn("__h", F.md5(F.concat(F.lit(f"{seed + k}:"), "name")))
         want = -(-int(names.count() * ratio * 1_000_000) // 1_000_000)
         chosen = names.orderBy("__h", "name").limit(want).select("name")
         part = df.join(chosen, "name", "left_semi")

@@ -54,6 +54,16 @@ def subsequence(df: DataFrame, regions: DataFrame, stranded: bool = False) -> Da
     return rows.withColumn("seq", F.when(F.col("strand") == "-", revcomp(seq)).otherwise(seq) if stranded else seq)
 
 
+def fetch(df: DataFrame, regions: DataFrame, stranded: bool = True) -> DataFrame:
+    """FASTA records (name, seq) of regions: named ``chrom:start-end`` (behind the region's own name, if it has one), ends swapped on
+    the minus strand."""
+    swap = (F.col("strand") == "-") & F.lit(stranded)
+    a, b = F.when(swap, F.col("end")).otherwise(F.col("start")), F.when(swap, F.col("start")).otherwise(F.col("end"))
+    place = F.concat("chrom", F.lit(":"), a.cast("string"), F.lit("-"), b.cast("string"))
+    name = F.concat_ws("|", "name", place) if "name" in regions.columns else place
+    return subsequence(df, regions, stranded).select(name.alias("name"), "seq")
+
+
 def gc(df: DataFrame, size: int) -> DataFrame:
     """GC share in bins of each sequence; null without A, C, G or T."""
     rows = chunked(df, size)
@@ -126,6 +136,20 @@ def motif_score(df: DataFrame, matrix: dict[str, list[float]], threshold: float,
     return chunked(df, CHUNK, size - 1).select("chrom", "chunk_start", "seq").mapInPandas(scan, "chrom string, pos long, strand string, score double")
 
 
+def motif_pvalue(df: DataFrame, matrix: dict[str, list[float]], draws: int = 100_000, seed: int = 123, pseudo: float = 0.8, background: float = 0.25) -> DataFrame:
+    """Adds pvalue to motif scores: the share of random sequences that score as high, from one seeded null distribution."""
+    counts = np.array([matrix[b] for b in "ACGT"], float)
+    odds = np.log2((counts + pseudo) / (counts.sum(axis=0) + 4 * pseudo) / background)
+    pick = np.random.default_rng(seed).integers(0, 4, (draws, odds.shape[1]))
+    null = np.sort(odds[pick, np.arange(odds.shape[1])].sum(axis=1))
+
+    @F.pandas_udf("double")
+    def tail(score: pd.Series) -> pd.Series:
+        return pd.Series(np.minimum(1.0, (1 + draws - np.searchsorted(null, score.to_numpy() - 1e-9)) / draws))
+
+    return df.withColumn("pvalue", tail("score"))
+
+
 def generate_reads(df: DataFrame, size: int, step: int, most_wildcards: int = 0, quality: str = "I") -> DataFrame:
     """Tiled reads with a constant quality, ``#`` for N."""
     rows = windows(df, size, step).where(count_of(F.col("seq"), "Nn") <= most_wildcards)

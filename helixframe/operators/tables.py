@@ -81,6 +81,15 @@ def concat(tables: dict[str, DataFrame]) -> DataFrame:
     return out.orderBy(natural_key(F.col("file")))
 
 
+def sort_rows(df: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """Sorts by typed keys: ``s`` text, ``i`` whole numbers, ``f`` numbers, ``n`` natural order; upper case is descending."""
+    order = []
+    for name, kind in keys:
+        c = {"s": lambda c: c.cast("string"), "i": lambda c: c.try_cast("long"), "f": lambda c: c.try_cast("double"), "n": natural_key}[kind.lower()](F.col(name))
+        order.append(c.desc() if kind.isupper() else c.asc())
+    return df.orderBy(*order)
+
+
 def digests(df: DataFrame, column: str = "content") -> DataFrame:
     """MD5, SHA-1 and SHA-256 of a binary column (as of ``binaryFile``)."""
     return df.withColumns({"md5": F.md5(column), "sha1": F.sha1(column), "sha256": F.sha2(column, 256)})

@@ -306,7 +306,8 @@ def flanking(df: DataFrame, key: list[str], reference: DataFrame, chunk: int, si
 
     rows = df.where(snv()).select(*key, "chrom", "pos", "ref", F.col("alt")[0].alias("a"))
     lo, hi = F.col("pos") - 1 - size, F.col("pos") + size
-    rows = rows.withColumn("chunk_start", F.explode(F.sequence(F.floor(lo / chunk), F.floor((hi - 1) / chunk))) * chunk)
+    rows = rows.withColumn("chunk_start", F.explode(F.sequence(F.floor(lo / chunk), F.floor((hi - 1) / chunk))))
+    rows = rows.withColumn("chunk_start", F.col("chunk_start") * chunk)
     part = F.substring(F.col("seq"), F.greatest(lo - F.col("chunk_start"), F.lit(0)) + 1, F.least(hi - F.col("chunk_start"), F.lit(chunk)) - F.greatest(lo - F.col("chunk_start"), F.lit(0)))
     parts = rows.join(reference, ["chrom", "chunk_start"]).groupBy(*key, "ref", "a").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_start", part.alias("s")))), lambda x: x["s"]), "").alias("flank"))
     parts = parts.where(F.length("flank") == 2 * size + 1)
@@ -484,6 +485,11 @@ def fold_flags(df: DataFrame, key: str = "CG_FLAGS") -> DataFrame:
     return with_info(out, **{key: F.when(F.size("__f") > 0, F.array_join("__f", ","))}).drop("__f")
 
 
+def rename(names: list[str], new: dict[str, str]) -> list[str]:
+    """Sample names with some replaced, by name or 1-based position; the rows hold no names."""
+    return [new.get(n, new.get(str(i), n)) for i, n in enumerate(names, 1)]
+
+
 def reorder_samples(df: DataFrame, order: list[int]) -> DataFrame:
     return df.withColumn("samples", F.array(*[F.get("samples", F.lit(i)) for i in order]))
 

@@ -125,7 +125,7 @@ def softclip(s, d):
 
 def wps(s, d):
     pairs = frame(s, d, "iv").select("chrom", "start", "end", F.monotonically_increasing_id().alias("id"))
-    return A.protection(pairs, 20)
+    return A.protection(pairs, 20).select("chrom", F.explode(F.expr("sequence(start, end - 1)")).alias("pos"), "wps")
 
 
 def base_call(s, d):
@@ -240,6 +240,10 @@ g AS (SELECT chrom, pos, count(*) FILTER (call = 'A') AS "A", count(*) FILTER (c
 _IUPAC = "CASE x WHEN 'A' THEN 'A' WHEN 'C' THEN 'C' WHEN 'G' THEN 'G' WHEN 'T' THEN 'T' WHEN 'AG' THEN 'R' WHEN 'CT' THEN 'Y' WHEN 'CG' THEN 'S' WHEN 'AT' THEN 'W' WHEN 'GT' THEN 'K' WHEN 'AC' THEN 'M' WHEN 'CGT' THEN 'B' WHEN 'AGT' THEN 'D' WHEN 'ACT' THEN 'H' WHEN 'ACG' THEN 'V' ELSE 'N' END"
 _SITES = "sites AS (SELECT var_id, chrom, pos % 20000 + 1 AS pos, ref, alt FROM vr WHERE length(alt) = 1{0})"
 ORACLE_SQL = {
+    "wps": with_sql("iv", """WITH f AS (SELECT chrom, "start" AS s, "end" AS e, row_number() OVER () AS id FROM iv), a AS (SELECT chrom, unnest(generate_series(s + 10, e - 10)) AS pos FROM f WHERE e - s >= 20),
+c AS (SELECT DISTINCT chrom, id, unnest(list_concat(generate_series(greatest(s - 9, 0), s + 10), generate_series(greatest(e - 10, 0), e + 9))) AS pos FROM f),
+u AS (SELECT chrom, pos, 1 AS x, 0 AS y FROM a UNION ALL SELECT chrom, pos, 0, 1 FROM c) SELECT chrom, pos, CAST(sum(x) - sum(y) AS BIGINT) AS wps FROM u GROUP BY chrom, pos"""),
+    "bam_sample": sql("WITH n AS (SELECT DISTINCT name FROM am), r AS (SELECT l.list, name, row_number() OVER (PARTITION BY l.list ORDER BY md5((l.list + 1) || ':' || name), name) AS k FROM n, (VALUES (0), (1)) AS l(list)) SELECT CAST(list AS INT) AS list, name FROM r WHERE k <= 100"),
     "flag_filter": sql("SELECT event_id FROM am WHERE flag & 3844 = 0 AND flag & 3 = 3"),
     "unique_mapping": sql("SELECT event_id FROM am WHERE coalesce(nh = 1, mapq <> 0)"),
     "pair_keep": sql("SELECT event_id FROM am WHERE name IN (SELECT name FROM am WHERE mapq >= 40)"),

@@ -111,6 +111,23 @@ def vcf_effect(s, d):
     return G.effects(sites, ["var_id"], model(s, d), G.spliced(parts))
 
 
+def vcf_peptide(s, d):
+    return G.peptides(vcf_effect(s, d), ["var_id"])
+
+
+def gtf_tofasta(s, d):
+    """Coding sequences of transcripts and their proteins' lengths."""
+    parts = model(s, d).where("kind = 'CDS'").withColumn("seq", F.expr("substring(repeat('ATGGCTTGCAAGGATTTCGGC', 40), 1, cast(end - start as int))"))
+    prot = G.proteins(parts).select("transcript_id", F.length("seq").alias("aa"))
+    return G.spliced(parts).select("transcript_id", F.md5("seq").alias("md5"), F.length("seq").alias("n")).join(prot, "transcript_id")
+
+
+def vcf_svtofasta(s, d):
+    joins = frame(s, d, "rg").select(F.concat(F.lit("j"), F.col("region_id").cast("string")).alias("name"), F.lit("ctg").alias("chrom"), (F.col("region_id") % 400 + 60).alias("pos"), F.lit("ctg").alias("alt_chrom"), (F.col("start") % 400 + 60).alias("alt_pos"), F.element_at(F.array(*map(F.lit, ("3to5", "5to3", "5to5", "3to3"))), (F.col("region_id") % 4 + 1).cast("int")).alias("connection"))
+    ref = s.range(1).select(F.lit("ctg").alias("name"), F.expr("repeat('ACGTTGCAAGCT', 50)").alias("seq"))
+    return G.sv_sequences(joins, ref, 20)
+
+
 def tdf_join(s, d):
     nation = table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"), "n_name")
     rows = table(s, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("key"))
@@ -158,6 +175,16 @@ def tabix_bins(s, d):
     return iv(s, d).groupBy(T.reg2bin(F.col("start"), F.col("end")).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def sort_rows(s, d):
+    rows = T.sort_rows(rg(s, d), [("chrom", "n"), ("score", "F"), ("region_id", "i")])
+    return rows.select("region_id", "chrom", "score").limit(50)
+
+
+def tabix_concat(s, d):
+    parts = {f"part{i}": rg(s, d).where(f"score {op} 950") for i, op in ((10, "<"), (2, ">="))}
+    return T.concat(parts).select("file", "region_id")
+
+
 def tabix_split(s, d):
     return T.split(iv(s, d)).groupBy("part").agg(F.count(F.lit(1)).alias("count"))
 
@@ -213,7 +240,7 @@ def running_extremes(s, d):
 
 _PLAIN = (
     gtf_genes, gtf_transcripts, gtf_exons, gtf_exons_combined, gtf_introns, gtf_junctions, gtf_donors, gtf_tss, gtf_tlss, gtf_orf, gtf_utr5, gtf_utr3, gtf_geneinfo, gtf_find_junction,
-    gtf_classify, annotate_gtf, annotate_repeat, vcf_effect, tdf_join, tdf_join_csv, tdf_infile, tab_bedgraph_weighted, tab_bedgraph_median, tabix_region, tabix_bins, tabix_split, bh,
+    gtf_classify, annotate_gtf, annotate_repeat, vcf_effect, vcf_peptide, gtf_tofasta, vcf_svtofasta, tdf_join, tdf_join_csv, tdf_infile, tab_bedgraph_weighted, tab_bedgraph_median, tabix_region, tabix_bins, sort_rows, tabix_concat, tabix_split, bh,
     bonferroni, weighted_mean, weighted_median, prop_test, fisher_test, fisher_sb, running_extremes,
 )
 QUERIES = {f.__name__: f for f in _PLAIN} | {f"tab_annotate_{h}": _tab(h) for h in HOW}
@@ -243,7 +270,11 @@ o AS (SELECT region_id, depth, least(w.e, r."end") - greatest(w.s, r."start") AS
 """
 _WM = """k AS (SELECT {key}, {v} AS v, sum({w}) AS w FROM {t} GROUP BY ALL), c AS (SELECT *, sum(w) OVER (PARTITION BY {key}) AS t, sum(w) OVER (PARTITION BY {key} ORDER BY v) AS r FROM k)
 SELECT {key}, (min(v) FILTER (r >= ceil(t / 2)) + min(v) FILTER (r >= floor(t / 2) + 1)) / 2 AS median FROM c GROUP BY {key}"""
+_FP = " ".join(["exp(lgamma(h + h + 1) + lgamma(c + d + 1) + lgamma(h + c + 1) + lgamma(h + d + 1) - lgamma({0} + 1) - lgamma(2 * h - {0} + 1) - lgamma(h + c - {0} + 1) - lgamma(d - h + {0} + 1) - lgamma(2 * h + c + d + 1))"])
 ORACLE_SQL = {
+    "fisher_sb": f"""WITH {{_CT}}, q AS (SELECT p_partkey, (c + d) // 2 AS h, c, d FROM ct), r AS (SELECT *, {_FP.format('h')} AS p0 FROM q),
+s AS (SELECT p_partkey, p0 + coalesce(list_sum(list_transform(list_filter(range(greatest(0, h - d), least(2 * h, h + c) + 1), lambda x: x <> h AND {_FP.format('x')} < p0 * (1 - 1e-7)), lambda x: {_FP.format('x')})), 0) AS p FROM r)
+SELECT p_partkey, round(CASE WHEN p <= 0 THEN 255 WHEN p >= 1 THEN 0 ELSE -10 * log10(p) END, 3) AS fsb FROM s""".replace("{_CT}", _CT),
     "gtf_genes": _g('SELECT gene_id, gene_name, biotype, chrom, strand, min(s) AS "start", max(e) AS "end" FROM ex GROUP BY ALL'),
     "gtf_transcripts": _g('SELECT transcript_id, min(s) AS "start", max(e) AS "end" FROM ex GROUP BY ALL'),
     "gtf_exons": _g('SELECT transcript_id, s AS "start", e AS "end" FROM ex'),
@@ -270,6 +301,11 @@ SELECT var_id, CASE code WHEN 0 THEN 'coding_exon' WHEN 1 THEN '5_utr' WHEN 2 TH
     "annotate_gtf": _g("""WITH g AS (SELECT gene_id, chrom, strand, min(s) AS s, max(e) AS e FROM ex GROUP BY ALL), h AS (SELECT r.region_id, g.gene_id, CASE WHEN r.strand = g.strand THEN 0 ELSE 1 END AS other FROM rg r JOIN g ON g.chrom = r.chrom AND g.s < r."end" AND g.e > r."start"),
 k AS (SELECT region_id, string_agg(DISTINCT gene_id, ',' ORDER BY gene_id) AS gene_ids FROM (SELECT *, min(other) OVER (PARTITION BY region_id) AS m FROM h) WHERE other = m GROUP BY region_id) SELECT rg.region_id, coalesce(gene_ids, '') AS gene_ids FROM rg LEFT JOIN k USING (region_id)""", "gx rg"),
     "annotate_repeat": with_sql("iv rg", f"SELECT r.region_id, coalesce(string_agg(DISTINCT q.name, ',' ORDER BY q.name), '') AS repeats, coalesce(string_agg(DISTINCT 'f' || q.name, ',' ORDER BY 'f' || q.name), '') AS families FROM rg r LEFT JOIN iv q ON q.score > 40000 AND q.chrom = r.chrom AND {_OV} GROUP BY r.region_id"),
+    "vcf_svtofasta": with_sql("rg", """WITH j AS (SELECT 'j' || region_id AS name, region_id % 400 + 60 AS p, "start" % 400 + 60 AS q, region_id % 4 AS k, repeat('ACGTTGCAAGCT', 50) AS seq FROM rg),
+x AS (SELECT name, k, CASE WHEN k IN (0, 3) THEN substr(seq, CAST(p - 19 AS INT), 20) ELSE reverse(translate(substr(seq, CAST(p AS INT), 20), 'ACGT', 'TGCA')) END AS a, CASE WHEN k IN (0, 2) THEN substr(seq, CAST(q AS INT), 20) ELSE reverse(translate(substr(seq, CAST(q - 19 AS INT), 20), 'ACGT', 'TGCA')) END AS b FROM j) SELECT name, a || b AS seq FROM x"""),
+    "gtf_tofasta": _g("""WITH p AS (SELECT transcript_id, strand, string_agg(substr(repeat('ATGGCTTGCAAGGATTTCGGC', 40), 1, CAST(e - s AS INT)), '' ORDER BY s) AS seq FROM cd GROUP BY ALL), q AS (SELECT transcript_id, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq FROM p),
+c AS (SELECT transcript_id, seq, list_transform(range(0, CAST(length(seq) // 3 AS BIGINT)), lambda i: substr(seq, CAST(3 * i + 1 AS INT), 3)) AS k FROM q)
+SELECT transcript_id, md5(seq) AS md5, CAST(length(seq) AS INT) AS n, CAST(coalesce(list_min(list_filter(range(1, len(k) + 1), lambda i: k[i] IN ('TAA', 'TAG', 'TGA'))) - 1, len(k)) AS INT) AS aa FROM c"""),
     "tdf_join": "SELECT c_custkey, coalesce(n_name, '') AS nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey",
     "tdf_join_csv": "SELECT s_suppkey, concat_ws(',', a.n_name, b.n_name) AS nations FROM supplier LEFT JOIN nation a ON a.n_nationkey = s_nationkey LEFT JOIN nation b ON b.n_nationkey = (s_nationkey + 1) % 27",
     "tdf_infile": "SELECT n_nationkey, n_nationkey IN (SELECT r_regionkey FROM region) AS hit FROM nation",
@@ -277,6 +313,8 @@ k AS (SELECT region_id, string_agg(DISTINCT gene_id, ',' ORDER BY gene_id) AS ge
     "tab_bedgraph_median": with_sql("iv rg", _BG.rstrip() + ", " + _WM.format(key="region_id", v="depth", w="n", t="o")),
     "tabix_region": with_sql("rg", """SELECT region_id FROM rg WHERE chrom IN ('2', 'chr2') AND "start" < 60000 AND "end" > 1000"""),
     "tabix_bins": with_sql("iv", """SELECT CAST(CASE WHEN "start" >> 14 = ("end" - 1) >> 14 THEN 4681 + ("start" >> 14) WHEN "start" >> 17 = ("end" - 1) >> 17 THEN 585 + ("start" >> 17) WHEN "start" >> 20 = ("end" - 1) >> 20 THEN 73 + ("start" >> 20) ELSE 0 END AS BIGINT) AS bin, count(*) AS "count" FROM iv GROUP BY 1"""),
+    "sort_rows": with_sql("rg", "SELECT region_id, chrom, score FROM rg ORDER BY chrom, score DESC, region_id LIMIT 50"),
+    "tabix_concat": with_sql("rg", "SELECT CASE WHEN score < 950 THEN 'part10' ELSE 'part2' END AS file, region_id FROM rg"),
     "tabix_split": with_sql("iv", 'SELECT chrom AS part, count(*) AS "count" FROM iv GROUP BY chrom'),
     "bh": "WITH p AS (SELECT o_orderkey, (o_orderkey * 7919) % 100003 / 100003.0 AS p FROM orders), r AS (SELECT *, count(*) OVER () AS n, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM p) SELECT o_orderkey, round(least(1.0, min(p * n / k) OVER (ORDER BY p DESC)), 9) AS adjusted FROM r",
     "bonferroni": "WITH p AS (SELECT o_orderkey, (o_orderkey * 7919) % 100003 / 100003.0 AS p FROM orders) SELECT o_orderkey, round(least(1.0, p * count(*) OVER ()), 9) AS adjusted FROM p",

@@ -205,6 +205,18 @@ def fa_translate(s, d):
     return fa(s, d).select("name", translate(F.col("seq"), stop=False).alias("protein"))
 
 
+def fa_fetch(s, d):
+    """Regions as FASTA records named by position, ends swapped on the minus strand."""
+    regions = frame(s, d, "rg").select(F.concat(F.lit("ctg"), F.col("region_id").cast("string")).alias("chrom"), (F.col("start") % 300).alias("start"), (F.col("start") % 300 + 25).alias("end"), "strand")
+    return A.fetch(fa(s, d), regions)
+
+
+def digests(s, d):
+    from ..operators.tables import digests as hashes
+
+    return hashes(fa(s, d).withColumn("content", F.col("seq").cast("binary"))).select("name", "md5", "sha1", "sha256")
+
+
 def fa_split(s, d):
     return A.split(fa(s, d), 10).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
@@ -221,13 +233,19 @@ _ODDS = "(VALUES " + ", ".join(f"({k}, '{b}', {MATRIX[b][k]}, {sum(MATRIX[x][k]
 QUERIES = {f.__name__: f for f in (
     fq_trim_prefix, fq_trim_suffix, fq_trim_flanking, fq_trim_qual, fq_trim_qual_prefix, fq_adapter_trim, fq_wildcard, fq_size, fq_include, fq_exclude, fq_substr, fq_paired, fq_sort,
     fq_interleave, fq_split, fq_demux, fq_barcode, fq_check, fq_stats_len, fq_stats_basefreq, fq_stats_qual, fq_stats_gc, fq_stats_readqual, fq_overlap, fq_remix, fq_tobam, fq_tofasta,
-    bam_tofastq, fa_gc, fa_tri, fa_revcomp, fa_subseq, fa_mask, fa_grep, fa_wrap, fa_tag, fa_names, fa_filter, fa_genreads, fa_motif, fa_translate, fa_split, fa_random,
+    bam_tofastq, fa_gc, fa_tri, fa_revcomp, fa_subseq, fa_mask, fa_grep, fa_wrap, fa_tag, fa_names, fa_filter, fa_genreads, fa_motif, fa_translate, fa_fetch, digests, fa_split, fa_random,
 )}
 
 from ..functions.sequences import codons  # noqa: E402
 
 _CODONS = ", ".join(f"('{k}', '{v}')" for k, v in codons().items())
 ORACLE_SQL = {
+    "fq_split": with_sql("fq", "SELECT event_id, CAST(CAST('0x' || substr(md5(name), 1, 8) AS BIGINT) % 7 AS INT) AS part FROM fq"),
+    "fq_remix": with_sql("fq", """WITH n AS (SELECT DISTINCT mate, name FROM fq), r AS (SELECT *, row_number() OVER (PARTITION BY mate ORDER BY md5(mate || ':' || name), name) AS k, count(*) OVER (PARTITION BY mate) AS c FROM n)
+SELECT event_id FROM fq JOIN r USING (mate, name) WHERE k <= ceil(c * CASE mate WHEN 1 THEN 0.25 ELSE 0.5 END)"""),
+    "fa_split": with_sql("fa", "WITH r AS (SELECT (row_number() OVER (ORDER BY name) - 1) // 10 AS p FROM fa) SELECT CAST(p AS VARCHAR) AS part, count(*) AS n FROM r GROUP BY p"),
+    "fa_fetch": with_sql("fa rg", f"""WITH r AS (SELECT region_id, strand, "start" % 300 AS s, 'ctg' || region_id AS c FROM rg) SELECT c || ':' || CASE WHEN strand = '-' THEN (s + 25) || '-' || s ELSE s || '-' || (s + 25) END AS name, CASE WHEN strand = '-' THEN {_RC.format('substr(seq, CAST(s + 1 AS INT), 25)')} ELSE substr(seq, CAST(s + 1 AS INT), 25) END AS seq FROM r JOIN fa ON fa.name = r.c"""),
+    "digests": with_sql("fa", "SELECT name, md5(seq) AS md5, sha1(seq) AS sha1, sha256(seq) AS sha256 FROM fa"),
     "fa_translate": with_sql("fa", f"""WITH c(k, a) AS (VALUES {_CODONS}), t AS (SELECT name, seq, unnest(generate_series(1, length(seq) - 2, 3)) AS i FROM fa),
 p AS (SELECT name, string_agg(coalesce(a, 'X'), '' ORDER BY i) AS protein FROM t LEFT JOIN c ON c.k = substr(seq, i, 3) GROUP BY name) SELECT fa.name, coalesce(protein, '') AS protein FROM fa LEFT JOIN p USING (name)"""),
     "fq_trim_prefix": with_sql("fq", "SELECT event_id, substr(seq, 6) AS seq, substr(qual, 6) AS qual, comment || ' #prefix' AS comment FROM fq"),

@@ -224,14 +224,33 @@ def vcf_consensus(s, d):
 
 
 def poisson_tmb(s, d):
-    return V.tmb(V.bed_count(variants(s, d), frame(s, d, "rg"), ["region_id"])).select("region_id", "count", "pvalue")
+    return V.tmb(V.bed_count(variants(s, d), frame(s, d, "rg"), ["region_id"])).select("region_id", "count", F.round("pvalue", 7).alias("pvalue"))
+
+
+def vcf_rename(s, d):
+    return V.sample_export(variants(s, d), V.rename(["a", "b"], {"a": "tumor", "2": "normal"}), ["GT"]).groupBy("sample", "gt").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reference(s, d):
+    """One base for each position, in chunks of one."""
+    return frame(s, d, "vr").select("chrom", (F.col("pos") - 1).alias("chunk_start")).distinct().withColumn("seq", F.substring(F.translate(F.md5(F.concat_ws(":", "chrom", F.col("chunk_start").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 1))
+
+
+def vcf_refbuild(s, d):
+    return V.reference_match(variants(s, d), reference(s, d), 1)
+
+
+def vcf_flanking(s, d):
+    bases = frame(s, d, "vr").select("chrom", F.explode(F.array(F.col("pos") - 2, F.col("pos") - 1, F.col("pos"))).alias("chunk_start")).distinct()
+    bases = bases.withColumn("seq", F.substring(F.translate(F.md5(F.concat_ws(":", "chrom", F.col("chunk_start").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 1))
+    return V.flanking(variants(s, d), KEY, bases, 1).select("var_id", info("CG_FLANKING").alias("flank"), info("CG_FLANKING_SUB").alias("sub"))
 
 
 _SUM = "(sac0 + sac1 + sac2 + sac3)"
 _QUERIES = (
     vcf_filter_passing, vcf_filter_stats, vcf_vardist, vcf_tstv, vcf_tstv_ratio, vcf_indel, vcf_dosage, vcf_vaf, vcf_minor_strand, vcf_auto_id, vcf_copy_ratio, vcf_bed_annotate,
     vcf_bed_flag, vcf_vcf_annotate, vcf_in_file, vcf_tag, vcf_stats, vcf_info_tally, vcf_tocount, vcf_bedcount, vcf_sample_export, vcf_export, vcf_chrfix, vcf_clearfilter, vcf_strip,
-    vcf_remove_flags, vcf_reorder, vcf_merge, vcf_concat, vcf_split, vcf_export_unique_event, vcf_tobed, vcf_tobedpe, vcf_consensus, poisson_tmb,
+    vcf_remove_flags, vcf_reorder, vcf_merge, vcf_concat, vcf_split, vcf_export_unique_event, vcf_tobed, vcf_tobedpe, vcf_consensus, poisson_tmb, vcf_rename, vcf_refbuild, vcf_flanking,
 )
 QUERIES = {f"vcf_filter_{k}": filter_query(k) for k in PREDICATES} | {f.__name__: f for f in _QUERIES}
 
@@ -240,7 +259,16 @@ _BASES = "list_transform(string_split(replace({0}, '|', '/'), '/'), lambda x: CA
 _GT = "CASE WHEN contains({0}, '|') THEN array_to_string(" + _BASES + ", '|') ELSE array_to_string(" + _BASES + ", '/') END"
 _ADS = "CAST(sac0 + sac1 AS VARCHAR) || ',' || CAST(sac2 + sac3 AS VARCHAR)"
 _TS = "CASE WHEN length(alt) = 1 AND ref <> alt THEN CASE WHEN ref || alt IN ('AG', 'GA', 'CT', 'TC') THEN 'TS' ELSE 'TV' END END"
+_BASE = "substr(translate(md5(v.chrom || ':' || ({0})), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 1)"
+_RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 ORACLE_SQL = {f"vcf_filter_{k}": filter_sql(k) for k in PREDICATES} | {
+    "vcf_rename": with_sql("vr", "SELECT 'tumor' AS sample, gt_a AS gt, count(*) AS n FROM vr GROUP BY gt_a UNION ALL SELECT 'normal', gt_b, count(*) FROM vr GROUP BY gt_b"),
+    "vcf_refbuild": with_sql("vr", f"SELECT count(*) AS checked, avg(CASE WHEN ref = {_BASE.format('pos - 1')} THEN 1 ELSE 0 END) AS fraction FROM vr v WHERE length(alt) = 1"),
+    "vcf_flanking": with_sql("vr", f"""WITH f AS (SELECT var_id, ref, alt, {_BASE.format('pos - 2')} || {_BASE.format('pos - 1')} || {_BASE.format('pos')} AS x FROM vr v WHERE length(alt) = 1), g AS (SELECT var_id, CASE WHEN ref IN ('A', 'G') THEN {_RC.format('x')} ELSE x END AS x, CASE WHEN ref IN ('A', 'G') THEN {_RC.format('ref')} ELSE ref END AS r, CASE WHEN ref IN ('A', 'G') THEN {_RC.format('alt')} ELSE alt END AS a FROM f)
+SELECT vr.var_id, g.x AS flank, left(g.x, 1) || '[' || r || '>' || a || ']' || right(g.x, 1) AS sub FROM vr LEFT JOIN g USING (var_id)"""),
+    "poisson_tmb": with_sql("vr rg", """WITH c AS (SELECT r.region_id, r."end" - r."start" AS n, count(v.var_id) AS k FROM rg r LEFT JOIN vr v ON r.chrom = v.chrom AND r."start" <= v.pos - 1 AND v.pos - 1 < r."end" GROUP BY ALL), t AS (SELECT sum(k) / sum(n) AS rate FROM c), m AS (SELECT region_id, k, n * rate AS mu FROM c, t)
+SELECT region_id, k AS "count", round(greatest(0.0, 1 - coalesce(list_sum(list_transform(range(0, k), lambda i: exp(i * ln(mu) - mu - lgamma(i + 1)))), 0)), 7) AS pvalue FROM m"""),
+
     "vcf_filter_passing": with_sql("vr", "SELECT var_id, qual FROM vr WHERE filter IS NULL AND qual >= 100 AND length(alt) = 1"),
     "vcf_filter_stats": with_sql("vr", f"""SELECT coalesce(nullif(array_to_string(list_sort(list_filter([filter, {_BOTH}], lambda x: x IS NOT NULL)), ';'), ''), 'PASS') AS filters, count(*) AS "count" FROM vr GROUP BY 1"""),
     "vcf_vardist": with_sql("vr", "SELECT var_id, coalesce(least(pos - lag(pos) OVER w, lead(pos) OVER w - pos), -1) AS dist FROM vr WINDOW w AS (PARTITION BY chrom ORDER BY pos, var_id)"),
