@@ -33,6 +33,8 @@ SEED = 42
 #: Distinct fingerprints that one bucket may hold in a task.
 BUCKET_ROWS = 4096
 MAX_PARTITIONS = 6
+#: Filed rows that one task compares.
+FILED_ROWS = 500_000
 #: A comparison within a bucket against a row that is filed, sent and sorted (measured).
 PAIR_COST = 0.01
 
@@ -185,19 +187,24 @@ def flips(bits: list[int], t: int) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
-def alike(a: np.ndarray, b: np.ndarray, tau: int, total: int) -> np.ndarray:
-    """Whether fingerprints (lanes last) are linked: some lane within ``tau`` bits and all together within ``total``."""
-    d = np.bitwise_count(a ^ b)
-    return (d.min(axis=-1) <= tau) & (d.sum(axis=-1) <= total)
+def alike(a: np.ndarray, b: np.ndarray, lane: int, tau: int, total: int) -> np.ndarray:
+    """Whether fingerprints (lanes last) are linked by way of ``lane``: it is within ``tau`` bits, all together within ``total``.
+    A pair that is linked by way of another lane is found when that lane is probed."""
+    near = np.bitwise_count(a[..., lane] ^ b[..., lane]) <= tau
+    if a.shape[-1] > 1 and near.any():
+        hit = np.nonzero(near)
+        a, b = np.broadcast_arrays(a, b)
+        near[hit] = np.bitwise_count(a[hit] ^ b[hit]).sum(axis=-1) <= total
+    return near
 
 
-def forest(rows: np.ndarray, tau: int, total: int) -> list[tuple[int, int]]:
+def forest(rows: np.ndarray, lane: int, tau: int, total: int) -> list[tuple[int, int]]:
     """Edges (positions) of a spanning forest of the links among fingerprints (rows x lanes)."""
     left = np.arange(len(rows))
     edges = []
     while len(left):
         head = left[:64]
-        near = alike(rows[head][:, None, :], rows[left][None, :, :], tau, total)
+        near = alike(rows[head][:, None, :], rows[left][None, :, :], lane, tau, total)
         near[np.arange(len(head)), np.arange(len(head))] = False
         linked = near.any(axis=1)
         if not linked.any():  # the usual case: none of these is near any that is left
@@ -210,7 +217,7 @@ def forest(rows: np.ndarray, tau: int, total: int) -> list[tuple[int, int]]:
         queue, left = [head[first]], left[stays]
         while queue and len(left):
             x = queue.pop()
-            near = alike(rows[left], rows[x], tau, total)
+            near = alike(rows[left], rows[x][None, :], lane, tau, total)
             queue += (hit := left[near]).tolist()
             edges += [(int(x), int(y)) for y in hit]
             left = left[~near]
@@ -222,7 +229,7 @@ EDGE = "a long, b long"
 SMALL = 16
 
 
-def bucket_edges(tau: int, total: int):
+def bucket_edges(lane: int, tau: int, total: int):
     """mapInArrow over (key, rep, f0, f1, ...) sorted by key: edges between representatives."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +246,11 @@ def bucket_edges(tau: int, total: int):
                 at = starts[sizes == n]
                 for i in range(n):
                     for j in range(i):
-                        near = alike(fp[at + i], fp[at + j], tau, total)
+                        near = alike(fp[at + i], fp[at + j], lane, tau, total)
                         a.append(rep[at[near] + i])
                         b.append(rep[at[near] + j])
             for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-                if edges := forest(fp[s : s + n], tau, total):
+                if edges := forest(fp[s : s + n], lane, tau, total):
                     x, y = np.array(edges).T
                     a.append(rep[s + x])
                     b.append(rep[s + y])
@@ -308,7 +315,10 @@ def links(reps: DataFrame, tau: int, total: int | None = None, bucket_rows: int
     total = tau if total is None else total
     edges = reps.sparkSession.createDataFrame([], EDGE)
     for lane in range(lanes):
-        plan, _ = allocate(*bit_counts(reps, lane), tau)
+        n, both = bit_counts(reps, lane)
+        plan, _ = allocate(n, both, tau)
+        # few large tasks: each emits a spanning forest of what it sees
+        tasks = max(2 * reps.sparkSession.sparkContext.defaultParallelism, n * sum(ball(len(bits), t) for bits, t in plan) // FILED_ROWS)
         filed = signatures(reps, lane, plan)
         hot, found = maybe_hot(reps, lane, plan, bucket_rows), []
         if hot is not None:
@@ -323,22 +333,22 @@ def links(reps: DataFrame, tau: int, total: int | None = None, bucket_rows: int
                     hubs = again.groupBy("key").agg(F.min("rep").alias("b"))
                     found.append(again.select("key", "rep").join(hubs.hint("merge"), "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
                 else:
-                    found.append(block_edges(members, bucket_rows, tau, total))
+                    found.append(block_edges(members, bucket_rows, lane, tau, total))
                 filed = filed.join(big, "key", "left_anti")
-        found.append(filed.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(bucket_edges(tau, total)), EDGE))
+        found.append(filed.repartition("key").coalesce(tasks).sortWithinPartitions("key").mapInArrow(common.tidy(bucket_edges(lane, tau, total)), EDGE))
         for more in found:
             edges = edges.union(common.cut(more) if lanes > 1 else more)  # a lane's shuffle goes before the next begins
     return edges
 
 
-def block_edges(members: DataFrame, rows: int, tau: int, total: int) -> DataFrame:
+def block_edges(members: DataFrame, rows: int, lane: int, tau: int, total: int) -> DataFrame:
     """All links within large buckets: members are dealt into blocks of about ``rows`` and every
     pair of blocks meets in a task of its own."""
     dealt = members.withColumn("blocks", F.ceil(F.col("n") / rows).cast("int"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key")
     paired = dealt.select(cell, *[c for c in members.columns if c not in ("key", "n")])
-    return paired.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(bucket_edges(tau, total)), EDGE)
+    return paired.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(bucket_edges(lane, tau, total)), EDGE)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 2, lanes: int = 1, total: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
