@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from ..functions.columns import natural_key, strands_match
 from .blocks import following, running
 
-#: Length of a bin of the range join.
-BIN = 100_000
+#: Length of a bin of the range join: a few typical intervals; an interval of many bins is filed under each.
+BIN = 10_000
 #: Length of a block of sweeps and islands.
 BLOCK = 1_000_000
 
