@@ -41,9 +41,8 @@ def index_vectors() -> np.ndarray:
     """The fixed ternary index vectors; the row behind the last is zero and stands for a document's edge."""
     rng = np.random.default_rng(8)
     out = np.zeros((VOCAB + 1, SIZE), np.int8)
-    for row in out[:VOCAB]:
-        at = rng.choice(SIZE, NONZERO, replace=False)
-        row[at] = rng.permutation([1] * (NONZERO // 2) + [-1] * (NONZERO // 2))
+    at = rng.random((VOCAB, SIZE)).argsort(axis=1)[:, :NONZERO]  # which places, in random order
+    out[np.arange(VOCAB)[:, None], at] = [1] * (NONZERO // 2) + [-1] * (NONZERO // 2)
     return out
 
 
