@@ -49,11 +49,16 @@ def range_join(left: DataFrame, right: DataFrame, within: int = 0, stranded: boo
     return a.join(b, on).drop("__lo", "__hi", "__rhi", "__bin", "__rbin")
 
 
+def row_key(df: DataFrame) -> dict[str, Column]:
+    """Columns __id and __id2: 128 bits that stand for a row's values."""
+    return {"__id": F.xxhash64(*df.columns), "__id2": F.xxhash64(F.lit(7), *df.columns)}
+
+
 def semi(left: DataFrame, right: DataFrame, keep: bool = True, **options) -> DataFrame:
     """Rows of ``left`` that overlap some row of ``right`` (or none, without ``keep``): an existence join on bins."""
-    marked = left.withColumn("__id", F.xxhash64(*left.columns))  # equal rows have equal answers
-    hits = range_join(marked, right.select(*[c for c in ("chrom", "start", "end", "strand") if c in right.columns]), **options).select("__id").distinct()
-    return marked.join(hits, "__id", "left_semi" if keep else "left_anti").drop("__id")
+    marked = left.withColumns(row_key(left))  # equal rows have equal answers
+    hits = range_join(marked, right.select(*[c for c in ("chrom", "start", "end", "strand") if c in right.columns]), **options).select("__id", "__id2").distinct()
+    return marked.join(hits, ["__id", "__id2"], "left_semi" if keep else "left_anti").drop("__id", "__id2")
 
 
 def count_overlaps(refs: DataFrame, queries: DataFrame, key: list[str], stranded: bool = True, **options) -> DataFrame:

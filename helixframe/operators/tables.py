@@ -16,10 +16,10 @@ def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str
     if split is None:
         out = df.join(last, df[key] == last["__k"], "left")
         return out.withColumn(name, F.coalesce("__v", F.lit(missing))).drop("__k", "__v")
-    rows = df.withColumn("__row", F.xxhash64(*df.columns))
-    parts = rows.select("__row", F.posexplode(F.split(key, split)).alias("__i", "__k")).distinct().join(last, "__k")
-    got = parts.groupBy("__row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]), ",").alias("__j"))
-    return rows.join(got, "__row", "left").withColumn(name, F.coalesce("__j", F.lit(missing))).drop("__row", "__j")
+    rows = df.withColumns(intervals.row_key(df))
+    parts = rows.select("__id", "__id2", F.posexplode(F.split(key, split)).alias("__i", "__k")).distinct().join(last, "__k")
+    got = parts.groupBy("__id", "__id2").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]), ",").alias("__j"))
+    return rows.join(got, ["__id", "__id2"], "left").withColumn(name, F.coalesce("__j", F.lit(missing))).drop("__id", "__id2", "__j")
 
 
 def in_table(df: DataFrame, key: str, values: DataFrame, name: str) -> DataFrame:
