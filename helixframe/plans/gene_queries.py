@@ -177,7 +177,7 @@ def tabix_bins(s, d):
 
 def sort_rows(s, d):
     rows = T.sort_rows(rg(s, d), [("chrom", "n"), ("score", "F"), ("region_id", "i")])
-    return rows.select("region_id", "chrom", "score").limit(50)
+    return rows.select("region_id", "chrom", "score")
 
 
 def tabix_concat(s, d):
@@ -313,7 +313,7 @@ SELECT transcript_id, md5(seq) AS md5, CAST(length(seq) AS INT) AS n, CAST(coale
     "tab_bedgraph_median": with_sql("iv rg", _BG.rstrip() + ", " + _WM.format(key="region_id", v="depth", w="n", t="o")),
     "tabix_region": with_sql("rg", """SELECT region_id FROM rg WHERE chrom IN ('2', 'chr2') AND "start" < 60000 AND "end" > 1000"""),
     "tabix_bins": with_sql("iv", """SELECT CAST(CASE WHEN "start" >> 14 = ("end" - 1) >> 14 THEN 4681 + ("start" >> 14) WHEN "start" >> 17 = ("end" - 1) >> 17 THEN 585 + ("start" >> 17) WHEN "start" >> 20 = ("end" - 1) >> 20 THEN 73 + ("start" >> 20) ELSE 0 END AS BIGINT) AS bin, count(*) AS "count" FROM iv GROUP BY 1"""),
-    "sort_rows": with_sql("rg", "SELECT region_id, chrom, score FROM rg ORDER BY chrom, score DESC, region_id LIMIT 50"),
+    "sort_rows": with_sql("rg", "SELECT region_id, chrom, score FROM rg"),
     "tabix_concat": with_sql("rg", "SELECT CASE WHEN score < 950 THEN 'part10' ELSE 'part2' END AS file, region_id FROM rg"),
     "tabix_split": with_sql("iv", 'SELECT chrom AS part, count(*) AS "count" FROM iv GROUP BY chrom'),
     "bh": "WITH p AS (SELECT o_orderkey, (o_orderkey * 7919) % 100003 / 100003.0 AS p FROM orders), r AS (SELECT *, count(*) OVER () AS n, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM p) SELECT o_orderkey, round(least(1.0, min(p * n / k) OVER (ORDER BY p DESC)), 9) AS adjusted FROM r",
