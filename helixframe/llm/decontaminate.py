@@ -3,8 +3,8 @@
 Test items are indexed as BM25 postings in blocks of items with block maxima; every
 passage of every training document is a query.  Impacts are divided by the item's own
 score, so one threshold serves all items, and a passage that holds an item scores 1.
-A vectorised bound (matched rare terms plus all frequent ones) discards most passages;
-the others go through block-max WAND, which returns all items above the threshold; what
+A vectorised bound (matched anchors plus all other terms, which for every item stay below
+the threshold) discards most passages and none that reaches it; the others go through block-max WAND, which returns all items above the threshold; what
 it returns is verified by the overlap of five-word shingles with the item's question
 (all but its last sentence) and answer (the last sentence).
 
@@ -38,6 +38,8 @@ MIN_STRIDE = 64
 #: Items in one index; about 10 MB of postings.
 INDEX_ITEMS = 20_000
 BLOCK = 64
+#: Postings of anchors that are summed at once.
+POSTINGS = 1 << 20
 
 
 def words(text: str) -> np.ndarray:
@@ -84,21 +86,28 @@ class Index:
         uniq = [np.unique(w, return_counts=True) for *_, w in kept]
         self.vocab, df = np.unique(np.concatenate([u for u, _ in uniq] or [np.empty(0, np.uint64)]), return_counts=True)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        item, term, impact = [], [], []
+        item, term, impact, anchor = [], [], [], []
         for k, ((u, tf), (*_, w)) in enumerate(zip(uniq, kept)):
             at = np.searchsorted(self.vocab, u)
             score = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / avg))
             item.append(np.full(len(u), k))
             term.append(at)
             impact.append(score / score.sum())
-        item, term, impact = (np.concatenate(x or [np.empty(0)]) for x in (item, term, impact))
+            # rare terms, then the least frequent others until what is left cannot reach the threshold
+            by = np.argsort(df[at], kind="stable")
+            ahead = np.cumsum(impact[-1][by]) - impact[-1][by]
+            anchor.append(df[at] <= max(2, n // 10))
+            anchor[-1][by[1 - ahead >= threshold - 1e-6]] = True
+        item, term, impact, anchor = (np.concatenate(x or [np.empty(0)]) for x in (item, term, impact, anchor))
+        anchor = anchor.astype(bool)
         order = np.lexsort((item, term))
         self.item, self.impact = item[order].astype(np.int64), impact[order]
         self.first = np.searchsorted(term[order], np.arange(len(self.vocab) + 1))
-        # frequent terms never start a candidate; an item's share of them is its base
-        self.rare = df <= max(2, n // 10)
-        self.base = np.zeros(n)
-        np.add.at(self.base, item[~self.rare[term.astype(int)]].astype(int), impact[~self.rare[term.astype(int)]])
+        # only anchors start a candidate; what an item's other terms add up to is its base, below the threshold
+        self.base = np.bincount(item[~anchor].astype(int), impact[~anchor], n)
+        held = order[anchor[order]]
+        self.start_item, self.start_impact = item[held].astype(np.int64), impact[held]
+        self.start_first = np.searchsorted(term[held], np.arange(len(self.vocab) + 1))
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.lists = [self._list(t) for t in range(len(self.vocab))]
@@ -165,25 +174,32 @@ class Index:
         new = np.r_[True, (inside[1:] // self.stride != inside[:-1] // self.stride) | (doc[1:] != doc[:-1])]
         seg = np.cumsum(new) - 1
         seg_first = np.flatnonzero(new)
-        rare = self.rare[term]
-        r_at, r_term = at[rare], term[rare]
-        # each segment's distinct rare terms
-        pair = np.unique(seg[r_at] * len(self.vocab) + r_term)
-        p_seg, p_term = pair // len(self.vocab), pair % len(self.vocab)
-        sizes = self.first[p_term + 1] - self.first[p_term]
-        post = np.repeat(self.first[p_term] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        key, back = np.unique(np.repeat(p_seg, sizes) * len(self.ids) + self.item[post], return_inverse=True)
-        weight = np.bincount(back, self.impact[post], len(key))
-        # of the passage that begins at a segment, and of the one that ends there
-        nxt = np.searchsorted(key, key + len(self.ids)).clip(max=max(len(key) - 1, 0))
-        both = weight + np.where(key[nxt] == key + len(self.ids), weight[nxt], 0) if len(key) else weight
-        item = key % len(self.ids)
-        enough = both + self.base[item] >= self.threshold - 1e-9
-        todo = np.unique(key[enough] // len(self.ids))
-        alone = np.flatnonzero(weight + self.base[item] >= self.threshold - 1e-9)
-        todo = np.unique(np.r_[todo, key[alone] // len(self.ids)])
         seg_doc = doc[seg_first]
-        for s in todo.tolist():
+        # each segment's distinct terms that are an anchor of some item
+        starts = self.start_first[term + 1] > self.start_first[term]
+        pair = np.unique(seg[at[starts]] * len(self.vocab) + term[starts])
+        p_seg, p_term = pair // len(self.vocab), pair % len(self.vocab)
+        sizes = self.start_first[p_term + 1] - self.start_first[p_term]
+        total = np.r_[0, np.cumsum(sizes)]
+        todo, n = set(), len(self.ids)
+        seg_at = np.searchsorted(p_seg, np.arange(len(seg_first) + 1))
+        seg_total = total[seg_at]
+        follows = np.r_[False, seg_doc[1:] == seg_doc[:-1]]
+        s = 0
+        while s < len(seg_first):  # runs of segments of about POSTINGS, each with the first segment of the next run
+            e = max(s + 1, int(np.searchsorted(seg_total, seg_total[s] + POSTINGS)) - 1)
+            lo, hi = seg_at[s], seg_at[min(e + 1, len(seg_first))]
+            post = np.repeat(self.start_first[p_term[lo:hi]] - (total[lo:hi] - total[lo]), sizes[lo:hi]) + np.arange(total[hi] - total[lo])
+            key, back = np.unique(np.repeat(p_seg[lo:hi], sizes[lo:hi]) * n + self.start_item[post], return_inverse=True)
+            weight = np.bincount(back, self.start_impact[post], len(key))
+            # of the passage that begins at a segment, and of the one that ends there
+            nxt = np.searchsorted(key, key + n).clip(max=max(len(key) - 1, 0))
+            both = weight + np.where(key[nxt] == key + n, weight[nxt], 0) if len(key) else weight
+            base, of = self.base[key % n], key // n
+            todo.update(of[both + base >= self.threshold - 1e-9].tolist())
+            todo.update((of[(weight + base >= self.threshold - 1e-9) & follows[of]] - 1).tolist())
+            s = e
+        for s in sorted(todo):
             a = seg_first[s]
             last = s + 1 < len(seg_first) and seg_doc[s + 1] == seg_doc[s]
             e = s + 1 + last

@@ -313,6 +313,49 @@ def test_wand_finds_all_above():
         assert sorted(k for k, _ in index.wand(terms)) == np.flatnonzero(scores >= 0.3 - 1e-9).tolist()
 
 
+def benchmarks():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    plain = [" ".join(rng.sample(words, rng.randint(9, 14))) for _ in range(88)]
+    same = "one item that stands in the benchmark many times over and over"
+    return {
+        "equal": [same] * 3,
+        "repeated": plain + [same] * 12,
+        "templated": [f"what is {a} plus {b} and how did you find the sum of both" for a in ("four", "five", "six", "seven") for b in ("ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen")],
+        "plain": plain,
+    }
+
+
+@pytest.mark.parametrize("postings", [1 << 20, 50])
+@pytest.mark.parametrize("name", benchmarks())
+def test_prefilter_loses_nothing(monkeypatch, name, postings):
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontaminate, "POSTINGS", postings, raising=False)
+    monkeypatch.setattr(decontaminate, "MIN_STRIDE", 20)
+    texts, rng = benchmarks()[name], random.Random(8)
+    vocab = sorted({w for t in texts for w in t.split()})
+    docs = []
+    for t in texts:
+        w = t.split()
+        w[rng.randrange(len(w))] = rng.choice(["changed", *vocab])
+        for item in (t, " ".join(w)):
+            docs.append(" ".join([*rng.choices(["x", "y", *vocab[:5]], k=rng.randint(0, 70)), item, *rng.choices("xyz", k=rng.randint(0, 50))]))
+    items = list(enumerate(texts))
+    got = {(d, i) for d, i, _ in decontaminate.found(decontaminate.Index(items), pa.array(docs))}
+    assert {(d, i) for d, i in brute_items(list(enumerate(docs)), items) if texts[i] in docs[d]} <= got
+    # all passages through WAND, without a prefilter
+    index, want = decontaminate.Index(items), set()
+    for d, text in enumerate(docs):
+        h = decontaminate.words(text)
+        for a in range(0, len(h), index.stride):
+            part = h[a : a + 2 * index.stride]
+            known = np.flatnonzero(np.isin(index.vocab, part))
+            have = decontaminate.shingles(part)
+            want |= {(d, index.ids[k]) for k, _ in index.wand(known) if np.isin(index.parts[k][0], have).mean() >= index.overlap}
+    assert got == want and {i for _, i in got} == set(range(len(texts)))
+
+
 def test_words_are_hashed_alike():
     import pyarrow as pa
 
