@@ -4,9 +4,17 @@ Test items are indexed as BM25 postings in blocks of items with block maxima; ev
 passage of every training document is a query.  Impacts are divided by the item's own
 score, so one threshold serves all items, and a passage that holds an item scores 1.
 A vectorised bound (matched anchors plus all other terms, which for every item stay below
-the threshold) discards most passages and none that reaches it; the others go through block-max WAND, which returns all items above the threshold; what
-it returns is verified by the overlap of five-word shingles with the item's question
-(all but its last sentence) and answer (the last sentence).
+the threshold) discards most passages and none that reaches it; the others, if they hold a
+shingle without which the verification fails, go through block-max WAND, which returns all
+items above the threshold; what it returns is verified by the overlap of five-word shingles
+with the item's question (all but its last sentence) and answer (the last sentence).
+
+A passage leaks an item if at least OVERLAP of the question's shingles and OVERLAP of the
+answer's are in it, or OVERLAP of the shingles of both in a row, or OVERLAP of the question's
+alone: a question gives the item away without its answer.  The last holds for questions of
+five words or more, which are also indexed by themselves; an answer alone is no leak.  A part
+of fewer than five words is held if all its words stand in a row.  The score is the item's or
+its question's, the higher one.
 
 Passages are windows of twice the longest item with a stride of its length, so every
 occurrence lies whole in some passage.  Items are indexed and sent to tasks in blocks of
@@ -78,18 +86,31 @@ class Index:
         self.threshold, self.overlap = threshold, overlap
         kept = [(i, t, words(t)) for i, t in items if t]
         kept = [x for x in kept if len(x[2]) >= SHINGLE]
-        self.ids = [i for i, *_ in kept]
-        self.parts = [(np.unique(shingles(w)), *(np.unique(shingles(words(p))) for p in question_answer(t))) for _, t, w in kept]
+        parted = [(w, *np.split(w, [len(words(question_answer(t)[0]))])) for _, t, w in kept]
+        # entries: the whole items, then the questions that are long enough not to match by chance
+        self.of = [*range(len(kept)), *(k for k, (w, q, _) in enumerate(parted) if SHINGLE <= len(q) < len(w))]
+        self.ids = [kept[k][0] for k in self.of]
+        self.parts = [tuple(np.unique(shingles(x)) for x in parted[k]) for k in self.of]
+        self.sizes = [tuple(min(SHINGLE, len(x)) for x in parted[k]) for k in self.of]
         self.stride = max([MIN_STRIDE, *(len(w) for *_, w in kept)])
+        # a passage can pass the verification only if it holds a shingle of the item or, where both parts are short, the question
+        needed = [(SHINGLE, x) for x, *_ in self.parts] + [(n[1], x[1]) for n, x in zip(self.sizes, self.parts) if 0 < n[1] < SHINGLE > n[2]]
+        self.needed = {}
+        for k in sorted({k for k, _ in needed}):
+            known = np.unique(np.concatenate([x for j, x in needed if j == k]))
+            bits = np.zeros(1 << 18, bool)
+            bits[(known & np.uint64(0x3FFFF)).astype(np.int64)] = True
+            self.needed[k] = known, bits
         n = len(kept)
         avg = sum(len(w) for *_, w in kept) / max(n, 1)
         uniq = [np.unique(w, return_counts=True) for *_, w in kept]
         self.vocab, df = np.unique(np.concatenate([u for u, _ in uniq] or [np.empty(0, np.uint64)]), return_counts=True)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         item, term, impact, anchor = [], [], [], []
-        for k, ((u, tf), (*_, w)) in enumerate(zip(uniq, kept)):
+        uniq += [np.unique(parted[k][1], return_counts=True) for k in self.of[n:]]
+        for k, (u, tf) in enumerate(uniq):
             at = np.searchsorted(self.vocab, u)
-            score = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / avg))
+            score = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / avg))
             item.append(np.full(len(u), k))
             term.append(at)
             impact.append(score / score.sum())
@@ -104,7 +125,7 @@ class Index:
         self.item, self.impact = item[order].astype(np.int64), impact[order]
         self.first = np.searchsorted(term[order], np.arange(len(self.vocab) + 1))
         # only anchors start a candidate; what an item's other terms add up to is its base, below the threshold
-        self.base = np.bincount(item[~anchor].astype(int), impact[~anchor], n)
+        self.base = np.bincount(item[~anchor].astype(int), impact[~anchor], len(self.of))
         held = order[anchor[order]]
         self.start_item, self.start_impact = item[held].astype(np.int64), impact[held]
         self.start_first = np.searchsorted(term[held], np.arange(len(self.vocab) + 1))
@@ -175,8 +196,9 @@ class Index:
         seg = np.cumsum(new) - 1
         seg_first = np.flatnonzero(new)
         seg_doc = doc[seg_first]
+        worth = self.worth(h, seg, len(seg_first))
         # each segment's distinct terms that are an anchor of some item
-        starts = self.start_first[term + 1] > self.start_first[term]
+        starts = (self.start_first[term + 1] > self.start_first[term]) & (worth | np.r_[False, worth[:-1]])[seg[at]]
         pair = np.unique(seg[at[starts]] * len(self.vocab) + term[starts])
         p_seg, p_term = pair // len(self.vocab), pair % len(self.vocab)
         sizes = self.start_first[p_term + 1] - self.start_first[p_term]
@@ -199,7 +221,7 @@ class Index:
             todo.update(of[both + base >= self.threshold - 1e-9].tolist())
             todo.update((of[(weight + base >= self.threshold - 1e-9) & follows[of]] - 1).tolist())
             s = e
-        for s in sorted(todo):
+        for s in sorted(t for t in todo if worth[t]):
             a = seg_first[s]
             last = s + 1 < len(seg_first) and seg_doc[s + 1] == seg_doc[s]
             e = s + 1 + last
@@ -208,14 +230,30 @@ class Index:
             found = self.wand(np.unique(term[lo:hi]))
             if not found:
                 continue
-            have = np.unique(shingles(h[a:b]))
+            have = {k: np.unique(shingles(h[a:b], k)) for k in range(1, SHINGLE + 1)}
             for k, score in found:
-                whole, question, answer = (np.isin(x, have).mean() if len(x) else 1.0 for x in self.parts[k])
-                if whole >= self.overlap:
-                    old = hits.get((int(seg_doc[s]), k), (0, 0, 0))
-                    hits[int(seg_doc[s]), k] = tuple(map(max, old, (score, float(question), float(answer))))
+                overlaps = [float(np.isin(x, have[n]).mean()) if n else 1.0 for x, n in zip(self.parts[k], self.sizes[k])]
+                if self.leaked(k, *overlaps):
+                    at_item = int(seg_doc[s]), self.of[k]
+                    hits[at_item] = tuple(map(max, hits.get(at_item, (0, 0, 0)), (score, *overlaps[1:])))
         return hits
 
+    def worth(self, h: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
+        """Which of the passages that begin at the ``n`` segments hold a shingle without which the verification fails."""
+        if self.overlap <= 0:
+            return np.ones(n, bool)
+        out = np.zeros(n + 1, bool)
+        for k, (known, bits) in self.needed.items():
+            x = shingles(h, k)
+            at = np.flatnonzero(bits[(x & np.uint64(0x3FFFF)).astype(np.int64)])
+            out[seg[at[known[np.searchsorted(known, x[at]).clip(max=len(known) - 1)] == x[at]]]] = True
+        return out[:-1] | out[1:]
+
+    def leaked(self, k: int, whole: float, question: float, answer: float) -> bool:
+        """Whether a passage with these overlaps leaks the item of entry ``k``."""
+        enough = answer >= self.overlap or self.sizes[k][1] == SHINGLE
+        return whole >= self.overlap or question >= self.overlap and enough
+
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each document and the items found in it."""
