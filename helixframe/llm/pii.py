@@ -34,10 +34,10 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Wider candidates of the method: (kind, a text's cheap precondition, pattern).
+#: Wider candidates of the method: (kind, a pattern that a text must hold for the next one to match, pattern).
 WIDER = (
     ("email", "at", rf"(?<!{LOCAL})[A-Za-z0-9._%+-]{{2,64}}+ ?[(\[] ?at ?[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[] ?dot ?[)\]]) ?[A-Za-z0-9-]{{2,}}+)++"),
-    ("phone", "-", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
+    ("phone", "[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
     ("secret", "", r"(?:token|secret|password|api[_-]key)\s{0,3}+[=:]\s{0,3}+\"?[A-Za-z0-9_-]{12,}+\"?"),
 )
 IP_RANGE = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
@@ -120,7 +120,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and cands: array of (start, rank, end, kind, m, l, r, base) of whole texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     need = {"email": F.col("t").contains("@"), "phone": F.col("t").contains("+"), "ip": F.col("t").rlike("[0-9]"), "card": F.col("t").rlike("[0-9]")}
-    jobs = [(k, p, need[k], True) for k, p in PATTERNS.items()] + [(k, p, F.col("t").contains(w), False) for k, w, p in WIDER]
+    jobs = [(k, p, need[k], True) for k, p in PATTERNS.items()] + [(k, p, F.col("t").rlike(w), False) for k, w, p in WIDER]
     none = F.array().cast("array<string>")
     for i, (_, p, when, _) in enumerate(jobs):
         rows = rows.withColumn(f"m{i}", F.when(when, F.regexp_extract_all("t", F.lit(p), F.lit(0))).otherwise(none))

@@ -173,6 +173,14 @@ def test_base_spans(spark):
         assert not any(a.start < b[2] and b[0] < a.end for a in r.added for b in want)
 
 
+def test_phones_need_no_hyphen(spark):
+    numbers = ["(212) 555 0147", "(212)555.0147", "212.555.0147", "212 555 0147", "212-555-0147", "(212) 555-0147", "212 555.0147"]
+    texts = [f"call {n} now" for n in numbers] + ["call 212 5550147 now", "call 1212.555.0147.3 now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(c.kind, c.m, c.start) for c in r.cands if c.kind == "phone"] for r in pii.candidates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [[("phone", n, 5)] for n in numbers] + [[], []]
+
+
 # -- mixing -------------------------------------------------------------------------------
 
 
