@@ -7,7 +7,8 @@
 4. mixing: each source is taken to its target weight, in blocks
 5. token output: what was taken is packed into rows of token ids
 
-Rows that share a doc_id count as one document for stage 2.  Nulls: a null text is rejected by stage 1;
+Rows that share doc_id and text count as one document for stage 2; other rows that share a doc_id are
+documents of their own (one keeps the id, the others get surrogates there).  Nulls: a null text is rejected by stage 1;
 a null lang is filled with the prediction; a null doc_id gets a surrogate for stage 2 alone; a null
 source is a source of its own.  Columns beyond those of ``documents`` pass through stages 1 to 4.
 """
@@ -36,8 +37,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = F.coalesce(F.col("doc_id").cast("long"), -1 - F.abs(F.shiftright(F.xxhash64("text"), 1)))
-    keyed = docs.withColumn("__key", key)
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
+    # ids with several texts: the text of least hash keeps the id, the others get surrogates above usual ids
+    several = rows.groupBy("__id").agg(F.min("__hash").alias("__least"), F.max("__hash").alias("__most"))
+    several = common.cut(several.where("__id is not null and __least <> __most").select("__id", "__least"))
+    other = F.shiftright(F.xxhash64("__id", "__hash"), 2).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    key = F.when(F.col("__least") != F.col("__hash"), other).otherwise(F.coalesce("__id", -1 - F.abs(F.shiftright("__hash", 1))))
+    keyed = common.join_bounded(rows, several, ["__id"], "left").withColumn("__key", key).drop("__id", "__hash", "__least")
     groups = simhash.near_duplicates(keyed.select("__key", "text"), SHINGLE, TAU, LANES, TOTAL, id_col="__key")
     stay = common.cut(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct())
     first = F.row_number().over(Window.partitionBy("__key").orderBy("text"))

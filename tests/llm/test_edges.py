@@ -136,3 +136,12 @@ def test_stage_keeps_one_of_each_group(spark, docs, tmp_path):
     assert 1 in ids and 2 not in ids and ids.count(7) == 1 and 3 in ids and 9 in ids
     kept = corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in kept} >= {1, 2, 3, 7, 9} and not {4, 5, 6, 10} & {r.doc_id for r in kept}
+
+
+def test_stage_keeps_other_texts_of_an_id(spark, tmp_path):
+    words = [[f"{a}{i}" for i in range(40)] for a in "pqr"]
+    texts = [" ".join(w) for w in words]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (8, texts[1]), (9, texts[2]), (None, texts[2] + " end"), (None, None), (9, None)]
+    table = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    got = [r.text for r in corpus_pipeline.drop_near_copies(spark, table, str(tmp_path)).collect()]
+    assert sorted((t or "")[:2] for t in got) == ["", "p0", "q0", "r0"]
