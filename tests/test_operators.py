@@ -5,7 +5,7 @@ import pyspark.sql.functions as F
 import pytest
 from helixframe.functions import sequences, stats
 from helixframe.functions.columns import glob_regex, natural_key, phred, region
-from helixframe.operators import alignments, genes, intervals, reads, references, tables, variants
+from helixframe.operators import alignments, genes, graph, intervals, reads, references, tables, variants
 
 
 def bed(spark, rows, schema="chrom string, start long, end long, name string, score double, strand string"):
@@ -222,3 +222,25 @@ def test_lookup_last_wins(spark):
 def test_index_bins(spark):
     r = spark.range(1).select(tables.reg2bin(F.lit(0), F.lit(1)).alias("a"), tables.reg2bin(F.lit(0), F.lit(1 << 29)).alias("b"), tables.reg2bin(F.lit(16383), F.lit(16385)).alias("c")).first()
     assert (r.a, r.b, r.c) == (4681, 0, 585)
+
+
+def test_components_in_logarithmic_rounds(spark):
+    """Paths in the order of their ids, with the least id at the far end, and shuffled; a star; nulls and loops."""
+    n, rng = 32, np.random.default_rng(3)
+    orders = [np.arange(n), np.r_[np.arange(1, n), 0], rng.permutation(n)]
+    edges = [(int(o[i]) + 1000 * k, int(o[i + 1]) + 1000 * k) for k, o in enumerate(orders) for i in range(n - 1)] + [(5000, 5000 + i) for i in range(1, 60)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame([tuple(map(int, e)) for e in edges] + [(None, 3), (9, None), (77, 77)], "a long, b long")
+    rounds = []
+    got = {r.node: r.root for r in graph.components(df, few=0, edges_per_task=20, rounds=rounds).collect()}
+    assert got == {i + 1000 * k: 1000 * k for k in range(3) for i in range(n)} | {5000 + i: 5000 for i in range(60)}
+    assert len(rounds) <= 2 * np.log2(n) + 4
+    assert got == {r.node: r.root for r in graph.components(df).collect()}
+    assert graph.components(df.limit(0)).count() == 0
+
+
+def test_join_survives_hot_keys(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 0, id) as k", "id as v")
+    table = rows.groupBy("k").count().withColumn("x", F.col("k") * 2)
+    got = graph.join_hot(rows, table, ["k"], "count", 30_000)
+    assert sorted(got.columns) == ["k", "v", "x"] and got.where("x = 2 * k").count() == 30_000 == got.select("v").distinct().count()
