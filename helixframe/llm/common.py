@@ -6,8 +6,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +14,13 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from ..operators import graph
+from ..operators.graph import Store, components, cut, join_hot, release, shared_path, shared_root  # noqa: F401  pieces of the library
+
 #: Documents in one Arrow batch.  A batch is what a Python worker holds at once,
 #: so very long texts need a small one.
 BATCH_ROWS = 1024
 
-#: Edges of which one task keeps a spanning forest.
-EDGES_PER_TASK = 1_000_000
-#: Rows of a few numbers that go to one checkpoint file.
-ROWS_PER_FILE = 500_000
-
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -32,21 +28,6 @@ LOWER = UPPER.lower()
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none is a local one made, as in tests."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixframe-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under :func:`shared_root`."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def small_batches(spark: SparkSession) -> None:
     """Holds Arrow batches to :data:`BATCH_ROWS` rows unless the session asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -54,25 +35,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it from there: later jobs neither
-    recompute it nor depend on the executors that made it.  Shuffle files that
-    nothing refers to any more are released.  With ``rows``, about how many there are,
-    they go to few files instead of one for each task."""
-    spark = df.sparkSession
-    shared_root(spark)
-    if rows is not None:
-        df = df.repartition(2 + rows // ROWS_PER_FILE)
-    out = df.checkpoint(eager=True)
-    release(spark)
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
@@ -107,28 +69,8 @@ def join_bounded(df: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
-class Forest:
-    """Union-find over any keys."""
-
-    def __init__(self):
-        self.parent: dict = {}
-
-    def find(self, x):
-        parent = self.parent
-        root = x
-        while (up := parent.get(root, root)) != root:
-            root = up
-        while x != root:
-            parent[x], x = root, parent.get(x, x)
-        return root
-
-    def add(self, a, b) -> bool:
-        """Joins a and b; whether they were apart."""
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
+class Forest(graph.Forest):
+    """Union-find that thins arrays of edges."""
 
     def thin(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
         """The edges among (a, b) that join what was apart."""
@@ -136,67 +78,28 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"]) if keep else None
 
 
-def forest_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forest = Forest()
-    for batch in batches:
-        if thin := forest.thin(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)):
-            yield thin
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the undirected edges (a, b), distributed: (node, root) for each
-    node of an edge, root being the smallest node reachable.  Every round takes the smallest
-    label among neighbours and then the label's own label, so rounds grow with the logarithm
-    of a component's diameter; each round is cut."""
-    edges = cut(edges.where("a is not null and b is not null and a <> b").select("a", "b"))
-    # each task keeps a spanning forest of its share of the edges: a large group shrinks to its size times the tasks
-    edges = edges.repartition(2 + edges.count() // EDGES_PER_TASK).mapInArrow(tidy(forest_edges), "a long, b long")
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    n = both.count()
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), n)
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("root", "near").alias("next"), F.col("root").alias("was"))
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        labels = cut(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), "was"), n)
-        if labels.where("root <> was").isEmpty():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+def attempt() -> int:
+    """A number that no two attempts at a task share: files named with it are never written twice."""
+    return TaskContext.get().taskAttemptId() if TaskContext.get() else 0
 
 
 def put(uri: str, name: str, data: bytes) -> None:
-    """Writes one file by a temporary name and a rename: a lost or repeated task leaves no half file."""
+    """Writes one file.  Names hold :func:`attempt`, and readers take the files that the manifest of the
+    attempts that succeeded lists, so a lost or repeated task's files are never read."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
-    tmp = f"{root}/_{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
-    with store.open_output_stream(tmp) as f:
+    with store.open_output_stream(f"{root}/{name}") as f:
         f.write(data)
-    store.move(tmp, f"{root}/{name}")
-
-
-class Store:
-    """Parquet tables in the shared folder that live until :meth:`drop`: for what is read
-    more than once, by column, and is too large for a checkpoint."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = shared_path(self.spark, name)
-        self.paths.append(path)
-        df.write.parquet(path)
-        release(self.spark)
-        return self.spark.read.parquet(path)
-
-    def drop(self, first: int | None = None) -> None:
-        """Deletes all tables, or the ``first`` so many."""
-        jvm = self.spark.sparkContext._jvm
-        for path in self.paths[:first]:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        self.paths = [] if first is None else self.paths[first:]
+
+
+def get(uri: str, name: str) -> bytes:
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(f"{root}/{name}") as f:
+        return f.read()
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

@@ -16,25 +16,33 @@ five words or more, which are also indexed by themselves; an answer alone is no
 of fewer than five words is held if all its words stand in a row.  The score is the item's or
 its question's, the higher one.
 
-Passages are windows of twice the longest item with a stride of its length, so every
-occurrence lies whole in some passage.  Items are indexed and sent to tasks in blocks of
-INDEX_ITEMS, a fixed bound; a larger benchmark means more blocks, not a larger index.
+An item of fewer than five words leaks if all of them stand in a row.  A word is a run of
+letters and digits; each character of a script without spaces is one.
 
-Defined results: null and empty texts match nothing; items that are null or have fewer
-than five words are no queries' answers (they would match by chance); repeated documents
-each get their rows; repeated items each match; empty tables give no rows; documents'
-other columns are not read.
+Passages are windows of twice the longest item with a stride of its length, so every
+occurrence lies whole in some passage.  Statistics (items, mean and greatest length, document
+frequencies) are those of all items.  Indexes are built by tasks in blocks of about half of
+INDEX_ITEMS items, a fixed bound, and written to the shared folder; a larger benchmark means
+more blocks, and results do not depend on their number.  Documents are read and cut into words
+once: up to KEPT blocks stay in a task, of more each is loaded in turn for HOLD bytes of text.
+
+Defined results: null and empty texts, and items that are null or without a word, match
+nothing; repeated documents each get their rows; repeated items each match; of equal scores
+(ties) all count, as no item is preferred; texts and items of any length are read whole; empty
+tables give no rows; documents' other columns are not read by ``leaks`` and pass ``drop_leaks``.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from . import common, tokens
 
@@ -43,8 +51,10 @@ THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 MIN_STRIDE = 64
-#: Items in one index; about 10 MB of postings.
+#: Items in one index at most; about 10 MB of postings.
 INDEX_ITEMS = 20_000
+#: Indexes that a task holds at once, and bytes of text that are searched by each when there are more.
+KEPT, HOLD = 8, 32 << 20
 BLOCK = 64
 #: Postings of anchors that are summed at once.
 POSTINGS = 1 << 20
@@ -79,35 +89,47 @@ def question_answer(text: str) -> tuple[str, str]:
     return " ".join(found[:-n]), " ".join(found[-n:])
 
 
+class Stats(NamedTuple):
+    """Of all items that have words: how many, their mean and greatest length, and document frequencies of (at least the index's) terms."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[int, int]
+
+
 class Index:
-    """Inverted index of items with block maxima.  Fits a task: INDEX_ITEMS bounds it."""
+    """Inverted index of items with block maxima.  Fits a task: INDEX_ITEMS bounds it.  Without ``stats`` the items are all there are."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, overlap: float = OVERLAP):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, overlap: float = OVERLAP, stats: Stats | None = None):
         self.threshold, self.overlap = threshold, overlap
         kept = [(i, t, words(t)) for i, t in items if t]
-        kept = [x for x in kept if len(x[2]) >= SHINGLE]
+        kept = [x for x in kept if len(x[2])]
         parted = [(w, *np.split(w, [len(words(question_answer(t)[0]))])) for _, t, w in kept]
         # entries: the whole items, then the questions that are long enough not to match by chance
         self.of = [*range(len(kept)), *(k for k, (w, q, _) in enumerate(parted) if SHINGLE <= len(q) < len(w))]
         self.ids = [kept[k][0] for k in self.of]
         self.parts = [tuple(np.unique(shingles(x)) for x in parted[k]) for k in self.of]
         self.sizes = [tuple(min(SHINGLE, len(x)) for x in parted[k]) for k in self.of]
-        self.stride = max([MIN_STRIDE, *(len(w) for *_, w in kept)])
+        self.stride = max([MIN_STRIDE, *(len(w) for *_, w in kept)] if stats is None else [MIN_STRIDE, stats.longest])
         # a passage can pass the verification only if it holds a shingle of the item or, where both parts are short, the question
-        needed = [(SHINGLE, x) for x, *_ in self.parts] + [(n[1], x[1]) for n, x in zip(self.sizes, self.parts) if 0 < n[1] < SHINGLE > n[2]]
+        needed = [(n[0], x[0]) for n, x in zip(self.sizes, self.parts)] + [(n[1], x[1]) for n, x in zip(self.sizes, self.parts) if 0 < n[1] < SHINGLE > n[2]]
         self.needed = {}
         for k in sorted({k for k, _ in needed}):
             known = np.unique(np.concatenate([x for j, x in needed if j == k]))
             bits = np.zeros(1 << 18, bool)
             bits[(known & np.uint64(0x3FFFF)).astype(np.int64)] = True
             self.needed[k] = known, bits
-        n = len(kept)
-        avg = sum(len(w) for *_, w in kept) / max(n, 1)
+        here = len(kept)
+        n = here if stats is None else stats.items
+        avg = sum(len(w) for *_, w in kept) / max(n, 1) if stats is None else stats.mean
         uniq = [np.unique(w, return_counts=True) for *_, w in kept]
         self.vocab, df = np.unique(np.concatenate([u for u, _ in uniq] or [np.empty(0, np.uint64)]), return_counts=True)
+        if stats is not None:
+            df = np.array([stats.df[t] for t in self.vocab.view(np.int64).tolist()], np.int64)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         item, term, impact, anchor = [], [], [], []
-        uniq += [np.unique(parted[k][1], return_counts=True) for k in self.of[n:]]
+        uniq += [np.unique(parted[k][1], return_counts=True) for k in self.of[here:]]
         for k, (u, tf) in enumerate(uniq):
             at = np.searchsorted(self.vocab, u)
             score = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / avg))
@@ -235,7 +257,7 @@ class Index:
                 overlaps = [float(np.isin(x, have[n]).mean()) if n else 1.0 for x, n in zip(self.parts[k], self.sizes[k])]
                 if self.leaked(k, *overlaps):
                     at_item = int(seg_doc[s]), self.of[k]
-                    hits[at_item] = tuple(map(max, hits.get(at_item, (0, 0, 0)), (score, *overlaps[1:])))
+                    hits[at_item] = tuple(map(max, hits.get(at_item, (0, 0, 0)), (round(score, 9), *overlaps[1:])))
         return hits
 
     def worth(self, h: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
@@ -251,64 +273,122 @@ class Index:
 
     def leaked(self, k: int, whole: float, question: float, answer: float) -> bool:
         """Whether a passage with these overlaps leaks the item of entry ``k``."""
-        enough = answer >= self.overlap or self.sizes[k][1] == SHINGLE
-        return whole >= self.overlap or question >= self.overlap and enough
+        if whole >= self.overlap or self.sizes[k][0] < SHINGLE:
+            return whole >= self.overlap
+        return question >= self.overlap and (answer >= self.overlap or self.sizes[k][1] == SHINGLE)
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) for each document and the items found in it."""
-    common.small_batches(docs.sparkSession)
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    out = None
-    for index in indexes(items, threshold, overlap):
-
-        def task(batches: Iterator[pa.RecordBatch], ix=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [(b.column(0)[d].as_py(), ix.ids[item], *r) for d, item, r in found(ix, b.column(1))]
-                if rows:
-                    types = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        part = cols.mapInArrow(common.tidy(task), schema)
-        out = part if out is None else out.union(part)
+def split_all(texts: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(rows ahead, word hashes, row of each word from there) of runs of texts."""
+    out, done = [], 0
+    for data, offsets in tokens.chunks(texts):
+        out.append((done, *tokens.split(data, offsets, signs=False)[2:]))
+        done += len(offsets) - 1
     return out
 
 
-def indexes(items: DataFrame, threshold: float, overlap: float) -> Iterator[Index]:
-    """The items' indexes, one for each block of about half of INDEX_ITEMS items."""
+def found(index: Index, texts: pa.Array | list) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
+    """(row of ``texts``, item, (score, question and answer overlap)); ``texts`` may be what :func:`split_all` made of them."""
+    for done, h, doc in texts if isinstance(texts, list) else split_all(texts):
+        for (d, item), r in index.search(h, doc).items():
+            yield done + d, item, r
+
+
+def build(items: DataFrame, uri: str, threshold: float, overlap: float, index_items: int = INDEX_ITEMS) -> list[str]:
+    """Writes the indexes of all ``items`` below ``uri``; their files' names, one for each block of items."""
+    common.small_batches(items.sparkSession)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n_blocks = max(1, -(-items.count() // (INDEX_ITEMS // 2)))
-    for k in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        yield Index(sorted(map(tuple, block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), threshold, overlap)
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [words(t) for t in b.column(1).to_pylist()]
+            terms = pa.array([np.unique(w).view(np.int64) for w in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(w) for w in found], pa.int64()), terms], names=["item_id", "text", "n", "terms"])
+
+    rows = items.where("text is not null").mapInArrow(common.tidy(split), "item_id long, text string, n long, terms array<long>")
+    rows = common.cut(rows.where("n > 0").withColumn("row", F.monotonically_increasing_id()))
+    total = rows.agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
+    if not total.items:
+        return []
+    n_blocks = -(-total.items // (index_items // 2))
+    rows = rows.withColumn("block", F.pmod("row", F.lit(n_blocks)))
+    # frequencies over all items, for each block those of its terms
+    terms = rows.select("block", F.explode("terms").alias("term")).groupBy("block", "term").agg(F.count(F.lit(1)).alias("n"))
+    df = terms.withColumn("df", F.sum("n").over(Window.partitionBy("term")))  # a row for each block that has the term
+    df = df.groupBy("block").agg(F.collect_list(F.struct("term", "df")).alias("df"))
+    blocks = rows.groupBy("block").agg(F.collect_list(F.struct("item_id", "text")).alias("items")).join(df, "block")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                stats = Stats(total.items, total.mean, total.longest, {x["term"]: x["df"] for x in r["df"]})
+                mine = sorted(((x["item_id"], x["text"]) for x in r["items"]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+                name = f"index-{r['block']:06d}-{common.attempt()}"
+                common.put(uri, name, pickle.dumps(vars(Index(mine, threshold, overlap, stats)), protocol=5))
+                yield pa.RecordBatch.from_pydict({"file": [name]})
+
+    names = blocks.select("block", "items", "df").repartition(n_blocks, "block").mapInArrow(common.tidy(write), "file string")
+    return sorted(r.file for r in names.collect())  # one for each block
+
+
+def searched(batches: Iterator[pa.RecordBatch], column: int, uri: str, files: list[str]) -> Iterator[tuple[pa.RecordBatch, Iterator]]:
+    """Each batch with the hits in its texts: (row, item_id, (score, question and answer overlap))."""
+
+    def load(name: str) -> Index:
+        index = object.__new__(Index)
+        vars(index).update(pickle.loads(common.get(uri, name)))
+        return index
+
+    kept = [load(f) for f in files] if len(files) <= KEPT else None
+    held: list[tuple[pa.RecordBatch, list, list]] = []
+    size = 0
+
+    def search() -> Iterator[tuple[pa.RecordBatch, list]]:
+        for index in kept or map(load, files):
+            for _, texts, hits in held:
+                hits += [(d, index.ids[item], r) for d, item, r in found(index, texts)]
+        for b, _, hits in held:
+            yield b, hits
+
+    for b in batches:
+        held.append((b, split_all(b.column(column)), []))
+        size += b.column(column).nbytes
+        if kept is not None or size >= HOLD:
+            yield from search()
+            held, size = [], 0
+    if held:
+        yield from search()
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", index_items: int = INDEX_ITEMS) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) for each document and the items found in it."""
+    uri = common.shared_path(docs.sparkSession, "items")
+    files = build(items, uri, threshold, overlap, index_items)
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
+        for b, hits in searched(batches, 1, uri, files):
+            rows = [(b.column(0)[d].as_py(), item, *r) for d, item, r in hits]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-def found(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
-    """(row of ``texts``, item, (score, question and answer overlap))."""
-    done = 0
-    for data, offsets in tokens.chunks(texts):
-        _, _, h, doc = tokens.split(data, offsets, signs=False)
-        for (d, item), r in index.search(h, doc).items():
-            yield done + d, item, r
-        done += len(offsets) - 1
+    return cols.mapInArrow(common.tidy(task), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found, in place: nothing is joined or shuffled."""
-    common.small_batches(docs.sparkSession)
+    uri = common.shared_path(docs.sparkSession, "items")
+    files = build(items, uri, threshold, overlap)
     at = docs.columns.index(text_col)
-    for index in indexes(items, threshold, overlap):
 
-        def task(batches: Iterator[pa.RecordBatch], ix=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for d, _, _ in found(ix, b.column(at)):
-                    keep[d] = False
-                yield b.filter(pa.array(keep))
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, hits in searched(batches, at, uri, files):
+            keep = np.ones(b.num_rows, bool)
+            keep[[d for d, _, _ in hits]] = False
+            yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(common.tidy(task), docs.schema)
-    return docs
+    return docs.mapInArrow(common.tidy(task), docs.schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

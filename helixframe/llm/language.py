@@ -5,13 +5,15 @@ by TF-IDF; a sparse multinomial logistic regression is trained with
 follow-the-regularised-leader (proximal, elastic net) and its probabilities are
 calibrated with one temperature.  Document frequencies come from all training
 documents; the regression is fitted on at most SAMPLE_ROWS of them for each language,
-chosen by a hash of the id.  What reaches the driver is bounded by FEATURES and
+distinct in id and text and chosen by a hash of both.  What reaches the driver is bounded by FEATURES and
 SAMPLE_ROWS times the number of languages.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; rows
 with a null lang or a null id are predicted but not learned from; without any
 labelled training row every prediction is ``und``; with one language it is that one;
-repeated rows are each predicted; an empty table gives no rows.
+repeated rows are each predicted (and learned from once); of equally likely languages
+the first in order is taken; texts are read whole, one at a time; an empty table gives
+no rows; other columns are not read, and ``predict`` passes them on.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import pyspark.sql.types as T
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from . import common
 
@@ -143,16 +145,18 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         df[feature] = n
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    # at most sample_rows for each language, by a hash of the id
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_rows / n))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # at most sample_rows distinct (id, text) for each language: about twice as many by a hash, of them the least hashes
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * sample_rows / n))]), F.col("lang"))
+    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 52)) / float(1 << 52)
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [grams(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], names=["draw", "lang", "at", "counts"])
 
-    sample = usable.withColumn("draw", draw).where(F.col("draw") < share).select("draw", "lang", "text")
+    sample = usable.withColumn("draw", draw).where(F.col("draw") < share).select("draw", "lang", "text").dropDuplicates(["lang", "draw"])
+    sample = sample.withColumn("k", least).where(F.col("k") <= sample_rows).select("draw", "lang", "text")
     rows = sorted(sample.mapInArrow(common.tidy(features), "draw double, lang string, at binary, counts binary").collect(), key=lambda r: (r.draw, r.lang, r["at"]))
     order = np.random.default_rng(5).permutation(len(rows))
     data = [(np.frombuffer(rows[i]["at"], np.int32), np.frombuffer(rows[i]["counts"], np.float32), langs.index(rows[i]["lang"])) for i in order]

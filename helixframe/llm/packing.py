@@ -13,9 +13,8 @@ every segment, so the resets of a row are its cu_seqlens without the last entry.
 
 Defined results: null and empty texts are one segment that holds the end-of-text id;
 repeated rows are packed as often as they occur; a null id stays null; an empty table
-writes no file and gives no rows; a run of more than LONGEST_WORD characters without
-white space is tokenised in parts (the text decodes the same); other columns are not
-read.
+writes no file and gives no rows; a text of any length has the ids that the vocabulary gives
+the whole of it; documents of one length keep their order; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,8 +38,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 END = 50256
 ROW = 2048
 SHARD_TOKENS = 1 << 22
-LONGEST_WORD = 20_000
-_LONG = re.compile(rf"\S{{{LONGEST_WORD + 1}}}")
+#: Table of the shards, below their folder.
+MANIFEST = "manifest"
+#: Runs of white space from this length on are more than the encoder's own pattern search has a stack for.
+_LONG_SPACE = re.compile(r"\s{20000}")
 
 
 class Tokenizer:
@@ -65,12 +66,13 @@ class Tokenizer:
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text and the end-of-text id."""
         text, encoding = text or "", self._load()
-        if not _LONG.search(text):
-            out = encoding.encode_ordinary(text)
+        if _LONG_SPACE.search(text):  # the same pattern, searched without recursion
+            import regex
+
+            pieces = (m[0].encode() for m in regex.finditer(self.pattern, text))
+            out = [i for p in pieces for i in encoding._encode_single_piece(p)]
         else:
-            out = []
-            for part in re.findall(rf"\S{{1,{LONGEST_WORD}}}|\s+", text):
-                out += encoding.encode_ordinary(part)
+            out = encoding.encode_ordinary(text)
         return np.array([*out, self.end], np.uint16)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -149,7 +151,7 @@ def pack_shard(docs: list[tuple[int | None, np.ndarray]], length: int, pad: int)
 
 
 def write_packed(docs: DataFrame, uri: str, tokenizer: Tokenizer, length: int = ROW, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes shards below ``uri``; lazily returns a manifest (shard, n_rows, n_tokens)."""
+    """Writes shards below ``uri``; lazily returns a manifest (shard, file, n_rows, n_tokens)."""
     common.small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +159,12 @@ def write_packed(docs: DataFrame, uri: str, tokenizer: Tokenizer, length: int =
 
         def flush():
             nonlocal n, held, size
-            name, out = f"shard-{part:06d}-{n:05d}.npz", io.BytesIO()
+            name, out = f"shard-{part:06d}-{n:05d}", io.BytesIO()
+            file = f"{name}-{common.attempt()}.npz"
             arrays = pack_shard(held, length, tokenizer.end)
             np.savez(out, **arrays)
-            common.put(uri, name, out.getvalue())
-            row = pa.RecordBatch.from_pydict({"shard": [name], "n_rows": [len(arrays["ids"])], "n_tokens": [size]})
+            common.put(uri, file, out.getvalue())
+            row = pa.RecordBatch.from_pydict({"shard": [name], "file": [file], "n_rows": [len(arrays["ids"])], "n_tokens": [size]})
             n, held, size = n + 1, [], 0
             return row
 
@@ -176,21 +179,21 @@ def write_packed(docs: DataFrame, uri: str, tokenizer: Tokenizer, length: int =
             yield flush()
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(common.tidy(task), "shard string, n_rows long, n_tokens long")
+    return cols.mapInArrow(common.tidy(task), "shard string, file string, n_rows long, n_tokens long")
 
 
 SCHEMA = "shard string, row long, n_tokens long, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, pieces array<string>"
 
 
 def read_packed(spark: SparkSession, uri: str) -> DataFrame:
-    """Rows of all shards below ``uri``; ids are little-endian unsigned 16-bit, pieces are "k/n"."""
+    """Rows of the shards that the manifest below ``uri`` lists; ids are little-endian unsigned 16-bit, pieces are "k/n"."""
     common.small_batches(spark)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column(0), b.column(1)):
-                z = np.load(io.BytesIO(content.as_py()))
-                name, of_row, seams = path.as_py().rpartition("/")[2], z["segment_rows"], z["cu_seqlens"]
+            for name, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                z = np.load(io.BytesIO(common.get(uri, file)))
+                of_row, seams = z["segment_rows"], z["cu_seqlens"]
                 ids, docs, nulls, piece, pieces = (z[k] for k in ("ids", "doc_id", "doc_is_null", "piece", "pieces"))
                 for at in range(0, len(ids), 512):
                     cols: list[list] = [[] for _ in range(8)]
@@ -204,16 +207,15 @@ def read_packed(spark: SparkSession, uri: str) -> DataFrame:
                     names = ["shard", "row", "n_tokens", "ids", "cu_seqlens", "position_resets", "doc_ids", "pieces"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.npz").load(uri)
-    return files.select("path", "content").mapInArrow(common.tidy(task), SCHEMA)
+    return spark.read.parquet(f"{uri}/{MANIFEST}").select("shard", "file").mapInArrow(common.tidy(task), SCHEMA)
 
 
 def pack(docs: DataFrame, uri: str | None = None, vocabulary: str = VOCABULARY, length: int = ROW) -> DataFrame:
     """Writes the packed shards of ``docs`` below ``uri`` (by default in the shared folder) and returns their rows as read back."""
     spark = docs.sparkSession
     uri = uri or common.shared_path(spark, "packed")
-    manifest = common.cut(write_packed(docs, uri, Tokenizer(vocabulary), length))
-    return spark.createDataFrame([], SCHEMA) if manifest.isEmpty() else read_packed(spark, uri)
+    write_packed(docs, uri, Tokenizer(vocabulary), length).write.parquet(f"{uri}/{MANIFEST}")
+    return read_packed(spark, uri)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

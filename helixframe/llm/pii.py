@@ -36,7 +36,7 @@ PATTERNS = {
 }
 #: Wider candidates of the method: (kind, a pattern that a text must hold for the next one to match, pattern).
 WIDER = (
-    ("email", "at", rf"(?<!{LOCAL})[A-Za-z0-9._%+-]{{2,64}}+ ?[(\[] ?at ?[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[] ?dot ?[)\]]) ?[A-Za-z0-9-]{{2,}}+)++"),
+    ("email", "at", rf"(?<!{LOCAL})[A-Za-z0-9._%+-]{{2,}}+ ?[(\[] ?at ?[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[] ?dot ?[)\]]) ?[A-Za-z0-9-]{{2,}}+)++"),
     ("phone", "[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
     ("secret", "", r"(?:token|secret|password|api[_-]key)\s{0,3}+[=:]\s{0,3}+\"?[A-Za-z0-9_-]{12,}+\"?"),
 )

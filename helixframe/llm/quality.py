@@ -8,7 +8,8 @@ calibrates the probability.
 
 Word vectors are exact integer sums over all documents, so they do not depend on the
 order of work; they are VOCAB x SIZE numbers at any corpus size.  The network is fitted
-on at most SAMPLE_ROWS labelled documents of each class, chosen by a hash of the id.
+on at most SAMPLE_ROWS labelled documents of each class, distinct in id and text and chosen
+by a hash of the id.
 
 Defined results: null and empty texts are scored like a document without words; labels
 that are null or other than 0 and 1 are not learned from, nor those of rows without an
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from . import common, tokens
 from .language import held_out
@@ -196,11 +197,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     network = Network()
     if len(n) < 2:
         return pool, network
-    draw = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("quality") == 1, min(1.0, sample_rows / n[1])).otherwise(min(1.0, sample_rows / n[0]))
-    sample = labels.withColumn("draw", draw).where(F.col("draw") < share)
-    # at most 2 * sample_rows ids: a broadcast join of a proven size
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("draw", "quality", "text")
+    # about twice as many ids by a hash, of them the sample_rows of least hash for each class
+    draw = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    share = F.when(F.col("quality") == 1, min(1.0, 2 * sample_rows / n[1])).otherwise(min(1.0, 2 * sample_rows / n[0]))
+    least = F.row_number().over(Window.partitionBy("quality").orderBy("draw"))
+    sample = labels.withColumn("draw", draw).where(F.col("draw") < share).withColumn("k", least).where(F.col("k") <= sample_rows).drop("k")
+    # at most 2 * sample_rows ids: a broadcast join of a proven size.  An id may have any number of rows, so the limit holds once more
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text", F.xxhash64(F.lit(8), "doc_id", "text").alias("pick"), "draw")
+    rows = rows.dropDuplicates(["quality", "pick"]).withColumn("k", F.row_number().over(Window.partitionBy("quality").orderBy("draw", "pick")))
+    rows = rows.where(F.col("k") <= sample_rows).select("draw", "quality", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -12,8 +12,10 @@ again with the whole fingerprint as the one partition, otherwise compared block
 block, so no link is lost and no task holds it whole.
 
 Defined results: null and empty texts have fingerprint zero and link like any other;
-repeated rows each get a result row; rows with null ids keep a null component unless
-they share a fingerprint with a row that has an id; an empty table gives no rows.
+repeated rows each get a result row; rows with null ids link like any other, and a component
+is null only if none of its rows has an id; very long texts are read whole, one at a time;
+ties of a bit (half of the hashes) give 0; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -355,10 +357,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 2, lanes: int =
     """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest id reachable over links."""
     fps = common.cut(fingerprints(docs, words, lanes, id_col, text_col))
     words64 = [F.col("fp")[k].alias(f"f{k}") for k in range(lanes)]
-    reps = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null").select("rep", "fp"))
+    # a fingerprint's node is a number of its own, as ids may be null
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    reps = common.cut(reps.withColumn("rep", F.monotonically_increasing_id()))
     roots = common.components(links(reps.select("rep", *words64), tau, total))
-    of_fp = common.cut(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
-    return fps.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    linked = common.cut(reps.select("rep", "least").join(roots.withColumnRenamed("node", "rep"), "rep"))
+    groups = common.cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    of_rep = common.join_hot(linked.select("rep", "root"), groups, ["root"], "n", linked.count()).select("rep", "component_id", F.lit(True).alias("linked"))
+    of_fp = reps.join(of_rep, "rep", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), "n")
+    return common.join_hot(fps, common.cut(of_fp), ["fp"], "n", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,8 +57,19 @@ def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = end
 
 
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where a character of an unspaced script begins: U+0E00 to U+0EFF (Thai, Lao) and U+3000 to U+9FFF (kana, Chinese), three bytes each."""
+    high = np.flatnonzero((data >= 0xE0) & (data <= 0xE9))
+    if not len(high):
+        return high
+    second = data[np.minimum(high + 1, len(data) - 1)]
+    lead = data[high]
+    return high[(lead >= 0xE3) | (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)]
+
+
 def split(data: np.ndarray, offsets: np.ndarray, signs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (and single signs) of a run of texts: starts, ends, hash of the A-Z lower-cased bytes, index of the text."""
+    """Words (and single signs) of a run of texts: starts, ends, hash of the A-Z lower-cased bytes, index of the text.
+    Without ``signs``, each character of a script that is written without spaces is a word."""
     kind = _KIND[data]
     word = kind == 1
     edge = np.zeros(len(data) + 1, bool)  # a text's first byte begins a token
@@ -67,6 +78,11 @@ def split(data: np.ndarray, offsets: np.ndarray, signs: bool = True) -> tuple[np
     begins = word & (~before | edge[: len(data)])
     if signs:
         begins |= kind == 2
+    elif len(alone := unspaced(data)):
+        begins[alone] = True
+        behind = alone + 3
+        behind = behind[behind < len(data)]
+        begins[behind] |= word[behind]
     starts = np.flatnonzero(begins)
     if not len(starts):
         empty = np.empty(0, np.int64)

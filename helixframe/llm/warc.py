@@ -9,7 +9,8 @@ Defined results: a null payload is an empty one and counts as equal to other emp
 ones; of equal payloads, every row that carries the largest id is a response (so
 repeated rows are all responses) and the others revisit it; a null id is never the
 largest unless no row of the group has one; a null url is written as ``urn:x-url:none``;
-an empty table writes no archive and gives no rows.  Other columns are not read.
+an empty table writes no archive and gives no rows.  A very long payload is a record of its own
+size, held once.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def write_archives(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES) ->
 
         def flush():
             nonlocal n, held, size
-            name, data = f"part-{part:06d}-{n:05d}.warc.zst", pack_archive(held)
+            name, data = f"part-{part:06d}-{n:05d}-{common.attempt()}.warc.zst", pack_archive(held)
             common.put(uri, name, data)
             row = pa.RecordBatch.from_pydict({"archive": [name], "n_records": [len(held)], "n_bytes": [len(data)]})
             n, held, size = n + 1, [], 0
@@ -206,8 +207,9 @@ SCHEMA = (
 )
 
 
-def read_archives(spark: SparkSession, uri: str, payloads: bool = True) -> DataFrame:
-    """Records of all ``*.warc.zst`` below ``uri``.  Archives are read whole, so one must stay under 2 GB."""
+def read_archives(spark: SparkSession, uri: str, payloads: bool = True, manifest: DataFrame | None = None) -> DataFrame:
+    """Records of all ``*.warc.zst`` below ``uri``, or of those that ``manifest`` (archive) lists.
+    Archives are read whole, so one must stay under 2 GB."""
 
     def page(value: str | None) -> int | None:
         tail = (value or "").strip("<>").rpartition(":")[2]
@@ -218,7 +220,7 @@ def read_archives(spark: SparkSession, uri: str, payloads: bool = True) -> DataF
         for batch in batches:
             for i in range(batch.num_rows):
                 path, rows, size = batch.column(0)[i].as_py(), [], 0
-                for offset, r in read_archive(batch.column(1)[i].as_py()):
+                for offset, r in read_archive(batch.column(1)[i].as_py() if manifest is None else common.get(uri, path)):
                     h = r["head"]
                     rows.append((path, offset, page(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), h["WARC-Type"], h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), int(r["http"].get("Content-Length", len(r["payload"]))), page(h.get("WARC-Refers-To")), r["payload"] if payloads else None))
                     size += len(r["payload"]) if payloads else 0
@@ -228,6 +230,8 @@ def read_archives(spark: SparkSession, uri: str, payloads: bool = True) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
+    if manifest is not None:
+        return manifest.select("archive").mapInArrow(common.tidy(task), SCHEMA)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(uri)
     return files.select("path", "content").mapInArrow(common.tidy(task), SCHEMA)
 
@@ -252,9 +256,7 @@ def archive_pages(pages: DataFrame, uri: str, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     common.small_batches(spark)
     manifest = common.cut(write_archives(mark_revisits(pages, min_bytes), uri))
-    if manifest.isEmpty():
-        return spark.createDataFrame([], SCHEMA)
-    return read_archives(spark, uri)
+    return read_archives(spark, uri, manifest=manifest)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

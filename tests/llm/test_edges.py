@@ -145,3 +145,17 @@ def test_stage_keeps_other_texts_of_an_id(spark, tmp_path):
     table = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
     got = [r.text for r in corpus_pipeline.drop_near_copies(spark, table, str(tmp_path)).collect()]
     assert sorted((t or "")[:2] for t in got) == ["", "p0", "q0", "r0"]
+
+
+def test_samples_keep_their_limit(spark, monkeypatch):
+    """Thousands of rows of one id, equal and different, do not exceed the bound on what the driver gets."""
+    from pyspark.sql import DataFrame
+
+    rows = [(1, "the same text over and over", "en")] * 3000 + [(1, f"text {i} of one id", "en") for i in range(3000)] + [(i, f"le texte {i}", "fr") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    got, real = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: got.append(real(self)) or got[-1])
+    language.train(docs, 100)
+    assert len(got[-1]) <= 200
+    quality.train(docs.select("doc_id", "text"), spark.createDataFrame([(1, 1), (1, 0)] + [(i, i % 2) for i in range(50)], "doc_id long, quality int"), 20)
+    assert len(got[-1]) <= 40

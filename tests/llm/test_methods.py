@@ -71,6 +71,15 @@ def test_links_lose_nothing(spark, bucket, tau, lanes, total):
     assert [got.get(i, i) for i in range(len(rows))] == want
 
 
+def test_links_by_way_of_rows_without_an_id(spark, monkeypatch):
+    prints = {"a": 0b0, "b": 0b11, "c": 0b1111, "d": 0b111111}
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, words, lanes: [prints[text.decode()]])
+    rows = [(5, "a"), (None, "b"), (3, "c"), (None, "b"), (None, "d")]
+    for docs, want in ((rows, {3}), ([r for r in rows if r[1] != "b"], {5, 3}), ([r for r in rows if r[0] is None], {None})):
+        got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {r.component_id for r in got} == want and len(got) == len(docs)
+
+
 def test_thresholds_sum():
     both = np.full((64, 64), 250.0)
     np.fill_diagonal(both, 500.0)
@@ -263,10 +272,24 @@ def test_packing_round_trip(spark):
     assert {i: tok.decode(np.concatenate([p[k] for k in sorted(p)])) for i, p in got.items()} == {i: t or "" for i, t in docs.items()}
 
 
-def test_long_words_decode():
+def test_long_runs_have_the_vocabularys_ids():
     tok = packing.Tokenizer()
-    for text in ("a" * 50_000, "é" * 25_000 + " b " + "中" * 21_000):
-        assert tok.decode(tok.encode(text)) == text
+    plain = " common words around it" * 500
+    for text in ("a" * 50_000, "é" * 25_000 + " b " + "中" * 21_000, plain + " " + "x" * 20_001 + plain, plain + "q7" * 100_000 + plain):
+        assert tok.encode(text)[:-1].tolist() == tok._load().encode_ordinary(text)
+    space = plain + " " * 30_000 + "x\n\n" + "\t" * 25_000 + plain + "\x1c\u2003 \u3000" + " " * 22_000
+    assert tok.encode(space)[:-1].tolist() == tok._load().encode_ordinary(space)
+    assert tok.decode(tok.encode(" " * 1_200_000 + "x")) == " " * 1_200_000 + "x"
+
+
+def test_files_beside_the_manifest_are_not_read(spark):
+    docs = table(spark, "documents").limit(20).cache()
+    uri = common.shared_path(spark, "t")
+    want = packing.pack(docs, uri).count()
+    path = uri.removeprefix("file:")
+    name = next(p for p in __import__("os").listdir(path) if p.endswith(".npz"))
+    __import__("shutil").copy(f"{path}/{name}", f"{path}/{name[:12]}-99999-7.npz")
+    assert packing.read_packed(spark, uri).count() == want
 
 
 # -- archives -----------------------------------------------------------------------------
@@ -291,14 +314,19 @@ def test_frames_and_errors():
 # -- decontamination ----------------------------------------------------------------------
 
 
+#: A word, or a character of a script without spaces.
+WORDS = r"[\u0e00-\u0eff\u3000-\u9fff]|(?:(?![\u0e00-\u0eff\u3000-\u9fff])[0-9A-Za-z\x80-\U0010ffff])+"
+
+
 def brute_items(docs, items):
     def grams(t):
-        w = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t.translate(str.maketrans(common.UPPER, common.LOWER)))
+        w = re.findall(WORDS, t.translate(str.maketrans(common.UPPER, common.LOWER)))
         k = min(5, len(w))
         return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}, len(w)
 
     have = [(i, *grams(t)) for i, t in items]
-    return {(d, i) for d, t in docs for i, g, n in have if n >= 5 and len(g & grams(t or "")[0]) >= 0.8 * len(g)}
+    runs = lambda t, k: {tuple(w[i : i + k]) for w in [re.findall(WORDS, (t or "").lower())] for i in range(len(w) - k + 1)}
+    return {(d, i) for d, t in docs for i, g, n in have if n and len(g & (grams(t or "")[0] if n >= 5 else runs(t, n))) >= 0.8 * len(g)}
 
 
 def test_decontamination(spark):
@@ -307,6 +335,21 @@ def test_decontamination(spark):
     assert got == brute_items([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()]) and got
 
 
+def test_short_and_unspaced_items(spark):
+    texts = ["Plan nine from outer space again", "quick brown", "yes", "four words in row", "北京是中国的首都吗", "", "...", None]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = ["the QUICK brown fox", "quick, brown!", "brown quick", "oh yes", "yesterday", "there are four words in row here", "four words row in", "据说北京是中国的首都吗？是", "北京不是中国首都", "", "plan nine from outer space again and again", None]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, items).collect()}
+    assert got == {(0, 1), (1, 1), (3, 2), (5, 3), (7, 4), (10, 0)} == brute_items(list(enumerate(docs)), [(i, t) for i, t in enumerate(texts) if t])
+
+
+def test_blocks_do_not_change_scores(spark, monkeypatch):
+    docs, items = table(spark, "documents"), table(spark, "benchmark").limit(60).cache()
+    one = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
+    assert one and one == sorted(map(tuple, decontaminate.leaks(docs, items, index_items=8).collect()))  # more blocks than a task keeps
+
+
 def test_wand_finds_all_above():
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(80)]
@@ -380,7 +423,7 @@ def test_question_and_answer():
         have = grams(part, k := min(5, len(part)))
         return len(have & grams(w, k)) / len(have) if have else 1.0
 
-    split = lambda t: re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t.lower())
+    split = lambda t: re.findall(WORDS, t.lower())
     docs, want = [], {}
     for i, t in items:
         q, a = decontaminate.question_answer(t)
@@ -394,7 +437,7 @@ def test_question_and_answer():
             whole = split(t)
             n = len(split(decontaminate.question_answer(t)[0]))
             both, question, answer = (overlap(x, w) for x in (whole, whole[:n], whole[n:]))
-            if both >= 0.8 or question >= 0.8 and (answer >= 0.8 or n >= 5):
+            if both >= 0.8 or len(whole) >= 5 and question >= 0.8 and (answer >= 0.8 or n >= 5):
                 want[d, i] = (question, answer)
     index = decontaminate.Index(items)
     got = {(d, index.ids[k]): r[1:] for d, k, r in decontaminate.found(index, pa.array(docs))}
