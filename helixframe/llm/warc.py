@@ -211,6 +211,8 @@ def read_archives(spark: SparkSession, uri: str, payloads: bool = True, manifest
     """Records of all ``*.warc.zst`` below ``uri``, or of those that ``manifest`` (archive) lists.
     Archives are read whole, so one must stay under 2 GB."""
 
+    listed = manifest is not None
+
     def page(value: str | None) -> int | None:
         tail = (value or "").strip("<>").rpartition(":")[2]
         return int(tail) if tail.lstrip("-").isdigit() else None
@@ -220,7 +222,7 @@ def read_archives(spark: SparkSession, uri: str, payloads: bool = True, manifest
         for batch in batches:
             for i in range(batch.num_rows):
                 path, rows, size = batch.column(0)[i].as_py(), [], 0
-                for offset, r in read_archive(batch.column(1)[i].as_py() if manifest is None else common.get(uri, path)):
+                for offset, r in read_archive(common.get(uri, path) if listed else batch.column(1)[i].as_py()):
                     h = r["head"]
                     rows.append((path, offset, page(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), h["WARC-Type"], h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), int(r["http"].get("Content-Length", len(r["payload"]))), page(h.get("WARC-Refers-To")), r["payload"] if payloads else None))
                     size += len(r["payload"]) if payloads else 0
@@ -230,7 +232,7 @@ def read_archives(spark: SparkSession, uri: str, payloads: bool = True, manifest
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    if manifest is not None:
+    if listed:
         return manifest.select("archive").mapInArrow(common.tidy(task), SCHEMA)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(uri)
     return files.select("path", "content").mapInArrow(common.tidy(task), SCHEMA)

@@ -35,7 +35,7 @@ def empty(spark):
 @pytest.fixture(scope="module")
 def odd(spark):
     """Extra columns named as the operators name theirs."""
-    names = ["digest", "keep_id", "kept", "fp", "component_id", "size", "target", "taken", "score", "lang_pred", "__salt", "th", "did", "base"]
+    names = ["digest", "keep_id", "kept", "fp", "component_id", "size", "target", "taken", "score", "lang_pred", "__salt", "th", "did", "base", "__key", "__first", "__hash", "__row", "__copy", "__passes", "shard", "slot", "c0", "c1"]
     return spark.createDataFrame([(*r, *["z"] * len(names)) for r in PLAIN], SCHEMA + "".join(f", {n} string" for n in names))
 
 
@@ -149,12 +149,10 @@ def test_stage_keeps_other_texts_of_an_id(spark, tmp_path):
 
 def test_samples_keep_their_limit(spark, monkeypatch):
     """Thousands of rows of one id, equal and different, do not exceed the bound on what the driver gets."""
-    from pyspark.sql import DataFrame
-
     rows = [(1, "the same text over and over", "en")] * 3000 + [(1, f"text {i} of one id", "en") for i in range(3000)] + [(i, f"le texte {i}", "fr") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
-    got, real = [], DataFrame.collect
-    monkeypatch.setattr(DataFrame, "collect", lambda self: got.append(real(self)) or got[-1])
+    got, real = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: got.append(real(self)) or got[-1])
     language.train(docs, 100)
     assert len(got[-1]) <= 200
     quality.train(docs.select("doc_id", "text"), spark.createDataFrame([(1, 1), (1, 0)] + [(i, i % 2) for i in range(50)], "doc_id long, quality int"), 20)

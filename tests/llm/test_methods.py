@@ -217,19 +217,52 @@ def test_targets_and_slots(spark):
         assert r.target == pytest.approx(3 * size[r.source] if r.source in capped else level * weight[r.source])
     slots = made.slots.collect()
     assert len({(s.shard, s.slot) for s in slots}) == len(slots) == sum(r.slots for r in rows)
+    assert Counter(s.src for s in slots) == {r.src: r.slots for r in rows if r.slots}
+    assert max(Counter((s.src, s.block, s["pass"]) for s in slots).values()) == 1
     taken = {r.doc_id: r for r in made.taken().collect()}
     texts = {r.doc_id: r for r in docs.collect()}
     by = Counter()
     for i, r in taken.items():
         assert r.taken <= 3 * r.size
         by[texts[i].source] += r.taken
-    assert all(abs(by[r.source] - r.target) <= 64 for r in rows)
-    mixed = Counter()
-    for r in mixing.mixed_documents(docs, block=32).collect():
+    assert all(abs(by[r.source] - r.target) <= 1 for r in rows)
+    mixed, shards = Counter(), defaultdict(set)
+    for r in mixing.mixed_documents(docs, block=32, places=True).collect():
         mixed[r.doc_id] += len(re.findall(common.WORD, r.text))
+        shards[r.shard].add(r.slot)
     assert all(mixed[i] == r.taken for i, r in taken.items())
 
 
+def test_shards_are_multinomial_draws():
+    """Counts by shard vary like draws, though their totals are the sources' slots exactly."""
+    rows = [{"src": k, "source_size": 256 * n, "blocks": n, "full": n, "passes": 1, "rest": 0, "left": 0, "slots": n} for k, n in ((1, 3000), (2, 6001), (3, 99))]
+    draws = mixing.Draws(rows, 64, 256, 7)
+    drawn = sum(draws.draw(s) for s in range(draws.shards))
+    draws.settle(drawn)
+    ahead, seen, shares = np.zeros(3, np.int64), Counter(), []
+    for s in range(draws.shards):
+        slot, src, block, turn, take, part = draws.taken(s, ahead)
+        ahead += draws.draw(s)
+        assert sorted(slot) == list(range(draws.places(s))) and not part.any() and (take == 256).all()
+        seen.update(zip(src.tolist(), block.tolist(), turn.tolist()))
+        shares.append((src == 1).sum())
+    assert len(seen) == 9100 and max(seen.values()) == 1
+    p = 3000 / 9100
+    assert 0.6 < np.var(shares[:-3]) / (64 * p * (1 - p)) < 1.5
+
+
+def test_small_sources_meet_their_targets(spark):
+    rng = random.Random(2)
+    sizes = {"a": [100, 130], "b": [100], "c": [1], "d": [2, 3, 5], "e": [400, 599], "f": [7] * 30, None: [255, 1]}
+    rows = [(s, " ".join(f"w{rng.randrange(99)}" for _ in range(n))) for s, ns in sizes.items() for n in ns]
+    docs = spark.createDataFrame([(i if i % 3 else None, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    made = mixing.mix(docs)
+    got = made.taken().groupBy("source_size", "target").agg(F.sum("taken").alias("n"), F.sum("size").alias("size")).collect()
+    assert len(got) == len(sizes) and all(abs(r.n - r.target) <= 1 and r.size == r.source_size for r in got)
+    words = sum(len(re.findall(common.WORD, r.text)) for r in mixing.mixed_documents(docs).collect())
+    assert words == sum(r.n for r in got) and abs(words - sum(map(sum, sizes.values()))) <= 4
+
+
 def test_mix_reruns_agree(spark):
     docs = table(spark, "documents")
     one, two = (sorted(map(tuple, mixing.mix(d).taken().collect())) for d in (docs, docs.repartition(7)))
