@@ -135,6 +135,42 @@ def test_repeats(spark, monkeypatch, group):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh", "\x00\xff"])
+def test_corpus_order(alphabet):
+    """Suffix ranks of the dictionary and the sorted parse give the strings of each trigger in byte order, with who equals whom."""
+    rng = random.Random(len(alphabet))
+    letter = lambda n: bytes(rng.choice(alphabet.encode("latin-1")) for _ in range(n))
+    shared = letter(420)
+    texts = []
+    for _ in range(60):
+        a = rng.randrange(250)
+        texts.append(letter(rng.randint(0, 90)) + shared[a : a + rng.randint(150, 420)] + letter(rng.randint(0, 90)))
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    groups = defaultdict(list)
+    for part in repeats.parse(data, offsets):
+        for of, lo, hi, at, trigger, _ in zip(*(x.tolist() for x in part)):
+            groups[trigger].append((lo, hi, at, texts[of][lo : hi + 200]))
+    seen = 0
+    for entries in groups.values():
+        entries = list({x[3]: x for x in entries}.values())  # distinct, as in the dictionary
+        lo, hi, at = (np.array([x[k] for x in entries]) for k in range(3))
+        entry, inner, equal = repeats.corpus_order(lo, hi, at, [x[3] for x in entries], 200)
+        strings = [entries[e][3][i : i + 200] for e, i in zip(entry, inner)]
+        assert strings == sorted(strings) and len(strings) == (hi - lo + 1).sum()
+        assert equal.tolist() == [a == b for a, b in zip(strings, strings[1:])] + [False]
+        seen += equal.sum()
+    assert seen > 100
+
+
+def test_spans_of_repeated_rows_stay_few(spark):
+    text = repeat_cases()[6] * 3
+    docs = repeats.keyed(spark.createDataFrame([(None, text)] * 300, "doc_id long, text string"), "doc_id", "text")
+    store = common.Store(spark)
+    spans = repeats.repeated(docs, store).groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("s")).select(F.size("s").alias("n")).collect()
+    store.drop()
+    assert len(spans) == 1 and spans[0].n <= len(text)
+
+
 def test_long_text_is_parsed_in_parts(monkeypatch):
     rng = random.Random(3)
     data = np.frombuffer(bytes(rng.choice(b"abcd") for _ in range(5000)), np.uint8)
@@ -142,7 +178,7 @@ def test_long_text_is_parsed_in_parts(monkeypatch):
 
     def starts(step):
         monkeypatch.setattr(repeats, "STEP", step)
-        return [(p, t) for _, lo, hi, trigger, _ in repeats.parse(data, offsets) for a, b, t in zip(lo, hi, trigger) for p in range(a, b + 1)]
+        return [(p, t) for _, lo, hi, _, trigger, _ in repeats.parse(data, offsets) for a, b, t in zip(lo, hi, trigger) for p in range(a, b + 1)]
 
     assert starts(1 << 20) == starts(700) and len(starts(700)) == 5000 - 199
 
