@@ -1,7 +1,7 @@
 """Operator 6: personal data by weak supervision, in DataFrame functions only.
 
-Patterns propose candidate spans.  Labelers (strict pattern, checksum or range,
-gazetteer, context words, boundaries) vote yes, no or abstain on each; expectation-
+Patterns propose candidate spans.  Labelers (strict pattern, which abstains where only a wider
+one matches, checksum or range, gazetteer, context words, boundaries) vote yes, no or abstain on each; expectation-
 maximisation over the counts of vote patterns estimates the labelers' reliabilities
 and each pattern's posterior; a naive Bayes span classifier on shape and votes is
 trained on those posteriors (votes are features too).  Spans of the base rules always stay; other candidates
@@ -12,8 +12,8 @@ whatever the corpus.  Offsets are code points, end exclusive.
 
 Defined results: null text counts as empty (no spans); repeated rows and null ids
 each get a row; an empty table gives no rows; a text's size is not bounded (patterns
-are possessive, so they run in linear time without recursion).  Other columns are
-not read.
+are possessive, so they run in linear time without recursion); of spans with one start the
+kinds' order decides.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -110,14 +110,14 @@ def spans_of(i: int, kind: str, base: bool):
         return F.struct(
             at.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (at + F.length(m)).alias("end"), F.lit(kind).alias("kind"), m.alias("m"),
             F.right(F.get(F.col(f"p{i}"), k), F.lit(CONTEXT)).alias("l"), F.left(F.get(F.col(f"p{i}"), k + 1), F.lit(CONTEXT)).alias("r"),
-            (accepted(kind, m) if base else F.lit(False)).alias("base"),
+            (accepted(kind, m) if base else F.lit(False)).alias("base"), F.lit(not base).alias("wide"),
         )
 
     return span
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and cands: array of (start, rank, end, kind, m, l, r, base) of whole texts."""
+    """doc_id and cands: array of (start, rank, end, kind, m, l, r, base, wide) of whole texts; wide ones are not of a base pattern."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     need = {"email": F.col("t").contains("@"), "phone": F.col("t").contains("+"), "ip": F.col("t").rlike("[0-9]"), "card": F.col("t").rlike("[0-9]")}
     jobs = [(k, p, need[k], True) for k, p in PATTERNS.items()] + [(k, p, F.col("t").rlike(w), False) for k, w, p in WIDER]
@@ -162,7 +162,7 @@ def votes(c: Column) -> list[Column]:
     cue = by_kind(kind, {k: left.rlike(p) for k, p in CUES.items()})
     glued = left.rlike(r"[\w.@-]$") | right.rlike(r"^[\w@-]")
     return [
-        vote(c["base"], ~c["base"] & (kind != "secret")), vote(valid, ~valid), vote(known, ~known & kind.isin("card", "email")),
+        vote(c["base"], ~c["base"] & ~c["wide"]), vote(valid, ~valid), vote(known, ~known & kind.isin("card", "email")),
         vote(cue, left.rlike(COUNTER_CUE)), vote(~glued, glued),
     ]
 
@@ -197,35 +197,41 @@ class Model:
         return F.coalesce(total.cast("double"), F.lit(-99.0))
 
 
+def expectation_maximisation(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[str, tuple[int, ...]], float]:
+    """The posterior of each (kind, votes) from (kind, votes, count): labelers are independent given the truth,
+    each with its own chances to vote yes, no or not at all."""
+    post = {(k, v): (v.count(1) + 1) / (v.count(1) + v.count(2) + 2) for k, v, _ in patterns}
+    for _ in range(rounds):
+        for kind in {k for k, *_ in patterns}:
+            rows = [(v, n, post[k, v]) for k, v, n in patterns if k == kind]
+            total, yes = sum(n for _, n, _ in rows), sum(n * p for _, n, p in rows)
+            prior = min(max((yes + 1) / (total + 2), 0.02), 0.98)
+            odds = []
+            for i in range(LABELERS):
+                for x in range(3):
+                    n, y = sum(n for v, n, _ in rows if v[i] == x), sum(n * p for v, n, p in rows if v[i] == x)
+                    odds.append(math.log(((y + 1) / (yes + 3)) / ((n - y + 1) / (total - yes + 3))))
+            for v, *_ in rows:
+                logit = math.log(prior / (1 - prior)) + sum(odds[3 * i + x] for i, x in enumerate(v))
+                post[kind, v] = 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
+    return post
+
+
 def train(found: DataFrame, rounds: int = ROUNDS) -> Model:
     """Estimates reliabilities by expectation-maximisation, then fits the span classifier to the posteriors."""
     one = found.select(F.explode("cands").alias("c"))
     cols = [v.alias(f"v{i}") for i, v in enumerate(votes(F.col("c")))] + [f.alias(f"f{i}") for i, f in enumerate(features(F.col("c")))]
-    n_features = len(cols) - LABELERS
-    keys = ["kind", *[f"v{i}" for i in range(LABELERS)], *[f"f{i}" for i in range(n_features)]]
+    marks = [f"v{i}" for i in range(LABELERS)]
+    keys = ["kind", *marks, *[f"f{i}" for i in range(len(cols) - LABELERS)]]
     table = common.cut(one.select(F.col("c")["kind"].alias("kind"), *cols).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    yes = sum((F.col(f"v{i}") == 1).cast("int") for i in range(LABELERS))
-    no = sum((F.col(f"v{i}") == 2).cast("int") for i in range(LABELERS))
-    post = (yes + 1.0) / (yes + no + 2.0)
-    params: dict = {}
-    for _ in range(rounds):
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * post).alias("p")]
-        for i in range(LABELERS):
-            for x in range(3):
-                hit = F.when(F.col(f"v{i}") == x, F.col("n")).otherwise(0)
-                sums += [F.sum(hit).alias(f"a{i}_{x}"), F.sum(hit * post).alias(f"y{i}_{x}")]
-        params = {}
-        for r in table.groupBy("kind").agg(*sums).collect():  # a row for each kind
-            prior = min(max((r.p + 1) / (r.n + 2), 0.02), 0.98)
-            odds = [[math.log(((r[f"y{i}_{x}"] + 1) / (r.p + 3)) / ((r[f"a{i}_{x}"] - r[f"y{i}_{x}"] + 1) / (r.n - r.p + 3))) for x in range(3)] for i in range(LABELERS)]
-            params[r.kind] = (math.log(prior / (1 - prior)), odds)
-        if not params:
-            return Model({}, {})
-        logit = by_kind(F.col("kind"), {k: F.lit(base) + sum(F.element_at(F.array(*map(F.lit, o)), F.col(f"v{i}") + 1) for i, o in enumerate(odds)) for k, (base, odds) in params.items()})
-        post = 1 / (1 + F.exp(-logit))
-    slots = F.explode(F.array(*[F.struct(F.lit(i).alias("j"), F.col(x).cast("int").alias("value")) for i, x in enumerate(keys[1 + LABELERS :] + keys[1 : 1 + LABELERS])])).alias("s")
-    rows = table.withColumn("p", post).select("kind", "n", "p", slots).groupBy("kind", "s").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("y")).collect()
-    sums = {}
+    # a row for each kind and vote pattern: 5 x 3 ** LABELERS at most
+    patterns = [(r.kind, tuple(r[m] for m in marks), r.n) for r in table.groupBy("kind", *marks).agg(F.sum("n").alias("n")).collect()]
+    if not patterns:
+        return Model({}, {})
+    post = found.sparkSession.createDataFrame([(k, *v, p) for (k, v), p in expectation_maximisation(patterns, rounds).items()], f"kind string, {', '.join(f'{m} int' for m in marks)}, p double")
+    slots = F.explode(F.array(*[F.struct(F.lit(i).alias("j"), F.col(x).cast("int").alias("value")) for i, x in enumerate(keys[1 + LABELERS :] + marks)])).alias("s")
+    rows = table.join(F.broadcast(post), ["kind", *marks]).select("kind", "n", "p", slots).groupBy("kind", "s").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("y")).collect()
+    sums: dict = {}
     for r in rows:
         if r.s.j == 0:
             have = sums.setdefault(r.kind, [0.0, 0.0])

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from . import common
 
@@ -85,7 +85,7 @@ def fingerprint(text: bytes | None, words: int = 3, lanes: int = 1) -> list[int]
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp array<long>) of whole texts; a fingerprint's lanes are 64-bit words, stored signed."""
+    """(doc_id, th, fp array<long>) of whole texts; a fingerprint's lanes are 64-bit words, stored signed, th is a hash of the text."""
     common.small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,10 +93,14 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str =
             texts = b.column(1).cast(pa.binary())
             rows = [fingerprint(t.as_py(), words, lanes) for t in texts]
             flat = np.array(rows, np.uint64).reshape(len(rows), lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(flat), pa.list_(pa.int64()))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(flat), pa.list_(pa.int64()))], names=["doc_id", "th", "fp"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(common.tidy(task), "doc_id long, fp array<long>")
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("th"))
+    return cols.mapInArrow(common.tidy(task), "doc_id long, th long, fp array<long>")
+
+
+def text_of(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
 # -- partitions and thresholds ----------------------------------------------------
@@ -231,11 +235,11 @@ EDGE = "a long, b long"
 SMALL = 16
 
 
-def bucket_edges(lane: int, tau: int, total: int):
-    """mapInArrow over (key, rep, f0, f1, ...) sorted by key: edges between representatives."""
+def bucket_edges(lane: int, tau: int, totals: tuple[int, ...]):
+    """mapInArrow over (key, rep, f0, f1, ...) sorted by key: edges between representatives, a forest for each bound of ``totals``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = common.Forest()  # what this task has linked already
+        seen = [common.Forest() for _ in totals]  # what this task has linked already
         for t in common.sorted_groups(batches, 1):
             key, rep, *lanes = (t.column(i).to_numpy() for i in range(t.num_columns))
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -243,23 +247,27 @@ def bucket_edges(lane: int, tau: int, total: int):
             if (sizes < 2).all():
                 continue
             fp = np.stack(lanes, axis=1).view(np.uint64)
-            a, b = [], []
-            for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
-                at = starts[sizes == n]
-                for i in range(n):
-                    for j in range(i):
-                        near = alike(fp[at + i], fp[at + j], lane, tau, total)
-                        a.append(rep[at[near] + i])
-                        b.append(rep[at[near] + j])
-            for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-                if edges := forest(fp[s : s + n], lane, tau, total):
-                    x, y = np.array(edges).T
-                    a.append(rep[s + x])
-                    b.append(rep[s + y])
-            if sum(map(len, a)):
-                a, b = np.concatenate(a), np.concatenate(b)
-                if thin := seen.thin(a, b):
-                    yield thin
+            for total, linked in zip(totals, seen):
+                a, b = [], []
+                for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+                    at = starts[sizes == n]
+                    for i in range(n):
+                        for j in range(i):
+                            near = alike(fp[at + i], fp[at + j], lane, tau, total)
+                            a.append(at[near] + i)
+                            b.append(at[near] + j)
+                for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+                    if edges := forest(fp[s : s + n], lane, tau, total):
+                        x, y = np.array(edges).T
+                        a.append(s + x)
+                        b.append(s + y)
+                if sum(map(len, a)):
+                    a, b = np.concatenate(a), np.concatenate(b)
+                    if len(totals) > 1:  # edges that will be verified: of two ways to join, the closer one
+                        order = np.argsort(np.bitwise_count(fp[a] ^ fp[b]).sum(axis=-1), kind="stable")
+                        a, b = a[order], b[order]
+                    if thin := linked.thin(rep[a], rep[b]):
+                        yield thin
 
     return task
 
@@ -309,12 +317,13 @@ def maybe_hot(reps: DataFrame, lane: int, plan: list[tuple[list[int], int]], buc
     return None if heavy.isEmpty() else heavy.mapInArrow(common.tidy(around), "key long").distinct()
 
 
-def links(reps: DataFrame, tau: int, total: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def links(reps: DataFrame, tau: int, total: int | None = None, bucket_rows: int = BUCKET_ROWS, close: int | None = None) -> DataFrame:
     """Edges (a, b) between the representatives of distinct fingerprints (rep, f0, f1, ...) that
     connect all that is linked.  A link differs in at most ``tau`` bits in some lane and, with
-    ``total``, in at most that many bits in all lanes together."""
+    ``total``, in at most that many bits in all lanes together.  With ``close``, the edges also
+    connect all that differs in at most that many bits, without the help of other links."""
     lanes = len(reps.columns) - 1
-    total = tau if total is None else total
+    total = (tau if total is None else total,) if close is None else (close, total)
     edges = reps.sparkSession.createDataFrame([], EDGE)
     for lane in range(lanes):
         n, both = bit_counts(reps, lane)
@@ -330,7 +339,7 @@ def links(reps: DataFrame, tau: int, total: int | None = None, bucket_rows: int
             if n_hot:
                 big = F.broadcast(hot) if n_hot <= 10_000 else hot
                 members = filed.join(big, "key")
-                if lanes == 1 and tau <= 2:
+                if lanes == 1 and tau <= 2 and close is None:
                     again = signatures(members.select(*reps.columns).distinct(), lane, [(list(range(64)), tau)])
                     hubs = again.groupBy("key").agg(F.min("rep").alias("b"))
                     found.append(again.select("key", "rep").join(hubs.hint("merge"), "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
@@ -343,7 +352,7 @@ def links(reps: DataFrame, tau: int, total: int | None = None, bucket_rows: int
     return edges
 
 
-def block_edges(members: DataFrame, rows: int, lane: int, tau: int, total: int) -> DataFrame:
+def block_edges(members: DataFrame, rows: int, lane: int, tau: int, total: tuple[int, ...]) -> DataFrame:
     """All links within large buckets: members are dealt into blocks of about ``rows`` and every
     pair of blocks meets in a task of its own."""
     dealt = members.withColumn("blocks", F.ceil(F.col("n") / rows).cast("int"))
@@ -353,14 +362,46 @@ def block_edges(members: DataFrame, rows: int, lane: int, tau: int, total: int)
     return paired.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(bucket_edges(lane, tau, total)), EDGE)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 2, lanes: int = 1, total: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest id reachable over links."""
+def similar(edges: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The edges (a, b) whose texts (rep, text) have a Jaccard similarity of their sets of shingles of at least ``least``."""
+
+    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    sets = common.cut(texts.mapInArrow(common.tidy(shingle_sets), "rep long, s binary"))
+    pairs = edges.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
+    return pairs.select("a", "b", "x", "y").mapInArrow(common.tidy(compare), EDGE)
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 2, lanes: int = 1, total: int | None = None, id_col: str = "doc_id", text_col: str = "text", close: int | None = None, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest id reachable over links.
+
+    With ``similarity`` (and ``close``), fingerprints only propose: a link counts if the shingle sets of its texts
+    have that Jaccard similarity.  Every edge of the proposed forests is verified; those of the closest pairs come first,
+    so what a rejected edge would have joined is joined by closer ones where there are any."""
     fps = common.cut(fingerprints(docs, words, lanes, id_col, text_col))
     words64 = [F.col("fp")[k].alias(f"f{k}") for k in range(lanes)]
     # a fingerprint's node is a number of its own, as ids may be null
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.count(F.lit(1)).alias("n"))
     reps = common.cut(reps.withColumn("rep", F.monotonically_increasing_id()))
-    roots = common.components(links(reps.select("rep", *words64), tau, total))
+    edges = links(reps.select("rep", *words64), tau, total, close=close)
+    if similarity is not None:
+        edges = common.cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        nodes = reps.select("rep", "th").join(edges.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep")
+        texts = docs.select(text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("th"))
+        edges = similar(edges, texts.join(nodes, "th").dropDuplicates(["rep"]).select("rep", "text"), words, similarity)
+    roots = common.components(edges)
     linked = common.cut(reps.select("rep", "least").join(roots.withColumnRenamed("node", "rep"), "rep"))
     groups = common.cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
     of_rep = common.join_hot(linked.select("rep", "root"), groups, ["root"], "n", linked.count()).select("rep", "component_id", F.lit(True).alias("linked"))

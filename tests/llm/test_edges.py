@@ -87,6 +87,20 @@ def test_exact_index_persists(spark, docs):
     assert ix.read().count() == 2
 
 
+def test_index_stays_sorted(spark, monkeypatch):
+    """Appends in many files are written anew; which rows are kept does not change, nor for equal rows."""
+    monkeypatch.setattr(exact_dedup, "MOST_FILES", 2)
+    ix = index(spark)
+    for k in range(4):
+        batch = spark.createDataFrame([(i % 7 or None, f"text {k} {i % 5}") for i in range(20)] + [(3, "text 0 0")] * 2, "doc_id long, text string")
+        got = exact_dedup.deduplicate(batch, ix).collect()
+        assert sum(r.kept for r in got) == 5
+    assert ix.read().count() == 20 and ix.buckets() == 4
+    assert len(ix.read().inputFiles()) <= 8
+    ix.drop()
+    assert not ix.exists()
+
+
 def test_language_of_odd_texts(spark, docs):
     rows = {r.doc_id: r for r in language.identify(docs).collect()}
     assert rows[4].lang_pred == rows[5].lang_pred == rows[10].lang_pred == "und" and rows[4].score == 0.0

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pyspark.sql.functions as F
 import pytest
@@ -71,6 +72,30 @@ def test_links_lose_nothing(spark, bucket, tau, lanes, total):
     assert [got.get(i, i) for i in range(len(rows))] == want
 
 
+def test_verified_links(spark):
+    """Pairs by the similarity of their five-word shingles: those of 0.8 or more are found, with a recall of at least 0.9 just above it, others never."""
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(4000)]
+    texts, band, want = [], {}, set()
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(700):
+        a = [rng.choice(vocab) for _ in range(rng.randint(60, 400))]
+        b = list(a)
+        for _ in range(max(1, round(len(a) * rng.uniform(0.005, 0.035)))):
+            b[rng.randrange(len(b))] = rng.choice(vocab)
+        x, y = shingles(a), shingles(b)
+        j = len(x & y) / len(x | y)
+        band[k] = j
+        texts += [" ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, *corpus_pipeline.NEAR).collect()}
+    found = {k for k in band if got[2 * k] == got[2 * k + 1]}
+    assert all(got[i] // 2 == i // 2 for i in got) and all(band[k] >= 0.8 for k in found)
+    for lo, hi, least in ((0.8, 0.85, 0.9), (0.85, 0.9, 0.97), (0.9, 1.0, 1.0)):
+        mine = {k for k, j in band.items() if lo <= j < hi}
+        assert len(mine) > 40 and len(found & mine) >= least * len(mine), (lo, len(found & mine), len(mine))
+
+
 def test_links_by_way_of_rows_without_an_id(spark, monkeypatch):
     prints = {"a": 0b0, "b": 0b11, "c": 0b1111, "d": 0b111111}
     monkeypatch.setattr(simhash, "fingerprint", lambda text, words, lanes: [prints[text.decode()]])
@@ -226,6 +251,42 @@ def test_phones_need_no_hyphen(spark):
     assert [got[i] for i in range(len(texts))] == [[("phone", n, 5)] for n in numbers] + [[], []]
 
 
+def test_reliabilities():
+    """Expectation-maximisation finds who votes at random and recovers the truth from the others."""
+    rng = random.Random(9)
+    chance, truth, seen = [0.95, 0.9, 0.85, 0.9, 0.5], {}, Counter()
+    for _ in range(6000):
+        t = rng.random() < 0.4
+        votes = tuple(0 if rng.random() < 0.2 else 1 if (rng.random() < c) == t else 2 for c in chance)
+        seen[votes] += 1
+        truth.setdefault(votes, Counter())[t] += 1
+    post = pii.expectation_maximisation([("ip", v, n) for v, n in seen.items()])
+    right = sum(truth[v][post["ip", v] > 0.5] for v in seen)
+    assert right >= 0.995 * sum(max(c.values()) for c in truth.values())  # what one could do who knows the truth of each pattern
+
+
+def test_added_spans(spark):
+    """Of what only the wider patterns find, personal data are added and look-alikes are not."""
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    figures = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts, want = [], []
+    for i in range(600):
+        kind = i % 6
+        span = {
+            0: f"{word(5)}.{word(4)} [at] {word(6)} [dot] com", 1: f"({rng.randint(201, 989)}) 555-{figures(4)}", 2: f"token = \"{word(9)}{figures(7)}\"",
+            3: f"{word(70)} (at) {word(8)}.org", 4: "", 5: f"{word(6)}@{word(5)}.com",
+        }[kind]
+        lead = {0: "contact", 1: "call", 2: "export", 3: "write"}.get(kind, "see")
+        text = f"{word(7)} {word(3)} {lead} {span} {word(5)} {word(6)}"
+        texts.append(text)
+        want.append((text.index(span), text.index(span) + len(span)) if kind < 4 else None)
+    got = {r.doc_id: [(a.start, a.end) for a in r.added] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hits = sum(w in got[i] for i, w in enumerate(want) if w)
+    assert hits >= 0.9 * sum(w is not None for w in want)
+    assert sum(len(got[i]) for i, w in enumerate(want) if not w) <= 2
+
+
 # -- mixing -------------------------------------------------------------------------------
 
 
