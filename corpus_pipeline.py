@@ -1,16 +1,18 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 1. language ID: documents without a letter, or of no language the model knows with any confidence, go
-2. SimHash near-dedup: of each group of documents whose five-word shingles are alike (similarity of
-   about 0.8 or more), the one with the smallest id stays
+2. SimHash near-dedup: of each group of documents linked by near copies (five-word shingles with a Jaccard
+   similarity of 0.8 or more), the one with the smallest id stays
 3. benchmark decontamination: documents that hold a test item go
 4. mixing: each source is taken to its target weight, in blocks
 5. token output: what was taken is packed into rows of token ids
 
 Rows that share doc_id and text count as one document for stage 2; other rows that share a doc_id are
 documents of their own (one keeps the id, the others get surrogates there).  Nulls: a null text is rejected by stage 1;
-a null lang is filled with the prediction; a null doc_id gets a surrogate for stage 2 alone; a null
-source is a source of its own.  Columns beyond those of ``documents`` pass through stages 1 to 4.
+a null lang is filled with the prediction; a null doc_id gets a surrogate above usual ids for stage 2 alone, so a
+document with an id stays rather than one without (a tie is decided by the surrogate, a hash of the text); a null
+source is a source of its own.  Texts of any length are taken whole.  An empty table gives empty tables and no packed
+row.  Columns beyond those of ``documents``, whatever their names, pass through stages 1 to 4.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from helixframe.llm import common, decontaminate, language, mixing, packing, sim
 
 #: Least probability of the predicted language.
 LEAST_SCORE = 0.3
-#: Fingerprints of five-word shingles: four words of 64 bits.  Two documents are alike if at least 0.8 of the
-#: 256 bits agree (51 may differ) and some word differs in at most 8 bits, which is how such pairs are found.
-SHINGLE, LANES, TAU, TOTAL = 5, 4, 8, 51
+#: Near copies: five-word shingles, fingerprints of five 64-bit words.  Documents are candidates if some word differs in at
+#: most 8 bits and all together in at most 63 of 320 (of those with a similarity of 0.8, one in a hundred differs in more); they
+#: are near copies if their sets of shingles have a Jaccard similarity of 0.8 or more.
+NEAR = (SHINGLE, TAU, LANES, TOTAL, ID, TEXT, CLOSE, SIMILARITY) = 5, 8, 5, 63, "doc_id", "text", 36, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +40,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
+    # columns by number, so that no name clashes
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*at.values()).withColumn("id", F.col(at["doc_id"]).cast("long")).withColumn("hash", F.xxhash64(at["text"]))
     # ids with several texts: the text of least hash keeps the id, the others get surrogates above usual ids
-    several = rows.groupBy("__id").agg(F.min("__hash").alias("__least"), F.max("__hash").alias("__most"))
-    several = common.cut(several.where("__id is not null and __least <> __most").select("__id", "__least"))
-    other = F.shiftright(F.xxhash64("__id", "__hash"), 2).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    key = F.when(F.col("__least") != F.col("__hash"), other).otherwise(F.coalesce("__id", -1 - F.abs(F.shiftright("__hash", 1))))
-    keyed = common.join_bounded(rows, several, ["__id"], "left").withColumn("__key", key).drop("__id", "__hash", "__least")
-    groups = simhash.near_duplicates(keyed.select("__key", "text"), SHINGLE, TAU, LANES, TOTAL, id_col="__key")
-    stay = common.cut(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct())
-    first = F.row_number().over(Window.partitionBy("__key").orderBy("text"))
-    return keyed.join(stay, "__key", "left_semi").withColumn("__first", first).where("__first = 1").select(*docs.columns)
+    several = rows.groupBy("id").agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
+    several = common.cut(several.where("id is not null and least <> most").select("id", "least"))
+    other = F.shiftright(F.xxhash64("id", "hash"), 2).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    key = F.when(F.col("least") != F.col("hash"), other).otherwise(F.coalesce("id", F.shiftright("hash", 2).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 61))))
+    keyed = common.join_bounded(rows, several, ["id"], "left").withColumn("key", key).drop("id", "hash", "least")
+    groups = simhash.near_duplicates(keyed.select(F.col("key").alias(ID), F.col(at["text"]).alias(TEXT)), *NEAR)
+    stay = common.cut(groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct())
+    first = F.row_number().over(Window.partitionBy("key").orderBy(at["text"]))
+    kept = keyed.join(stay, "key", "left_semi").withColumn("first", first).where("first = 1")
+    return kept.select(*at.values()).toDF(*docs.columns)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
