@@ -1,10 +1,10 @@
 """Operator 8: quality classifier on random-indexing word vectors.
 
-Every word (and sign, and a mark for its shape) is hashed to one of VOCAB rows; a row's
-index vector is a fixed sparse ternary vector, its word vector the sum of the index
-vectors around its occurrences in all documents.  A document is the weighted mean and
-spread of its words' vectors; a two-layer numpy network scores it and one temperature
-calibrates the probability.
+Every word (and sign; a word in capitals is another one) has a sparse ternary index vector, drawn
+from its hash.  Word vectors, the sums of the index vectors around a word's occurrences in all
+documents, are kept in a table of VOCAB rows to which words are hashed.  A document is the
+weighted mean and spread of its words' vectors, with its length, distinct words and share of
+capitals; a two-layer numpy network scores it and one temperature calibrates the probability.
 
 Word vectors are exact integer sums over all documents, so they do not depend on the
 order of work; they are VOCAB x SIZE numbers at any corpus size.  The network is fitted
@@ -14,8 +14,9 @@ by a hash of the id.
 Defined results: null and empty texts are scored like a document without words; labels
 that are null or other than 0 and 1 are not learned from, nor those of rows without an
 id; of several labels of a document, the smallest counts; without labels of both
-classes every score is 0.5; repeated rows are each scored; an empty table gives no rows.
-Other columns are not read.
+classes every score is 0.5; repeated rows are each scored (and learned from once); a score
+of exactly CUT is predicted 1; texts are read whole; an empty table gives no rows.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -38,24 +39,28 @@ HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.02, 1e-4
 CUT = 0.7
 
 
-def index_vectors() -> np.ndarray:
-    """The fixed ternary index vectors; the row behind the last is zero and stands for a document's edge."""
-    rng = np.random.default_rng(8)
-    out = np.zeros((VOCAB + 1, SIZE), np.int8)
-    at = rng.random((VOCAB, SIZE)).argsort(axis=1)[:, :NONZERO]  # which places, in random order
-    out[np.arange(VOCAB)[:, None], at] = [1] * (NONZERO // 2) + [-1] * (NONZERO // 2)
+def index_vectors(h: np.ndarray) -> np.ndarray:
+    """The sparse ternary index vector of each word, drawn from its hash: NONZERO signed ones, which add up where they meet.
+    So every word has its own, however many there are."""
+    bits = tokens.finish(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(8))
+    out, row = np.zeros((len(h), SIZE), np.int8), np.arange(len(h))
+    for k in range(NONZERO):
+        out[row, (bits >> np.uint64(5 * k) & np.uint64(SIZE - 1)).astype(np.int64)] += np.where(bits >> np.uint64(40 + k) & np.uint64(1), 1, -1).astype(np.int8)
     return out
 
 
-def ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the words of a run of texts, in order, and the text each belongs to.  A word written in capitals counts as another word."""
+def ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a run of texts, in order, the text each belongs to, and which are written in capitals; those count as other words."""
     starts, ends, h, doc = tokens.split(data, offsets)
     capital = (data >= 65) & (data <= 90)
     n_cap = np.r_[0, np.cumsum(capital)]
     shout = (n_cap[ends] - n_cap[starts] >= 2) if len(starts) else np.empty(0, bool)
-    slot = (h >> np.uint64(64 - 13)).astype(np.int64)
-    # words in capitals share few rows: which word it is matters less than that it shouts
-    return np.where(shout, slot % 64, slot), doc
+    return np.where(shout, tokens.finish(h + np.uint64(1)), h), doc, shout
+
+
+def row_of(h: np.ndarray) -> np.ndarray:
+    """The row of the table of word vectors that a word shares with others of its hash."""
+    return (h >> np.uint64(64 - 13)).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -64,17 +69,20 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     cells = BLOCK * (SIZE + 1)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total, seen = index_vectors(), np.zeros((SIZE, VOCAB)), np.zeros(VOCAB, np.int64)
+        total, seen = np.zeros((SIZE, VOCAB)), np.zeros(VOCAB, np.int64)
         for b in batches:
             for data, offsets in tokens.chunks(b.column(0)):
-                slot, doc = ids(data, offsets)
-                if not len(slot):
+                h, doc, _ = ids(data, offsets)
+                if not len(h):
                     continue
+                slot = row_of(h)
                 seen += np.bincount(slot, minlength=VOCAB)
+                words, which = np.unique(h, return_inverse=True)
+                index = np.concatenate([index_vectors(words), np.zeros((1, SIZE), np.int8)])  # the last stands for a document's edge
                 # WINDOW edges between documents
                 at = np.arange(len(slot)) + WINDOW * (doc + 1)
-                line = np.full(len(slot) + WINDOW * (len(offsets) + 1), VOCAB)
-                line[at] = slot
+                line = np.full(len(slot) + WINDOW * (len(offsets) + 1), len(words))
+                line[at] = which
                 for d in range(SIZE):
                     v = index[line, d].astype(np.float64)
                     near = np.zeros(len(line))
@@ -113,7 +121,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 class Pool:
     """Turns runs of texts into document vectors."""
 
-    width = 2 * SIZE + 3
+    width = 2 * SIZE + 4
 
     def __init__(self, vectors: np.ndarray, seen: np.ndarray):
         vectors = vectors / np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-9)
@@ -123,9 +131,10 @@ class Pool:
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         out = np.zeros((n, self.width), np.float32)
-        slot, doc = ids(data, offsets)
-        if not len(slot):
+        h, doc, shout = ids(data, offsets)
+        if not len(h):
             return out
+        slot = row_of(h)
         firsts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         who, count = doc[firsts], np.diff(np.r_[firsts, len(doc)])[:, None]
         sums = np.empty((len(firsts), SIZE + 1))
@@ -141,6 +150,7 @@ class Pool:
         out[who, 2 * SIZE] = mean[:, SIZE]
         out[who, 2 * SIZE + 1] = distinct / np.sqrt(count[:, 0])
         out[who, 2 * SIZE + 2] = np.log1p(count[:, 0])
+        out[who, 2 * SIZE + 3] = np.add.reduceat(shout.astype(np.float64), firsts) / count[:, 0]
         return out
 
     def texts(self, column: pa.Array) -> np.ndarray:
