@@ -48,11 +48,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     several = common.cut(several.where("id is not null and least <> most").select("id", "least"))
     other = F.shiftright(F.xxhash64("id", "hash"), 2).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     key = F.when(F.col("least") != F.col("hash"), other).otherwise(F.coalesce("id", F.shiftright("hash", 2).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 61))))
-    keyed = common.join_bounded(rows, several, ["id"], "left").withColumn("key", key).drop("id", "hash", "least")
-    groups = simhash.near_duplicates(keyed.select(F.col("key").alias(ID), F.col(at["text"]).alias(TEXT)), *NEAR)
-    stay = common.cut(groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct())
-    first = F.row_number().over(Window.partitionBy("key").orderBy(at["text"]))
-    kept = keyed.join(stay, "key", "left_semi").withColumn("first", first).where("first = 1")
+    keyed = common.join_bounded(rows, several, ["id"], "left").withColumn("doc_key", key).drop("id", "hash", "least")
+    groups = simhash.near_duplicates(keyed.select(F.col("doc_key").alias(ID), F.col(at["text"]).alias(TEXT)), *NEAR)
+    stay = common.cut(groups.where("doc_id = component_id").select(F.col("doc_id").alias("doc_key")).distinct())
+    first = F.row_number().over(Window.partitionBy("doc_key").orderBy(at["text"]))
+    kept = keyed.join(stay, "doc_key", "left_semi").withColumn("first", first).where("first = 1")
     return kept.select(*at.values()).toDF(*docs.columns)
 
 
