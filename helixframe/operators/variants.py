@@ -12,7 +12,7 @@ import re
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from ..functions.columns import matches_any
+from ..functions.columns import matches_any, natural_key
 from . import intervals
 
 # -- filters: each is a Column that is true where the filter applies -----------------------
@@ -494,15 +494,17 @@ def reorder_samples(df: DataFrame, order: list[int]) -> DataFrame:
     return df.withColumn("samples", F.array(*[F.get("samples", F.lit(i)) for i in order]))
 
 
-def concat(tables: list[DataFrame]) -> DataFrame:
-    """Variants of several tables in contig and position order; two tables with one position are an error."""
+def concat(tables: list[DataFrame], contigs: list[str] | None = None) -> DataFrame:
+    """Variants of several tables in contig and position order; two tables with one position are an error.
+    Contigs come in the order of ``contigs`` (a header's), those that it does not list behind them in natural order."""
     rows = tables[0].withColumn("__t", F.lit(0))
     for i, t in enumerate(tables[1:], 1):
         rows = rows.unionByName(t.withColumn("__t", F.lit(i)))
     shared = rows.groupBy("chrom", "pos").agg(F.min("__t").alias("a"), F.max("__t").alias("b")).where("a < b")
     if not shared.isEmpty():
         raise ValueError("variants of two inputs share a position")
-    return rows.drop("__t").orderBy("chrom", "pos")
+    listed = F.create_map(*[F.lit(x) for i, c in enumerate(contigs) for x in (c, i)])[F.col("chrom")] if contigs else F.lit(None).cast("int")
+    return rows.drop("__t").orderBy(listed.asc_nulls_last(), natural_key(F.col("chrom")), "pos")
 
 
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -239,6 +239,16 @@ def test_components_in_logarithmic_rounds(spark):
     assert graph.components(df.limit(0)).count() == 0
 
 
+def test_concat_takes_the_headers_order(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "chrom string, pos int")
+    one, two = rows(("chr10", 5), ("chr2", 9), ("chrX", 1)), rows(("chr2", 3), ("chr1", 7))
+    assert [r.chrom for r in variants.concat([one, two]).collect()] == ["chr1", "chr2", "chr2", "chr10", "chrX"]
+    got = variants.concat([one, two], ["chrX", "chr10", "chr2"]).collect()
+    assert [(r.chrom, r.pos) for r in got] == [("chrX", 1), ("chr10", 5), ("chr2", 3), ("chr2", 9), ("chr1", 7)]
+    with pytest.raises(ValueError):
+        variants.concat([one, one])
+
+
 def test_join_survives_hot_keys(spark):
     rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 0, id) as k", "id as v")
     table = rows.groupBy("k").count().withColumn("x", F.col("k") * 2)
