@@ -58,8 +58,9 @@ class DigestIndex:
             self.compact()
 
     def _write(self, rows: DataFrame, table: str, buckets: int) -> None:
+        # by the bucket's number: a plain repartition by digest of rows read from the index itself would be planned away
         (
-            rows.select("digest", F.col("keep_id").cast("long")).repartition(buckets, "digest")
+            rows.select("digest", F.col("keep_id").cast("long")).repartition(buckets, F.pmod(F.hash("digest"), F.lit(buckets)))
             .write.mode("append").format("parquet").option("path", self._path(table))
             .bucketBy(buckets, "digest").sortBy("digest").saveAsTable(table)
         )
