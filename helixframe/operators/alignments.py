@@ -194,6 +194,22 @@ def span_counts(df: DataFrame, groups: DataFrame, key: list[str], orientation: s
     return groups.select(*key).distinct().join(got, key, "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
+def span_details(df: DataFrame, groups: DataFrame, key: list[str], orientation: str = "unstranded", drop: int = COUNT_FILTER, need: int = 0, unique: bool = False) -> DataFrame:
+    """As ``span_counts``, with what the counted reads are: proper, not_proper, ratio (not_proper / proper, or 0), insert (mean
+    absolute tlen of proper ones, or 0) and inverted (proper, mates on one strand).  Of a name's reads the first by position
+    counts; with ``unique`` it does so only if it maps uniquely."""
+    rows = spans(flags(df, drop, need)).withColumn("strand", effective_strand(orientation))
+    read = {"proper": has(PAIRED | PROPER), "not_proper": has(PAIRED) & lacks(PROPER), "inverted": has(PAIRED | PROPER) & (has(REVERSE) == has(MATE_REVERSE)), "size": F.abs("tlen"), "fine": unique_mapping() if unique else F.lit(True)}
+    rows = rows.select("chrom", "start", "end", "strand", "name", "flag", *[c.alias(k) for k, c in read.items()])
+    pairs = intervals.range_join(groups, rows, stranded=orientation in ("FR", "RF"))
+    first = F.min_by(F.struct(*[F.col(f"r_{k}").alias(k) for k in read]), F.struct("r_start", "r_end", "r_flag", "r_size")).alias("r")
+    reads = pairs.groupBy(*key, "r_name").agg(first).where("r.fine")
+    sums = {"count": F.count(F.lit(1)), "proper": F.count_if("r.proper"), "not_proper": F.count_if("r.not_proper"), "insert": F.avg(F.when(F.col("r.proper"), F.col("r.size"))), "inverted": F.count_if("r.inverted")}
+    got = groups.select(*key).distinct().join(reads.groupBy(*key).agg(*[c.alias(k) for k, c in sums.items()]), key, "left")
+    got = got.select(*key, *[F.coalesce(k, F.lit(0)).alias(k) for k in sums])
+    return got.withColumn("ratio", F.when(F.col("proper") > 0, F.col("not_proper") / F.col("proper")).otherwise(0.0))
+
+
 def depth(df: DataFrame, drop: int = COVERAGE_FILTER) -> DataFrame:
     """Run-length encoded depth of aligned bases."""
     return intervals.depth(aligned(df.where(lacks(drop)), []))
@@ -399,6 +415,48 @@ def stats(df: DataFrame) -> DataFrame:
     )
 
 
+def _summarised(unique: bool = False) -> Column:
+    """Reads that tallies are about: mapped, not second of a pair, no duplicate, failed or supplementary one."""
+    fine = lacks(UNMAPPED | DUPLICATE | FAILED | SUPPLEMENTARY) & ~(has(PAIRED) & has(SECOND))
+    return fine & unique_mapping() if unique else fine
+
+
+def read_stats(df: DataFrame, unique: bool = False) -> DataFrame:
+    """One row about reads, seconds of pairs left out: total, mapped, unmapped, multiple (not uniquely mapped) and the median
+    insert size of proper pairs on one contig; about all mapped bases but those of duplicates: total_bases, q30_bases and
+    gapped (reads with an N in the CIGAR).  ``unique`` leaves reads that do not map uniquely out of the bases and sizes."""
+    first, kept = ~(has(PAIRED) & has(SECOND)), lacks(DUPLICATE | FAILED | SUPPLEMENTARY)
+    measured = lacks(DUPLICATE | UNMAPPED) & (unique_mapping() if unique else F.lit(True))
+    bases = F.aggregate(F.regexp_extract_all("cigar", F.lit(r"(\d+)[M=XI]"), F.lit(1)), F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+    left = F.coalesce(F.regexp_extract("cigar", r"^(?:\d+H)?(\d+)S", 1).try_cast("int"), F.lit(0))
+    right = F.coalesce(F.regexp_extract("cigar", r"(\d+)S(?:\d+H)?$", 1).try_cast("int"), F.lit(0))
+    qual = F.when(F.col("qual") != "*", F.substring(F.col("qual"), left + 1, F.length("qual") - left - right))
+    sized = _summarised(unique) & has(PAIRED | PROPER) & (F.col("chrom") == F.col("mate_chrom"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return df.agg(
+        F.count_if(first).alias("total"), F.count_if(first & kept & lacks(UNMAPPED)).alias("mapped"), F.count_if(first & kept & has(UNMAPPED)).alias("unmapped"),
+        F.count_if(first & kept & lacks(UNMAPPED) & ~unique_mapping()).alias("multiple"), zero(F.sum(F.when(measured, bases))).alias("total_bases"),
+        zero(F.sum(F.when(measured, F.regexp_count(qual, F.lit("[?-~]"))))).alias("q30_bases"), F.count_if(measured & F.col("cigar").contains("N")).alias("gapped"),
+        F.percentile(F.when(sized, F.abs("tlen")), 0.5).alias("insert_median"),
+    )
+
+
+def flag_tally(df: DataFrame) -> DataFrame:
+    """(flag, count) of the flag bits that occur, over all reads but seconds of pairs; one pass, twelve sums."""
+    bits = [1 << i for i in range(12)]
+    sums = df.where(~(has(PAIRED) & has(SECOND))).agg(*[F.count_if(has(b)).alias(f"f{b}") for b in bits])
+    rows = F.explode(F.array(*[F.struct(F.lit(b).alias("flag"), F.col(f"f{b}").alias("count")) for b in bits])).alias("r")
+    return sums.select(rows).select("r.flag", "r.count").where("count > 0")
+
+
+def tag_tally(df: DataFrame, tags: list[str], unique: bool = False) -> DataFrame:
+    """(tag, value, count) over the reads that tallies are about; value is null where a read lacks the tag.  MAPQ is the column,
+    CHROM the contig."""
+    column = {"MAPQ": F.col("mapq").cast("string"), "CHROM": F.col("chrom")}
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), column.get(t, F.try_element_at("tags", F.lit(t))).alias("value")) for t in tags])).alias("r")
+    return df.where(_summarised(unique)).select(rows).groupBy("r.tag", "r.value").agg(F.count(F.lit(1)).alias("count"))
+
+
 def on_target(df: DataFrame, key: list[str], regions: DataFrame) -> DataFrame:
     """Alignments on and off the regions."""
     hits = in_regions(df, key, regions).agg(F.count(F.lit(1)).alias("on_target"))

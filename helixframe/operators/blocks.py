@@ -10,7 +10,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 
-def running(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, kind: str, name: str, inclusive: bool = True) -> DataFrame:
+def running(df: DataFrame, keys: list[str], block: str, order: list[str | Column], value: Column, kind: str, name: str, inclusive: bool = True) -> DataFrame:
     """Adds ``name``: running sum or max of ``value`` over (keys, order); null ahead of the first row if exclusive.
     ``block`` must not decrease along ``order``."""
     agg = {"sum": F.sum, "max": F.max}[kind]

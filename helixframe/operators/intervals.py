@@ -225,20 +225,38 @@ def bin_counts(df: DataFrame, size: int = 50, stranded: bool = False, contigs: D
     return got.select("chrom", "start", (F.col("start") + size).alias("end"), *keys[2:], "count")
 
 
-def to_bedpe(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
+def to_bedpe(first: DataFrame, second: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
     """Pairs of regions with one name: of those on one chrom and different (or no) strands the pair with the least
-    distance, else the first of each; score is the greater.  ``key`` orders equal candidates."""
-    a = first.select(*[F.col(c).alias(f"a_{c}") for c in first.columns])
-    b = second.select(*[F.col(c).alias(f"b_{c}") for c in second.columns])
-    pairs = a.join(b, F.col("a_name") == F.col("b_name"))
-    good = (F.col("a_chrom") == F.col("b_chrom")) & ((F.col("a_strand") != F.col("b_strand")) | (F.col("a_strand") == "*") | (F.col("b_strand") == "*"))
-    gap = F.abs(distance(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")))
-    rank = F.struct(F.when(good, 0).otherwise(1).alias("g"), F.when(good, gap).otherwise(0).alias("d"), *[F.col(f"a_{k}") for k in key], *[F.col(f"b_{k}").alias(f"b_{k}") for k in key])
-    best = pairs.groupBy(F.col("a_name").alias("name")).agg(F.min_by(F.struct(*[c for c in pairs.columns]), rank).alias("p"))
+    distance, else the first of each; score is the greater.  ``key`` orders equal candidates.  Rows without a name have no pair.
+
+    A sweep over (name, chrom, strand) gives each first region its least distance to a second one; only the best first region of a
+    name then meets the name's second regions, so no name's pairs are listed."""
+    a = first.where("name is not null").select("name", F.struct(*first.columns).alias("a"))
+    b = second.where("name is not null").select("name", F.struct(*second.columns).alias("b"))
+    strand, none = F.col("b.strand"), F.lit(None)
+    partners = F.when(strand == "*", F.array(*map(F.lit, ("+", "-", "*", "")))).when(strand == "+", F.array(F.lit("-"), F.lit("*"))).when(strand == "-", F.array(F.lit("+"), F.lit("*"))).otherwise(F.array(F.lit("*")))
+    ends = a.select("name", F.col("a.chrom").alias("chrom"), F.coalesce("a.strand", F.lit("")).alias("side"), F.col("a.end").alias("pos"), F.lit(1).alias("o"), none.cast("long").alias("reach"), "a")
+    starts = b.select("name", F.col("b.chrom").alias("chrom"), F.explode(partners).alias("side"), F.col("b.start").alias("pos"), F.lit(0).alias("o"), F.col("b.end").alias("reach"), none.cast(a.schema["a"].dataType).alias("a"))
+    rows = ends.union(starts).withColumn("__b", F.floor(F.col("pos") / block)).withColumn("__back", -F.col("__b"))
+    keys = ["name", "chrom", "side"]
+    rows = running(rows, keys, "__b", ["pos", "o"], F.col("reach"), "max", "left")
+    rows = running(rows, keys, "__back", [F.desc("pos"), F.desc("o")], F.when(F.col("o") == 0, -F.col("pos")), "max", "right")
+    behind = F.when(F.col("left").isNotNull(), F.greatest(F.lit(0).cast("long"), F.col("a.start") - F.col("left")))
+    least = F.least(behind, -F.col("right") - F.col("a.end"))
+    order = [F.col(f"a.{k}").alias(f"k{i}") for i, k in enumerate(key)]
+    rows = rows.where("o = 1").withColumn("gap", least)
+    one = rows.groupBy("name").agg(
+        F.min_by(F.struct("a", "gap"), F.when(F.col("gap").isNotNull(), F.struct("gap", *order))).alias("near"), F.min_by("a", F.struct(*order)).alias("head"),
+    )
+    one = one.select("name", F.coalesce("near.a", "head").alias("a"), F.col("near.gap").alias("gap"))
+    good = (F.col("a.chrom") == F.col("b.chrom")) & ((F.col("a.strand") != strand) | (F.col("a.strand") == "*") | (strand == "*"))
+    gap = F.abs(distance(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end")))
+    met = one.join(b, "name").where(F.col("gap").isNull() | (good & (gap == F.col("gap"))))
+    best = met.groupBy("name").agg(F.first("a").alias("a"), F.min_by("b", F.struct(*[F.col(f"b.{k}").alias(f"k{i}") for i, k in enumerate(key)])).alias("b"))
     return best.select(
-        F.col("p.a_chrom").alias("chrom1"), F.col("p.a_start").alias("start1"), F.col("p.a_end").alias("end1"),
-        F.col("p.b_chrom").alias("chrom2"), F.col("p.b_start").alias("start2"), F.col("p.b_end").alias("end2"), "name",
-        F.greatest("p.a_score", "p.b_score").alias("score"), F.col("p.a_strand").alias("strand1"), F.col("p.b_strand").alias("strand2"),
+        F.col("a.chrom").alias("chrom1"), F.col("a.start").alias("start1"), F.col("a.end").alias("end1"),
+        F.col("b.chrom").alias("chrom2"), F.col("b.start").alias("start2"), F.col("b.end").alias("end2"), "name",
+        F.greatest("a.score", "b.score").alias("score"), F.col("a.strand").alias("strand1"), F.col("b.strand").alias("strand2"),
     )
 
 

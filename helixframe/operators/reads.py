@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
@@ -9,6 +13,8 @@ from ..functions.sequences import count_of, revcomp
 
 #: Adapter of the ``--trim-illumina`` preset.
 ILLUMINA = "AGATCGGAAGAGC"
+#: Bases that the adapter search compares at once.
+BASES = 4_000_000
 
 
 def _cut(df: DataFrame, start: Column, length: Column, tag: str | None = None) -> DataFrame:
@@ -64,21 +70,47 @@ def trim_quality(df: DataFrame, least: int, prefix: bool = False) -> DataFrame:
     return _cut(df, F.lit(0), F.length(F.regexp_replace("qual", f"{_below(least)}+$", "")))
 
 
+def adapter_ends(texts: list[str], adapter: str, overlap: int, identity: float) -> np.ndarray:
+    """Length of the shortest end of each text that matches the adapter's start, 0 if none does; all texts as one array."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat, want = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in ("".join(texts), adapter))
+    stop, full = np.cumsum(sizes), len(want)
+    cut = np.zeros(len(texts), np.int64)
+    for n in range(overlap, full):  # ends shorter than the adapter
+        left = np.flatnonzero((cut == 0) & (sizes >= n))
+        same = (flat[(stop[left] - n)[:, None] + np.arange(n)] == want[:n]).sum(axis=1)
+        cut[left[same >= math.ceil(n * identity)]] = n
+    if len(flat) >= full:
+        last = len(flat) - full + 1
+        same = np.zeros(last, np.int32)
+        for k in range(full):
+            same += flat[k : last + k] == want[k]
+        at = np.flatnonzero(same >= math.ceil(full * identity))
+        read = np.searchsorted(stop, at, side="right")
+        fits = at + max(full, overlap) <= stop[read]
+        found = np.full(len(texts), -1)
+        np.maximum.at(found, read[fits], at[fits])
+        cut = np.where((cut == 0) & (found >= 0), stop - found, cut)
+    return cut
+
+
 def trim_adapter(df: DataFrame, adapter: str = ILLUMINA, overlap: int = 4, identity: float = 0.9) -> DataFrame:
-    """Cuts the shortest read end of at least ``overlap`` bases that matches the adapter's start: over the
-    compared length at least ceil(length * identity) bases agree."""
-    agree = F.lit(None).cast("int")
-    size = F.length("seq")
-    table = F.array(*[F.lit(c) for c in adapter])
-
-    def fits(i: Column) -> Column:
-        n = F.least(i, F.lit(len(adapter)))
-        same = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda a, k: a + (F.substring(F.col("seq"), size - i + k, F.lit(1)) == F.element_at(table, k)).cast("int"))
-        return same >= F.ceil(n * identity)
-
-    ends = F.when(size >= overlap, F.filter(F.sequence(F.lit(overlap), F.greatest(size, F.lit(overlap))), fits))
-    cut = F.coalesce(F.get(ends, F.lit(0)), agree, F.lit(0))
-    return _cut(df.withColumn("__cut", cut), F.lit(0), F.length("seq") - F.col("__cut")).drop("__cut")
+    """Cuts the shortest read end of at least ``overlap`` (1 or more) bases that matches the adapter's start: over the
+    compared length at least ceil(length * identity) bases agree.  Reads are compared in Arrow batches, some millions of bases at once."""
+
+    @F.pandas_udf("int")
+    def ends(seq: pd.Series) -> pd.Series:
+        texts, out, i = seq.fillna("").tolist(), [], 0
+        while i < len(texts):
+            j, bases = i, 0
+            while j < len(texts) and (j == i or bases + len(texts[j]) <= BASES):
+                bases += len(texts[j])
+                j += 1
+            out.append(adapter_ends(texts[i:j], adapter, overlap, identity))
+            i = j
+        return pd.Series(np.concatenate(out) if out else [], dtype="int32")
+
+    return _cut(df.withColumn("__cut", ends("seq")), F.lit(0), F.length("seq") - F.col("__cut")).drop("__cut")
 
 
 def few_wildcards(df: DataFrame, most: int) -> DataFrame:

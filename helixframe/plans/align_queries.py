@@ -107,6 +107,10 @@ def span_count_stranded(s, d):
     return A.span_counts(al(s, d), rg(s, d), ["region_id"], "FR").select("region_id", "count")
 
 
+def span_count_details(s, d):
+    return A.span_details(al(s, d), rg(s, d), ["region_id"]).select("region_id", "count", "proper", "not_proper", F.round("ratio", 9).alias("ratio"), F.round("insert", 6).alias("insert"), "inverted")
+
+
 def bam_bedgraph(s, d):
     return A.depth(al(s, d))
 
@@ -170,6 +174,22 @@ def bam_stats(s, d):
     return A.stats(al(s, d))
 
 
+def bam_stats_reads(s, d):
+    return A.read_stats(al(s, d))
+
+
+def bam_stats_flags(s, d):
+    return A.flag_tally(al(s, d))
+
+
+def bam_stats_tags(s, d):
+    return A.tag_tally(al(s, d), ["CHROM", "MAPQ", "NH", "RG"])
+
+
+def bam_stats_unique(s, d):
+    return A.tag_tally(al(s, d), ["CHROM", "NM"], unique=True)
+
+
 def bam_on_target(s, d):
     return A.on_target(al(s, d), KEY, rg(s, d).where("score > 990"))
 
@@ -195,12 +215,12 @@ def bam_pileup(s, d):
 
 
 def vcf_count(s, d):
-    sites = frame(s, d, "vr").where("length(alt) = 1").select("var_id", "chrom", (F.col("pos") % 20000 + 1).alias("pos"), "ref", "alt")
+    sites = frame(s, d, "vr").select("var_id", "chrom", (F.col("pos") % 20000 + 1).alias("pos"), "ref", "alt")
     return A.count_alleles(A.base_calls(al(s, d)), sites)
 
 
 def bam_pir(s, d):
-    sites = frame(s, d, "vr").where("length(alt) = 1 and ref <> alt").select("var_id", "chrom", (F.col("pos") % 20000 + 1).alias("pos"), "ref", "alt")
+    sites = frame(s, d, "vr").select("var_id", "chrom", (F.col("pos") % 20000 + 1).alias("pos"), "ref", "alt")
     return A.informative_reads(al(s, d), sites, ["var_id"]).select("var_id", "allele", "count")
 
 
@@ -211,8 +231,8 @@ def bam_phase(s, d):
 
 QUERIES = {f.__name__: f for f in (
     flag_filter, unique_mapping, pair_keep, pair_remove, sane_pairs, tag_min, tag_max, tag_eq, unique_start, bam_region_include, bam_region_exclude, bam_region_within, bam_junctions, dups,
-    best, discord, ref_count, span_count, span_count_stranded, bam_bedgraph, coverage_quantiles, expressed_regions, softclip, wps, base_call, bam_consensus, bam_varcall, bam_removeclipping,
-    bam_readgroup, bam_concat, bam_clean, bam_check, bam_split, bam_stats, bam_on_target, bam_tobed, bam_tobedpe, bam_extract, bam_sample, bam_pileup, vcf_count, bam_pir, bam_phase,
+    best, discord, ref_count, span_count, span_count_stranded, span_count_details, bam_bedgraph, coverage_quantiles, expressed_regions, softclip, wps, base_call, bam_consensus, bam_varcall, bam_removeclipping,
+    bam_readgroup, bam_concat, bam_clean, bam_check, bam_split, bam_stats, bam_stats_reads, bam_stats_flags, bam_stats_tags, bam_stats_unique, bam_on_target, bam_tobed, bam_tobedpe, bam_extract, bam_sample, bam_pileup, vcf_count, bam_pir, bam_phase,
 )}
 
 # The mate's flags, CIGAR blocks and spans of al, in SQL.
@@ -238,7 +258,7 @@ g AS (SELECT chrom, pos, count(*) FILTER (call = 'A') AS "A", count(*) FILTER (c
  count(*) FILTER (call = 'ins') AS ins, count(*) FILTER (call = 'del') AS del, count(*) FILTER (length(call) = 1 AND m = 0) AS plus, count(*) FILTER (length(call) = 1 AND m <> 0) AS minus, count(*) FILTER (length(call) = 1) AS depth FROM c GROUP BY chrom, pos)
 """
 _IUPAC = "CASE x WHEN 'A' THEN 'A' WHEN 'C' THEN 'C' WHEN 'G' THEN 'G' WHEN 'T' THEN 'T' WHEN 'AG' THEN 'R' WHEN 'CT' THEN 'Y' WHEN 'CG' THEN 'S' WHEN 'AT' THEN 'W' WHEN 'GT' THEN 'K' WHEN 'AC' THEN 'M' WHEN 'CGT' THEN 'B' WHEN 'AGT' THEN 'D' WHEN 'ACT' THEN 'H' WHEN 'ACG' THEN 'V' ELSE 'N' END"
-_SITES = "sites AS (SELECT var_id, chrom, pos % 20000 + 1 AS pos, ref, alt FROM vr WHERE length(alt) = 1{0})"
+_SITES = "sites AS (SELECT var_id, chrom, pos % 20000 + 1 AS pos, ref, alt FROM vr)"
 ORACLE_SQL = {
     "wps": with_sql("iv", """WITH f AS (SELECT chrom, "start" AS s, "end" AS e, row_number() OVER () AS id FROM iv), a AS (SELECT chrom, unnest(generate_series(s + 10, e - 10)) AS pos FROM f WHERE e - s >= 20),
 c AS (SELECT DISTINCT chrom, id, unnest(list_concat(generate_series(greatest(s - 9, 0), s + 10), generate_series(greatest(e - 10, 0), e + 9))) AS pos FROM f),
@@ -281,6 +301,15 @@ SELECT chrom, pos, CASE WHEN k >= 4 THEN {_IUPAC} ELSE 'N' END AS base FROM u"""
     "bam_split": sql("""WITH p AS (SELECT chrom, pos, count(*) AS k FROM am GROUP BY ALL), q AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM p)
 SELECT chrom || '.' || CAST(a // 1000 AS BIGINT) AS part, CAST(sum(k) AS BIGINT) AS n, count(*) AS positions FROM q GROUP BY 1"""),
     "bam_stats": sql("SELECT count(*) AS total, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 1024 <> 0) AS duplicates, count(*) FILTER (flag & 256 <> 0) AS secondary, count(*) FILTER (flag & 2 <> 0) AS proper, quantile_cont(CASE WHEN flag & 66 = 66 THEN abs(tlen) END, 0.5) AS insert_median FROM am"),
+    "span_count_details": sql("""WITH h AS (SELECT region_id, am.name, arg_min({'f': flag, 't': abs(tlen)}, (pos, pos + rlen, flag, abs(tlen))) AS r FROM rgm JOIN am ON am.chrom = rgm.chrom AND am.flag & 3844 = 0 AND am.pos < rgm.e AND am.pos + rlen > rgm.s GROUP BY ALL),
+k AS (SELECT region_id, count(*) AS "count", count(*) FILTER (r.f & 3 = 3) AS proper, count(*) FILTER (r.f & 3 = 1) AS not_proper, avg(CASE WHEN r.f & 3 = 3 THEN r.t END) AS insert, count(*) FILTER (r.f & 3 = 3 AND (r.f & 16 <> 0) = (r.f & 32 <> 0)) AS inverted FROM h GROUP BY region_id)
+SELECT rgm.region_id, coalesce("count", 0) AS "count", coalesce(proper, 0) AS proper, coalesce(not_proper, 0) AS not_proper, CASE WHEN proper > 0 THEN round(not_proper / proper, 9) ELSE 0.0 END AS ratio, round(coalesce(insert, 0.0), 6) AS insert, coalesce(inverted, 0) AS inverted FROM rgm LEFT JOIN k USING (region_id)""", _RGM, "al rg"),
+    "bam_stats_reads": sql("""WITH t AS (SELECT *, flag & 128 = 0 AS f, flag & 3584 = 0 AS k, flag & 1028 = 0 AS m, coalesce(nh = 1, mapq <> 0) AS u, CASE event_id % 6 WHEN 1 THEN substr(qual, 11) WHEN 5 THEN left(qual, 40) ELSE qual END AS q, CASE WHEN event_id % 6 IN (1, 5) THEN 40 ELSE 50 END AS n FROM am)
+SELECT count(*) FILTER (f) AS total, count(*) FILTER (f AND k AND flag & 4 = 0) AS mapped, count(*) FILTER (f AND k AND flag & 4 <> 0) AS unmapped, count(*) FILTER (f AND k AND flag & 4 = 0 AND NOT u) AS multiple, CAST(sum(n) FILTER (m) AS BIGINT) AS total_bases, CAST(sum(length(regexp_replace(q, '[^?-~]', '', 'g'))) FILTER (m) AS BIGINT) AS q30_bases,
+count(*) FILTER (m AND event_id % 6 = 4) AS gapped, quantile_cont(CASE WHEN f AND k AND flag & 4 = 0 AND flag & 3 = 3 AND chrom = mate_chrom THEN abs(tlen) END, 0.5) AS insert_median FROM t"""),
+    "bam_stats_flags": sql('WITH b AS (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048]) AS flag) SELECT CAST(b.flag AS INT) AS flag, count(*) AS "count" FROM am JOIN b ON am.flag & b.flag <> 0 WHERE am.flag & 128 = 0 GROUP BY b.flag'),
+    "bam_stats_tags": sql("""WITH t AS (SELECT unnest([{'tag': 'CHROM', 'value': chrom}, {'tag': 'MAPQ', 'value': CAST(mapq AS VARCHAR)}, {'tag': 'NH', 'value': CAST(nh AS VARCHAR)}, {'tag': 'RG', 'value': read_group}], recursive := true) FROM am WHERE flag & 128 = 0 AND flag & 3588 = 0) SELECT tag, value, count(*) AS "count" FROM t GROUP BY tag, value"""),
+    "bam_stats_unique": sql("""WITH t AS (SELECT unnest([{'tag': 'CHROM', 'value': chrom}, {'tag': 'NM', 'value': CAST(nm AS VARCHAR)}], recursive := true) FROM am WHERE flag & 128 = 0 AND flag & 3588 = 0 AND coalesce(nh = 1, mapq <> 0)) SELECT tag, value, count(*) AS "count" FROM t GROUP BY tag, value"""),
     "bam_on_target": sql(f"SELECT count(*) FILTER ({_HIT.format(score=990)}) AS on_target, count(*) FILTER (NOT {_HIT.format(score=990)}) AS off_target FROM am", f"{_BL}, {_RGM}", "al rg"),
     "bam_tobed": sql("""SELECT chrom, pos AS "start", pos + rlen AS "end", name, mapq AS score, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand FROM am WHERE flag & 4 = 0 AND flag & 64 <> 0"""),
     "bam_tobedpe": sql("""SELECT a.chrom AS chrom1, a.pos AS start1, a.pos + a.rlen AS end1, b.chrom AS chrom2, b.pos AS start2, b.pos + b.rlen AS end2, a.name, a.mapq AS score, CASE WHEN a.flag & 16 <> 0 THEN '-' ELSE '+' END AS strand1, CASE WHEN b.flag & 16 <> 0 THEN '-' ELSE '+' END AS strand2
@@ -289,7 +318,7 @@ FROM am a JOIN am b ON a.name = b.name AND a.flag & 64 <> 0 AND b.flag & 128 <>
     "bam_pileup": sql("""WITH b AS (SELECT name, flag, chrom, s + i AS pos, substr(seq, CAST(rs + i + 1 AS INT), 1) AS c FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM bl WHERE flag & 1796 = 0)), l AS (SELECT chrom, pos, name, CASE WHEN flag & 16 <> 0 THEN lower(c) ELSE c END AS c FROM b)
 SELECT chrom, pos, count(*) AS depth, string_agg(c, '' ORDER BY name, c) AS bases FROM l GROUP BY chrom, pos""", _BL),
     "vcf_count": sql(_CALLS.format(q=0) + """SELECT s.*, coalesce(CASE s.ref WHEN 'A' THEN "A" WHEN 'C' THEN "C" WHEN 'G' THEN "G" WHEN 'T' THEN "T" END, 0) AS ref_count, coalesce(CASE s.alt WHEN 'A' THEN "A" WHEN 'C' THEN "C" WHEN 'G' THEN "G" WHEN 'T' THEN "T" END, 0) AS alt_count, coalesce(depth, 0) AS depth
-FROM sites s LEFT JOIN g ON g.chrom = s.chrom AND g.pos + 1 = s.pos""", f"{_BL}, {_SITES.format('')}", "al vr"),
+FROM sites s LEFT JOIN g ON g.chrom = s.chrom AND g.pos + 1 = s.pos""", f"{_BL}, {_SITES}", "al vr"),
     "bam_pir": sql("""WITH h AS (SELECT v.var_id, bl.name, substr(bl.seq, CAST(bl.rs + v.pos - 1 - bl.s + 1 AS INT), 1) AS c, v.ref, v.alt FROM sites v JOIN bl ON bl.chrom = v.chrom AND bl.s <= v.pos - 1 AND v.pos - 1 < bl.e)
-SELECT var_id, CASE c WHEN ref THEN 'ref' WHEN alt THEN 'alt' ELSE 'other' END AS allele, count(DISTINCT name) AS "count" FROM h GROUP BY ALL""", f"{_BL}, {_SITES.format(' AND ref <> alt')}", "al vr"),
+SELECT var_id, CASE c WHEN ref THEN 'ref' WHEN alt THEN 'alt' ELSE 'other' END AS allele, count(DISTINCT name) AS "count" FROM h GROUP BY ALL""", f"{_BL}, {_SITES}", "al vr"),
 }

@@ -118,7 +118,7 @@ def bed_sort(s, d):
 
 def bed_to_bedpe(s, d):
     rows = rg(s, d)
-    return I.to_bedpe(rows.where("score < 925"), rows.where("score >= 975"), ["region_id"])
+    return I.to_bedpe(rows.where("score < 950"), rows.where("score >= 950"), ["region_id"])
 
 
 def bedpe_to_bed(s, d):
@@ -171,7 +171,7 @@ WITH p AS (
            CASE WHEN a.chrom = b.chrom AND a.strand <> b.strand THEN
              CASE WHEN a."start" > b."end" THEN a."start" - b."end" WHEN a."end" < b."start" THEN b."start" - a."end" ELSE 0 END ELSE 0 END,
            a.region_id, b.region_id) AS n
-  FROM rg a JOIN rg b ON a.name = b.name WHERE a.score < 925 AND b.score >= 975)
+  FROM rg a JOIN rg b ON a.name = b.name WHERE a.score < 950 AND b.score >= 950)
 """
 
 QUERIES = {f.__name__: f for f in (

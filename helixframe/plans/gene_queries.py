@@ -101,7 +101,7 @@ def annotate_gtf(s, d):
 
 
 def annotate_repeat(s, d):
-    repeats = iv(s, d).where("score > 40000").withColumn("family", F.concat(F.lit("f"), "name"))
+    repeats = iv(s, d).withColumn("family", F.concat(F.lit("f"), "name"))
     return G.annotate_repeats(rg(s, d), ["region_id"], repeats).select("region_id", "repeats", "families")
 
 
@@ -300,7 +300,7 @@ b AS (SELECT v.var_id, min(code) AS code FROM vr v LEFT JOIN pt ON pt.chrom = v.
 SELECT var_id, CASE code WHEN 0 THEN 'coding_exon' WHEN 1 THEN '5_utr' WHEN 2 THEN '3_utr' WHEN 3 THEN 'nc_exon' WHEN 4 THEN 'coding_intron' WHEN 5 THEN '5_utr_intron' WHEN 6 THEN '3_utr_intron' WHEN 7 THEN 'nc_intron' ELSE 'intergenic' END AS region FROM b""", "gx vr"),
     "annotate_gtf": _g("""WITH g AS (SELECT gene_id, chrom, strand, min(s) AS s, max(e) AS e FROM ex GROUP BY ALL), h AS (SELECT r.region_id, g.gene_id, CASE WHEN r.strand = g.strand THEN 0 ELSE 1 END AS other FROM rg r JOIN g ON g.chrom = r.chrom AND g.s < r."end" AND g.e > r."start"),
 k AS (SELECT region_id, string_agg(DISTINCT gene_id, ',' ORDER BY gene_id) AS gene_ids FROM (SELECT *, min(other) OVER (PARTITION BY region_id) AS m FROM h) WHERE other = m GROUP BY region_id) SELECT rg.region_id, coalesce(gene_ids, '') AS gene_ids FROM rg LEFT JOIN k USING (region_id)""", "gx rg"),
-    "annotate_repeat": with_sql("iv rg", f"SELECT r.region_id, coalesce(string_agg(DISTINCT q.name, ',' ORDER BY q.name), '') AS repeats, coalesce(string_agg(DISTINCT 'f' || q.name, ',' ORDER BY 'f' || q.name), '') AS families FROM rg r LEFT JOIN iv q ON q.score > 40000 AND q.chrom = r.chrom AND {_OV} GROUP BY r.region_id"),
+    "annotate_repeat": with_sql("iv rg", f"SELECT r.region_id, coalesce(string_agg(DISTINCT q.name, ',' ORDER BY q.name), '') AS repeats, coalesce(string_agg(DISTINCT 'f' || q.name, ',' ORDER BY 'f' || q.name), '') AS families FROM rg r LEFT JOIN iv q ON q.chrom = r.chrom AND {_OV} GROUP BY r.region_id"),
     "vcf_svtofasta": with_sql("rg", """WITH j AS (SELECT 'j' || region_id AS name, region_id % 400 + 60 AS p, "start" % 400 + 60 AS q, region_id % 4 AS k, repeat('ACGTTGCAAGCT', 50) AS seq FROM rg),
 x AS (SELECT name, k, CASE WHEN k IN (0, 3) THEN substr(seq, CAST(p - 19 AS INT), 20) ELSE reverse(translate(substr(seq, CAST(p AS INT), 20), 'ACGT', 'TGCA')) END AS a, CASE WHEN k IN (0, 2) THEN substr(seq, CAST(q AS INT), 20) ELSE reverse(translate(substr(seq, CAST(q - 19 AS INT), 20), 'ACGT', 'TGCA')) END AS b FROM j) SELECT name, a || b AS seq FROM x"""),
     "gtf_tofasta": _g("""WITH p AS (SELECT transcript_id, strand, string_agg(substr(repeat('ATGGCTTGCAAGGATTTCGGC', 40), 1, CAST(e - s AS INT)), '' ORDER BY s) AS seq FROM cd GROUP BY ALL), q AS (SELECT transcript_id, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq FROM p),

@@ -215,7 +215,7 @@ def vcf_tobed(s, d):
 
 
 def vcf_tobedpe(s, d):
-    return V.to_bedpe(_unique(s, d)).select("chrom1", "start1", "end1", "chrom2", "start2", "end2", "sv_type")
+    return V.to_bedpe(variants(s, d)).select("chrom1", "start1", "end1", "chrom2", "start2", "end2", "sv_type")
 
 
 def vcf_consensus(s, d):
@@ -301,5 +301,5 @@ SELECT region_id, k AS "count", round(greatest(0.0, 1 - coalesce(list_sum(list_t
     "vcf_split": with_sql("vr", "WITH t AS (SELECT pos, (row_number() OVER (ORDER BY chrom, pos, var_id) - 1) // 1000 AS chunk FROM vr) SELECT chunk, count(*) AS n, min(pos) AS lo, max(pos) AS hi FROM t GROUP BY chunk"),
     "vcf_export_unique_event": with_sql("vr", "SELECT var_id, chrom, pos FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY qual IS NULL, qual DESC, var_id) AS n FROM vr WHERE filter IS NULL) WHERE n = 1 UNION ALL SELECT var_id, chrom, pos FROM vr WHERE filter IS NOT NULL"),
     "vcf_tobed": with_sql("vr", """SELECT chrom, greatest(0, pos - 1 - 5) AS "start", pos + 5 AS "end", CASE WHEN length(alt) > 1 THEN 'INS' ELSE 'SNV' END AS name FROM vr"""),
-    "vcf_tobedpe": with_sql("vr", "SELECT DISTINCT chrom AS chrom1, pos - 1 AS start1, pos AS end1, chrom AS chrom2, pos - 1 AS start2, pos AS end2, sv_type FROM (SELECT DISTINCT chrom, pos, ref, alt, CASE WHEN length(alt) > 1 THEN 'INS' ELSE 'SNV' END AS sv_type FROM vr)").replace("SELECT DISTINCT chrom AS chrom1", "SELECT chrom AS chrom1"),
+    "vcf_tobedpe": with_sql("vr", "SELECT chrom AS chrom1, pos - 1 AS start1, pos AS end1, chrom AS chrom2, pos - 1 AS start2, pos AS end2, CASE WHEN length(alt) > 1 THEN 'INS' ELSE 'SNV' END AS sv_type FROM (SELECT DISTINCT chrom, pos, ref, alt FROM vr)"),
 }

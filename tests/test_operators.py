@@ -254,3 +254,52 @@ def test_join_survives_hot_keys(spark):
     table = rows.groupBy("k").count().withColumn("x", F.col("k") * 2)
     got = graph.join_hot(rows, table, ["k"], "count", 30_000)
     assert sorted(got.columns) == ["k", "v", "x"] and got.where("x = 2 * k").count() == 30_000 == got.select("v").distinct().count()
+
+
+def test_adapter_ends_match_the_plain_rule():
+    rng = np.random.default_rng(4)
+    adapter = reads.ILLUMINA
+    texts = ["", "A", adapter, adapter[:4], "ACGT" + adapter[:7], "é" + adapter]
+    for n in rng.integers(1, 60, 300):
+        body = "".join(rng.choice(list("ACGT"), n))
+        texts.append(body + adapter[: rng.integers(0, 14)] + "".join(rng.choice(list("ACGT"), rng.integers(0, 20))))
+
+    def plain(t, overlap, identity):
+        for i in range(overlap, len(t) + 1):
+            n = min(i, len(adapter))
+            if sum(a == b for a, b in zip(t[len(t) - i :], adapter[:n])) >= int(np.ceil(n * identity)):
+                return i
+        return 0
+
+    for overlap, identity in ((4, 0.9), (1, 1.0), (6, 0.6), (15, 0.8)):
+        assert reads.adapter_ends(texts, adapter, overlap, identity).tolist() == [plain(t, overlap, identity) for t in texts]
+
+
+def test_pairs_of_a_common_name(spark):
+    rng = np.random.default_rng(5)
+    rows = lambda n, ids: [(int(ids + i), rng.choice(["chr1", "chr2"]).item(), int(s), int(s + w), rng.choice(["x", "y", "z"]).item(), 1.0, rng.choice(["+", "-", "*"]).item()) for i, (s, w) in enumerate(zip(rng.integers(0, 3000, n), rng.integers(1, 9, n)))]
+    a, b = rows(25, 0), rows(25, 100)
+    a += [(50, "chr3", 5, 9, "lone", 1.0, "+"), (51, "chr1", 5, 9, None, 1.0, "+"), (52, "chr3", 5, 9, "same", 1.0, "+"), (53, "chr4", 5, 9, "same", 1.0, "+")]
+    b += [(150, "chr3", 7, 9, "same", 1.0, "+"), (151, "chr1", 5, 9, None, 1.0, "-")]
+    best = {}
+    for x in a:
+        for y in b:
+            if x[4] is not None and x[4] == y[4]:
+                good = x[1] == y[1] and (x[6] != y[6] or "*" in x[6] + y[6])
+                gap = max(0, x[2] - y[3], y[2] - x[3]) if good else 0
+                best[x[4]] = min(best.get(x[4], (9,)), (0 if good else 1, gap, x[0], y[0], (*x[1:4], *y[1:4], x[6], y[6])))
+    schema = "id long, chrom string, start long, end long, name string, score double, strand string"
+    for block in (64, 1_000_000):
+        got = intervals.to_bedpe(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["id"], block=block).collect()
+        assert {r.name: (r.chrom1, r.start1, r.end1, r.chrom2, r.start2, r.end2, r.strand1, r.strand2) for r in got} == {k: v[4] for k, v in best.items()}
+
+
+def test_trinucleotides_across_chunks(spark):
+    seq = "".join(np.random.default_rng(6).choice(list("ACGTN"), 9000))
+    want = {}
+    for t in (seq[i : i + 3] for i in range(len(seq) - 2)):
+        if "N" not in t:
+            t = t if t[1] in "CT" else t.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+            want[t] = want.get(t, 0) + 1
+    df = spark.createDataFrame([("a", seq), ("b", "AC"), ("c", ""), ("d", None)], "name string, seq string")
+    assert {r["tri"]: r["count"] for r in references.trinucleotides(df).collect()} == want
