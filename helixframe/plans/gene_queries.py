@@ -171,6 +171,15 @@ def tabix_region(s, d):
     return T.query_region(rg(s, d), "2", 1000, 60000).select("region_id")
 
 
+def tabix_indexed(s, d):
+    from ..operators.graph import shared_path
+    from ..sources.indexes import read_regions, write_indexed
+
+    files = write_indexed(iv(s, d).select("chrom", "start", "end", "name", "l_orderkey", "l_linenumber"), shared_path(s, "indexed"))
+    c = F.split("value", "\t")
+    return read_regions(files, [("chr1", 1000, 90000), ("2", 5000, 5100), ("chr9", 0, 10)]).select("region", "chrom", "start", "end", c[3].alias("name"), c[4].cast("long").alias("l_orderkey"), c[5].cast("int").alias("l_linenumber"))
+
+
 def tabix_bins(s, d):
     return iv(s, d).groupBy(T.reg2bin(F.col("start"), F.col("end")).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
@@ -215,7 +224,7 @@ def _counts(s, d):
 
 
 def prop_test(s, d):
-    return _counts(s, d).select("p_partkey", S.proportion_pvalue(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("pvalue"))
+    return _counts(s, d).select("p_partkey", F.round(S.proportion_pvalue(F.col("a"), F.col("b"), F.col("c"), F.col("d")), 9).alias("pvalue"))
 
 
 def fisher_test(s, d):
@@ -240,7 +249,7 @@ def running_extremes(s, d):
 
 _PLAIN = (
     gtf_genes, gtf_transcripts, gtf_exons, gtf_exons_combined, gtf_introns, gtf_junctions, gtf_donors, gtf_tss, gtf_tlss, gtf_orf, gtf_utr5, gtf_utr3, gtf_geneinfo, gtf_find_junction,
-    gtf_classify, annotate_gtf, annotate_repeat, vcf_effect, vcf_peptide, gtf_tofasta, vcf_svtofasta, tdf_join, tdf_join_csv, tdf_infile, tab_bedgraph_weighted, tab_bedgraph_median, tabix_region, tabix_bins, sort_rows, tabix_concat, tabix_split, bh,
+    gtf_classify, annotate_gtf, annotate_repeat, vcf_effect, vcf_peptide, gtf_tofasta, vcf_svtofasta, tdf_join, tdf_join_csv, tdf_infile, tab_bedgraph_weighted, tab_bedgraph_median, tabix_region, tabix_indexed, tabix_bins, sort_rows, tabix_concat, tabix_split, bh,
     bonferroni, weighted_mean, weighted_median, prop_test, fisher_test, fisher_sb, running_extremes,
 )
 QUERIES = {f.__name__: f for f in _PLAIN} | {f"tab_annotate_{h}": _tab(h) for h in HOW}
@@ -312,10 +321,13 @@ SELECT transcript_id, md5(seq) AS md5, CAST(length(seq) AS INT) AS n, CAST(coale
     "tab_bedgraph_weighted": with_sql("iv rg", _BG + "SELECT region_id, round(sum(depth * n) / sum(n), 9) AS mean FROM o GROUP BY region_id"),
     "tab_bedgraph_median": with_sql("iv rg", _BG.rstrip() + ", " + _WM.format(key="region_id", v="depth", w="n", t="o")),
     "tabix_region": with_sql("rg", """SELECT region_id FROM rg WHERE chrom IN ('2', 'chr2') AND "start" < 60000 AND "end" > 1000"""),
+    "tabix_indexed": with_sql("iv", """WITH r AS (SELECT * FROM (VALUES (0, 'chr1', 1000, 90000), (1, 'chr2', 5000, 5100)) AS r(region, c, s, e)) SELECT CAST(region AS INT) AS region, chrom, "start", "end", name, l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber FROM r JOIN iv ON chrom = c AND "start" < e AND "end" > s"""),
     "tabix_bins": with_sql("iv", """SELECT CAST(CASE WHEN "start" >> 14 = ("end" - 1) >> 14 THEN 4681 + ("start" >> 14) WHEN "start" >> 17 = ("end" - 1) >> 17 THEN 585 + ("start" >> 17) WHEN "start" >> 20 = ("end" - 1) >> 20 THEN 73 + ("start" >> 20) ELSE 0 END AS BIGINT) AS bin, count(*) AS "count" FROM iv GROUP BY 1"""),
     "sort_rows": with_sql("rg", "SELECT region_id, chrom, score FROM rg"),
     "tabix_concat": with_sql("rg", "SELECT CASE WHEN score < 950 THEN 'part10' ELSE 'part2' END AS file, region_id FROM rg"),
     "tabix_split": with_sql("iv", 'SELECT chrom AS part, count(*) AS "count" FROM iv GROUP BY chrom'),
+    "prop_test": f"""WITH {_CT}, x AS (SELECT p_partkey, sqrt((a + b + c + d) * greatest(0.0, abs(a * d - b * c) - (a + b + c + d) / 2.0) ** 2 / nullif((a + c) * (b + d) * (a + b) * (c + d), 0) / 2.0) AS z FROM ct)
+SELECT p_partkey, CASE WHEN z IS NOT NULL THEN round(1 - 2 / sqrt(pi()) * least(z, 6.0) / 1200 * list_sum(list_transform(range(401), lambda i: CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(0 - power(least(z, 6.0) * i / 400, 2)))), 9) END AS pvalue FROM x""",
     "bh": "WITH p AS (SELECT o_orderkey, (o_orderkey * 7919) % 100003 / 100003.0 AS p FROM orders), r AS (SELECT *, count(*) OVER () AS n, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM p) SELECT o_orderkey, round(least(1.0, min(p * n / k) OVER (ORDER BY p DESC)), 9) AS adjusted FROM r",
     "bonferroni": "WITH p AS (SELECT o_orderkey, (o_orderkey * 7919) % 100003 / 100003.0 AS p FROM orders) SELECT o_orderkey, round(least(1.0, p * count(*) OVER ()), 9) AS adjusted FROM p",
     "weighted_mean": "SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS mean FROM lineitem GROUP BY 1",

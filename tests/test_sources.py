@@ -134,3 +134,63 @@ def test_stream(spark, tmp_path):
     q.stop()
     assert sorted(map(tuple, spark.sql("select * from w").collect())) == sorted(map(tuple, windows.windowed_counts(rows).collect()))
     assert windows.sessions(stream).isStreaming and windows.concurrency(stream).isStreaming and windows.binned_positions(stream, "user_id", 10).isStreaming
+
+
+def test_indexes(spark, tmp_path):
+    import io
+    import random
+
+    from helixframe.sources import indexes as X
+
+    rng = random.Random(3)
+    rows = sorted((f"chr{rng.randint(1, 3)}", s := rng.choice([rng.randrange(100), rng.randrange(90_000_000)]), s + rng.choice([1, 50, 40_000, 5_000_000]), "x" * rng.choice([0, 5, 200, 70_000 if k % 50 == 0 else 9]), k) for k in range(3000))
+    sink = io.BytesIO()
+    writer = X.Writer(sink, X.Index([]))
+    for r in rows:
+        writer.add("\t".join(map(str, r)))
+    index, path = writer.close(), write(tmp_path, "a.bed.gz", sink.getvalue())
+    assert gzip.decompress(sink.getvalue()).decode() == "".join("\t".join(map(str, r)) + "\n" for r in rows)
+    regions = [("chr1", 0, 60), ("2", 30_000_000, 31_000_000), ("chr3", 89_000_000, 99_000_000), ("chr3", 500_000_000, 500_000_100), ("chrX", 0, 10)]
+    for csi in (False, True):
+        again = X.parse_index(X.format_index(index, csi))
+        assert (again.names, again.bins, again.linear) == (index.names, index.bins, [] if csi else index.linear)
+        got = {}
+        for n, (c, a, b) in enumerate(regions):
+            lines = [x for u, v in again.chunks(c, a, b) for x in X.chunk_lines(path, u, v)]
+            got[n] = sorted(x for x in lines if index.row(x)[1] < b and index.row(x)[2] > a)
+        assert got == {n: sorted("\t".join(map(str, r)) for r in rows if c in (r[0], r[0][3:]) and r[1] < b and r[2] > a) for n, (c, a, b) in enumerate(regions)}
+        assert sum(v - u for u, v in again.chunks("chr1", 0, 60)) < sum(v - u for k in index.bins for x in k.values() for u, v in x)
+    write(tmp_path, "a.bed.gz.csi", X.format_index(index, True))
+    assert X.read_region(spark, path, "1", 0, 60).count() == len([r for r in rows if r[0] == "chr1" and r[1] < 60])
+    with pytest.raises(ValueError, match="sorted"):
+        writer = X.Writer(io.BytesIO(), X.Index([]))
+        writer.add("c\t5\t6")
+        writer.add("c\t4\t6")
+    with pytest.raises(ValueError, match="neither"):
+        X.parse_index(b"nothing")
+
+
+def test_indexed_variants(tmp_path):
+    import io
+
+    from helixframe.sources import indexes as X
+
+    sink = io.BytesIO()
+    writer = X.Writer(sink, X.Index([], preset=X.VCF_PRESET, end=0))
+    for line in ("1\t10\t.\tACGT\tA", "1\t12\t.\tA\tC", "1\t14\t.\tA\tC"):
+        writer.add(line)
+    index, path = writer.close(), write(tmp_path, "a.vcf.gz", sink.getvalue())
+    lines = [x for c in X.parse_index(X.format_index(index)).chunks("chr1", 12, 13) for x in X.chunk_lines(path, *c)]
+    assert [x for x in lines if index.row(x)[1] < 13 and index.row(x)[2] > 12] == ["1\t10\t.\tACGT\tA"]
+
+
+def test_indexed_table(spark, tmp_path):
+    from helixframe.sources import indexes as X
+
+    df = spark.createDataFrame([(f"chr{i % 2}", 7 * i, 7 * i + 20, None if i % 5 else "n") for i in range(500)], "chrom string, start long, end long, name string")
+    files = X.write_indexed(df, str(tmp_path / "t"), 3)
+    assert files.count() == 3 and files.agg({"rows": "sum"}).first()[0] == 500
+    (tmp_path / "t" / "stale.gz").write_bytes(b"not of the manifest")
+    got = X.read_regions(files, [("0", 100, 200), ("chr1", 100, 200), ("chr1", 150, 160)])
+    want = {n: df.where(f"chrom = '{c}' and start < {b} and end > {a}").count() for n, (c, a, b) in enumerate([("chr0", 100, 200), ("chr1", 100, 200), ("chr1", 150, 160)])}
+    assert {r.region: r["count"] for r in got.groupBy("region").count().collect()} == want
