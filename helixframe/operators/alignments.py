@@ -62,21 +62,26 @@ def sane_pair() -> Column:
 
 
 def blocks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each aligned block (M, =, X) of the CIGAR: ``columns``, chrom, start, end, read_start."""
+    """One row for each operation of the CIGAR: ``columns``, chrom, k (its letter), start, end, read_start, n,
+    and for what is behind an aligned base (with no gap of kind N between) prev (the letter ahead) and that base's place, base_pos and base_read."""
     ops = F.regexp_extract_all("cigar", F.lit(r"(\d+)[MIDNSHP=X]"), F.lit(1))
     kinds = F.regexp_extract_all("cigar", F.lit(r"\d+([MIDNSHP=X])"), F.lit(1))
     parts = F.zip_with(ops, kinds, lambda n, k: F.struct(n.cast("long").alias("n"), k.alias("k")))
-    zero = F.struct(F.lit(0).cast("long").alias("ref"), F.lit(0).cast("long").alias("read"), F.array().cast("array<struct<ref:bigint,read:bigint,n:bigint,k:string>>").alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("ref"), F.lit(0).cast("long").alias("read"), F.lit("").alias("last"), F.lit(-1).cast("long").alias("on"), F.lit(-1).cast("long").alias("at"), F.array().cast("array<struct<ref:bigint,read:bigint,n:bigint,k:string,prev:string,on:bigint,at:bigint>>").alias("out"))
+
+    def base(a: Column, p: Column, end: str, name: str) -> Column:
+        return F.when(p["k"].isin("M", "=", "X"), a[end] + p["n"] - 1).when(p["k"].isin("I", "D"), a[name]).otherwise(-1).cast("long").alias(name)
 
     def step(a: Column, p: Column) -> Column:
         on_ref, on_read = p["k"].isin("M", "D", "N", "=", "X"), p["k"].isin("M", "I", "S", "=", "X")
         return F.struct(
-            (a["ref"] + F.when(on_ref, p["n"]).otherwise(0)).alias("ref"), (a["read"] + F.when(on_read, p["n"]).otherwise(0)).alias("read"),
-            F.concat(a["out"], F.array(F.struct(a["ref"].alias("ref"), a["read"].alias("read"), p["n"].alias("n"), p["k"].alias("k")))).alias("out"),
+            (a["ref"] + F.when(on_ref, p["n"]).otherwise(0)).alias("ref"), (a["read"] + F.when(on_read, p["n"]).otherwise(0)).alias("read"), p["k"].alias("last"),
+            base(a, p, "ref", "on"), base(a, p, "read", "at"),
+            F.concat(a["out"], F.array(F.struct(a["ref"].alias("ref"), a["read"].alias("read"), p["n"].alias("n"), p["k"].alias("k"), a["last"].alias("prev"), a["on"].alias("on"), a["at"].alias("at")))).alias("out"),
         )
 
     every = F.aggregate(parts, zero, step)["out"]
-    return df.select(*columns, "chrom", "pos", F.explode(every).alias("b")).select(*columns, "chrom", "b.k", (F.col("pos") + F.col("b.ref")).alias("start"), (F.col("pos") + F.col("b.ref") + F.col("b.n")).alias("end"), F.col("b.read").alias("read_start"), "b.n")
+    return df.select(*columns, "chrom", "pos", F.explode(every).alias("b")).select(*columns, "chrom", "b.k", (F.col("pos") + F.col("b.ref")).alias("start"), (F.col("pos") + F.col("b.ref") + F.col("b.n")).alias("end"), F.col("b.read").alias("read_start"), "b.n", "b.prev", (F.col("pos") + F.col("b.on")).alias("base_pos"), F.col("b.at").alias("base_read"))
 
 
 def aligned(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -287,32 +292,153 @@ def consensus_base(least_share: float = 0.2, least_depth: int = 1) -> Column:
     return F.when(total >= least_depth, F.coalesce(F.try_element_at(F.create_map(*table), strong), F.lit("N"))).otherwise("N")
 
 
-def call_variants(bases: DataFrame, reference: DataFrame, chunk: int, error: float = 0.001, alpha: float = 0.05, least_depth: int = 8) -> DataFrame:
-    """Single-base variants of :func:`base_calls` against a chunked reference: chrom, pos, ref, alt, gt, depth, pvalue.  The alt is the
-    most frequent other base; it is called where background error is unlikely; heterozygous or homozygous is what fits better."""
-    from ..functions.stats import genotype_pvalue
+def allele_calls(df: DataFrame, least_quality: int = 0, drop: int = COVERAGE_FILTER) -> DataFrame:
+    """Alleles by position: chrom, pos, call, plus, minus, count.  A call is a base, ``+`` and the bases inserted behind the position, or
+    ``-`` and the number of bases deleted behind it; a base that an insertion or deletion follows counts as that alone.
+    The base's quality decides on both.  Insertions ahead of the first aligned base have no position and do not count."""
+    parts = blocks(df.where(lacks(drop)).withColumn("__minus", has(REVERSE)), ["seq", "qual", "__minus"])
+    base = lambda c, i: F.substring(F.col(c), (i + 1).cast("int"), F.lit(1))
+    i = F.col("read_start") + F.col("i")
+    match = parts.where(F.col("k").isin("M", "=", "X")).withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
+    match = match.select("chrom", (F.col("start") + F.col("i")).alias("pos"), base("seq", i).alias("call"), (F.ascii(base("qual", i)) - 33).alias("q"), "__minus", F.lit(1).alias("w"))
+    # an indel is filed under the base ahead of it, whose own call is taken back
+    ahead, on = F.col("base_read"), F.col("prev").isin("M", "=", "X")
+    what = F.when(F.col("k") == "I", F.concat(F.lit("+"), F.substring(F.col("seq"), (F.col("read_start") + 1).cast("int"), F.col("n").cast("int")))).otherwise(F.concat(F.lit("-"), F.col("n").cast("string")))
+    indel = parts.where(F.col("k").isin("I", "D") & (F.col("base_read") >= 0))
+    two = F.array(F.struct(what.alias("call"), F.lit(1).alias("w")), F.struct(base("seq", ahead).alias("call"), F.when(on, -1).otherwise(0).alias("w")))
+    indel = indel.select("chrom", F.col("base_pos").alias("pos"), F.explode(two).alias("x"), (F.ascii(base("qual", ahead)) - 33).alias("q"), "__minus")
+    every = match.unionByName(indel.select("chrom", "pos", "x.call", "q", "__minus", "x.w")).where(F.col("q") >= least_quality)
+    minus = F.sum(F.when(F.col("__minus"), F.col("w")).otherwise(0))
+    return every.groupBy("chrom", "pos", "call").agg((F.sum("w") - minus).alias("plus"), minus.alias("minus"), F.sum("w").alias("count")).where("count > 0")
+
 
-    @F.pandas_udf("double")
-    def background(a: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([genotype_pvalue("background", int(x), int(y), error) for x, y in zip(a, n)], dtype="float64")
+def _tally(calls: DataFrame, name: str) -> DataFrame:
+    """Alleles of a position in one array, the most frequent first, equal counts by call; as many as there are distinct ones."""
+    each = F.struct((-F.col("count")).alias("order"), "call", "count", "plus", "minus")
+    return calls.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(each)).alias(name))
 
-    @F.pandas_udf("string")
-    def genotype(a: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(["1/1" if genotype_pvalue("hom", int(x), int(y), error) > genotype_pvalue("het", int(x), int(y)) else "0/1" for x, y in zip(a, n)], dtype="object")
 
-    rows = bases.where(F.col("depth") >= least_depth).withColumn("chunk_start", F.floor(F.col("pos") / chunk) * chunk).join(reference, ["chrom", "chunk_start"])
-    ref = F.substring(F.col("seq"), (F.col("pos") - F.col("chunk_start") + 1).cast("int"), F.lit(1))
-    best = F.array_max(F.filter(F.array(*[F.struct(F.col(b).alias("n"), F.lit(b).alias("b")) for b in "ACGT"]), lambda x: x["b"] != F.col("ref")))
-    rows = rows.withColumn("ref", ref).withColumn("best", best).where("best.n > 0 and ref in ('A', 'C', 'G', 'T')")
-    rows = rows.select("chrom", "pos", "ref", F.col("best.b").alias("alt"), F.col("best.n").alias("alt_count"), "depth")
-    return rows.withColumn("pvalue", background("alt_count", "depth")).where(F.col("pvalue") < alpha).withColumn("gt", genotype("alt_count", "depth"))
+def _total(tally: Column) -> Column:
+    return F.aggregate(tally, F.lit(0).cast("long"), lambda a, x: a + x["count"])
 
 
-def count_alleles(bases: DataFrame, variants: DataFrame) -> DataFrame:
-    """Reference and alternative depth of single-base variants (chrom, pos 1-based, ref, alt); 0 where nothing covers them."""
-    of = lambda c: F.coalesce(*[F.when(F.col(c) == b, F.col(b)) for b in "ACGT"], F.lit(0))
-    rows = variants.join(bases.withColumn("pos", F.col("pos") + 1), ["chrom", "pos"], "left")
-    return rows.select(*variants.columns, of("ref").alias("ref_count"), of("alt").alias("alt_count"), F.coalesce("depth", F.lit(0)).alias("depth"))
+def _called(somatic: bool, error: float):
+    """What counts of a position are: ``hom`` or ``het``, ``present`` (somatic) or ``background``, whichever is likeliest."""
+    from ..functions.stats import genotype_pvalue
+
+    @F.pandas_udf("array<string>")
+    def run(counts: pd.Series, total: pd.Series) -> pd.Series:
+        seen: dict[tuple[int, int], str] = {}
+
+        def kind(a: int, n: int) -> str:
+            if (a, n) not in seen:
+                noise = genotype_pvalue("background", a, n, error)
+                if somatic:
+                    seen[a, n] = "present" if genotype_pvalue("present", a, n) > noise else "background"
+                else:
+                    hom, het = genotype_pvalue("hom", a, n, error), genotype_pvalue("het", a, n)
+                    seen[a, n] = "hom" if hom > max(het, noise) else "het" if het > max(hom, noise) else "background"
+            return seen[a, n]
+
+        return pd.Series([[kind(int(a), int(n)) for a in c] for c, n in zip(counts, total)], dtype="object")
+
+    return run.asNondeterministic()  # else projections are merged and the call ends up in a lambda, where Spark cannot run it
+
+
+def call_variants(
+    first: DataFrame, reference: DataFrame, chunk: int, second: DataFrame | None = None, tumor_only: bool = False, error: float = 0.02, least_depth: int = 1, least_alt: int = 0,
+    least_af: float = 0.0, least_normal_depth: int = 0, most_normal: int | None = None, most_normal_af: float | None = None, passing: bool = False,
+) -> DataFrame:
+    """Variants of :func:`allele_calls` against a chunked reference: chrom, pos (1-based), ref, alt (array), gt, filters (null: all passed),
+    dp and ad (all samples), and for each sample depth, ad, af and sac (plus and minus counts of ref and alts).
+
+    With ``second`` (a normal sample), alleles that it carries are not alts of ``first`` and calls are somatic: an allele present rather than
+    noise; likewise with ``tumor_only``.  Else calls are hom, het or noise.  ``ref`` covers the longest deletion and all alts are written against it.
+    Positions where the reference is not A, C, G or T, or without an alt, give no row."""
+    somatic = tumor_only or second is not None
+    rows = _tally(first, "t")
+    none = F.array().cast("array<struct<order:bigint,call:string,count:bigint,plus:bigint,minus:bigint>>")
+    rows = rows.join(_tally(second, "n"), ["chrom", "pos"], "left") if second is not None else rows.withColumn("n", none)
+    rows = rows.withColumn("n", F.coalesce("n", none))
+    gone = lambda c: F.coalesce(F.array_max(F.transform(F.filter(c, lambda x: x["call"].startswith("-")), lambda x: F.substring(x["call"], 2, 9).cast("long"))), F.lit(0))
+    # the reference from the position to the end of its longest deletion, put together from the chunks it touches
+    lo, hi = F.col("pos"), F.col("pos") + 1 + gone(F.col("t"))
+    parts = rows.withColumn("chunk_start", F.explode(F.sequence(F.floor(lo / chunk), F.floor((hi - 1) / chunk)))).withColumn("chunk_start", F.col("chunk_start") * chunk)
+    begin = F.greatest(lo - F.col("chunk_start"), F.lit(0))
+    text = F.substring(F.col("seq"), (begin + 1).cast("int"), (F.least(hi - F.col("chunk_start"), F.lit(chunk)) - begin).cast("int"))
+    parts = parts.join(reference, ["chrom", "chunk_start"]).groupBy("chrom", "pos").agg(
+        F.first("t").alias("t"), F.first("n").alias("n"), F.upper(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_start", text.alias("s")))), lambda x: x["s"]), "")).alias("window"))
+    counts = lambda c: F.transform(c, lambda x: x["count"])
+    rows = parts.withColumn("base", F.substring("window", 1, 1)).where("base in ('A', 'C', 'G', 'T')")
+    if second is not None:
+        kinds = _called(False, error)(counts(F.col("n")), _total(F.col("n")))
+        rows = rows.withColumn("kinds", kinds)
+        known = F.filter(F.transform("n", lambda x, i: F.when(F.get("kinds", i) != "background", x["call"])), lambda x: x.isNotNull())
+        rows = rows.withColumn("known", known)
+    else:
+        rows = rows.withColumn("known", F.array().cast("array<string>"))
+    other = lambda x: (x["call"] != F.col("base")) & ~F.exists("known", lambda y: y == x["call"])
+    rows = rows.withColumn("a", F.filter("t", other)).where(F.size("a") > 0)
+    at = lambda c, call: F.coalesce(F.get(F.filter(c, lambda x: x["call"] == call), F.lit(0)), F.struct(F.lit(0).cast("long").alias("order"), call.alias("call"), F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("plus"), F.lit(0).cast("long").alias("minus")))
+    part = lambda s: lambda call: at(F.col(s), call)
+    for s in ("t", "n"):
+        rows = rows.withColumn(f"{s}_each", F.transform(F.concat(F.array("base"), F.transform("a", lambda x: x["call"])), part(s)))
+    rows = rows.withColumn("depth", F.get("t_each", F.lit(0))["count"] + _total(F.col("a"))).withColumn("normal", _total(F.col("n_each")))
+    rows = rows.withColumn("kinds", _called(somatic, error)(counts(F.col("a")), F.col("depth")))
+    good = F.filter(F.transform("kinds", lambda k, i: F.when(k != "background", i + 1)), lambda i: i.isNotNull())
+    hom = F.array_position("kinds", "hom")
+    gt = F.when(hom > 0, F.concat_ws("/", hom.cast("string"), hom.cast("string"))).when(F.size("good") == 0, "0/0").when(F.size("good") == 1, F.concat(F.lit("0/"), F.col("good")[0].cast("string")))
+    gt = gt.when(F.size("good") == 2, F.array_join(F.transform("good", lambda i: i.cast("string")), "/")).otherwise("./.")
+    alt = F.get("a", F.lit(0))["count"]
+    second_alt = F.get("n_each", F.lit(1))["count"]
+    tests = {
+        "low_pred_call_tumor" if somatic else "low_pred_call_germline": F.size("good") == 0, "multi_alleles": F.size(F.filter("t_each", lambda x: x["count"] > 0)) > 3,
+        "multi_indel": F.size(F.filter("a", lambda x: x["call"].rlike("^[+-]"))) > 1, "min_depth": F.col("depth") < least_depth, "min_abs_count": alt < least_alt, "min_af": alt / F.col("depth") < least_af,
+    }
+    if second is not None and not tumor_only:
+        tests["min_normal_depth"] = F.col("normal") < least_normal_depth
+        tests["max_normal_abs_count"] = second_alt > most_normal if most_normal is not None else F.lit(False)
+        tests["max_normal_af"] = F.try_divide(second_alt, F.col("normal")) > most_normal_af if most_normal_af is not None else F.lit(False)
+    failed = F.filter(F.array(*[F.when(F.coalesce(v, F.lit(False)), k) for k, v in tests.items()]), lambda x: x.isNotNull())
+    rows = rows.withColumn("good", good).withColumn("filters", failed).withColumn("ref", F.substring(F.col("window"), F.lit(1), (1 + gone(F.col("a"))).cast("int")))
+    tail = F.substring(F.col("ref"), F.lit(2), F.length("ref"))
+
+    def written(x: Column) -> Column:
+        call, n = x["call"], F.substring(x["call"], 2, 9).try_cast("int")
+        cut = F.concat(F.col("base"), F.substring(F.col("ref"), n + 2, F.length("ref")))
+        return F.when(call.startswith("+"), F.concat(F.col("base"), F.substring(call, F.lit(2), F.length(call)), tail)).when(call.startswith("-"), cut).otherwise(F.concat(call, tail))
+
+    def sample(s: str) -> list[Column]:
+        every = _total(F.col(s))
+        share = F.transform(F.slice(f"{s}_each", 2, 1 << 30), lambda x: F.coalesce(F.try_divide(x["count"], every), F.lit(0.0)))
+        return [every.alias(f"{s}_depth"), counts(F.col(f"{s}_each")).alias(f"{s}_ad"), share.alias(f"{s}_af"), F.flatten(F.transform(f"{s}_each", lambda x: F.array(x["plus"], x["minus"]))).alias(f"{s}_sac")]
+
+    rows = rows.where(F.size("filters") == 0) if passing else rows
+    both = F.zip_with("t_each", "n_each", lambda x, y: x["count"] + y["count"])
+    filters = F.when(F.size("filters") > 0, F.col("filters")).alias("filters")
+    return rows.select("chrom", (F.col("pos") + 1).alias("pos"), "ref", F.transform("a", written).alias("alt"), gt.alias("gt"), filters, (F.col("depth") + F.col("normal")).alias("dp"), both.alias("ad"), *sample("t"), *(sample("n") if second is not None else []))
+
+
+def count_alleles(calls: DataFrame, variants: DataFrame) -> DataFrame:
+    """Reads of :func:`allele_calls` for variants (chrom, pos 1-based, ref, alt): ref_count, alt_count (0 where nothing covers them), depth and af
+    (alt among all alleles there, null without any).  Deletions count by length, insertions by their bases.  Where the variants carry
+    vcf_ref and vcf_alt, also vcf_af and pvalue: whether both samples have one share of alt (chi-squared with Yates's correction; 1 if
+    neither has ref, or neither alt; null if one has no reads)."""
+    from ..functions.stats import proportion_pvalue
+
+    ref, alt = F.col("ref"), F.col("alt")
+    added = F.when(alt.startswith(ref), F.substring(alt, F.length(ref) + 1, F.length(alt))).otherwise(alt)
+    first = F.when(F.length(ref) > 1, alt).otherwise(ref)
+    other = F.when(F.length(ref) > 1, F.concat(F.lit("-"), (F.length(ref) - 1).cast("string"))).when(F.length(alt) > 1, F.concat(F.lit("+"), added)).otherwise(alt)
+    at = calls.groupBy("chrom", (F.col("pos") + 1).alias("pos")).agg(F.map_from_entries(F.collect_list(F.struct("call", "count"))).alias("__c"), F.sum("count").alias("depth"))
+    of = lambda k: F.coalesce(F.try_element_at("__c", k), F.lit(0))
+    rows = variants.join(at, ["chrom", "pos"], "left").withColumns({"ref_count": of(first), "alt_count": of(other), "depth": F.coalesce("depth", F.lit(0)), "af": F.try_divide(of(other), F.col("depth"))}).drop("__c")
+    if "vcf_ref" not in variants.columns:
+        return rows
+    a, b, c, d = F.col("vcf_alt"), F.col("vcf_ref"), F.col("alt_count"), F.col("ref_count")
+    same = ((b == 0) & (d == 0)) | ((a == 0) & (c == 0))
+    pvalue = F.when(same, 1.0).when((a + b > 0) & (c + d > 0), proportion_pvalue(a, b, c, d))
+    return rows.withColumns({"vcf_af": F.try_divide(a, a + b), "pvalue": pvalue})
 
 
 def informative_reads(df: DataFrame, variants: DataFrame, key: list[str]) -> DataFrame:

@@ -536,22 +536,50 @@ def reference_match(df: DataFrame, reference: DataFrame, chunk: int) -> DataFram
     return rows.join(reference, ["chrom", "chunk_start"]).agg(F.count(F.lit(1)).alias("checked"), F.avg((base == F.upper("ref")).cast("int")).alias("fraction"))
 
 
-def consensus(calls: DataFrame, precise: int = 10, imprecise: int = 200, least: int = 2) -> DataFrame:
-    """Variants called alike by at least ``least`` inputs (column caller): same type and alt, ends within the buffer
-    (``precise``, or ``imprecise`` if INFO IMPRECISE is set).  Alike calls are linked by a range join and
-    grouped by connected components; a group's row is its first by caller and position."""
+def consensus(calls: DataFrame, precise: int = 10, imprecise: int = 200, least: int = 2, passing: bool = False, rescue: bool = False, event: str | None = None) -> DataFrame:
+    """Variants called alike by at least ``least`` inputs (column caller): same type, ends within the buffer (``precise``, or
+    ``imprecise`` if INFO IMPRECISE is set on either).  SNVs need the same alt, insertions only their position, an inversion matches breakends too;
+    other calls need the same connection.  Copy-number and unknown types are left out.  Distinct sites are linked by
+    range joins and grouped by connected components; a group's row is its first call by caller and position.
+
+    ``passing`` keeps groups whose calls all passed their filters, with ``rescue`` also those where any did (rescue: CG_PASS_RESCUE,
+    orig_filter: the filters it had).  With ``event`` (an INFO key), groups that hold a call of the same input and event as a kept group come
+    too (linked), whoever called them; of their calls, with ``rescue`` filters are lifted (CG_EVENT_RESCUE), else ``passing`` applies."""
     from .graph import components
 
-    rows = alt_positions(calls)
-    loose = F.map_contains_key("info", F.lit("IMPRECISE"))
-    keys = ["chrom", "pos", "alt_chrom", "alt_pos", "sv_type", "connection", "allele", "caller"]
-    rows = rows.select(*keys, "ref", F.coalesce(loose, F.lit(False)).alias("loose")).withColumn("call_id", F.xxhash64(*keys, "ref")).distinct()
-    a = rows.select("chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), *keys[1:], "loose", "call_id")
-    pairs = intervals.range_join(a, a, within=imprecise)
+    site = ["chrom", "pos", "ref", "allele", "sv_type", "alt_chrom", "alt_pos", "connection"]
+    rows = alt_positions(calls).where(~F.coalesce(F.col("sv_type").isin("CNV", "UNK"), F.lit(False)))
+    loose = F.coalesce(F.map_contains_key("info", F.lit("IMPRECISE")), F.lit(False))
+    named = F.nullif(F.try_element_at("info", F.lit(event)), F.lit("")) if event else F.lit(None).cast("string")
+    failed = F.array_join(F.array_sort("filters"), ",") if "filters" in calls.columns else F.lit(None).cast("string")
+    rows = rows.select(*site, "caller", loose.alias("loose"), named.alias("event"), F.nullif(failed, F.lit("")).alias("failed")).withColumn("site", F.xxhash64(*site))
+    sites = rows.groupBy("site", *site).agg(F.max("loose").alias("loose"))
+    a = sites.select("chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), *[c for c in site if c != "chrom"], "loose", "site")
     near = F.when(F.col("loose") | F.col("r_loose"), imprecise).otherwise(precise)
-    alike = (F.abs(F.col("pos") - F.col("r_pos")) <= near) & (F.col("sv_type") == F.col("r_sv_type")) & (F.col("alt_chrom") == F.col("r_alt_chrom"))
-    alike &= F.when(F.col("sv_type") == "SNV", F.col("allele") == F.col("r_allele")).otherwise((F.abs(F.col("alt_pos") - F.col("r_alt_pos")) <= near) & (F.col("connection") == F.col("r_connection")))
-    roots = components(pairs.where(alike & (F.col("call_id") < F.col("r_call_id"))).select(F.col("call_id").alias("a"), F.col("r_call_id").alias("b")))
-    grouped = rows.join(roots.withColumnRenamed("node", "call_id"), "call_id", "left").withColumn("cluster", F.coalesce("root", "call_id"))
-    first = F.min_by(F.struct("chrom", "pos", "ref", "allele", "sv_type", "alt_chrom", "alt_pos"), F.struct("caller", "chrom", "pos", "allele")).alias("v")
-    return grouped.groupBy("cluster").agg(first, F.countDistinct("caller").alias("callers")).where(F.col("callers") >= least).select("v.*", "callers")
+    right = (F.col("alt_chrom") == F.col("r_alt_chrom")) & (F.abs(F.col("alt_pos") - F.col("r_alt_pos")) <= near)
+    same, conn = F.col("sv_type") == F.col("r_sv_type"), F.col("connection") == F.col("r_connection")
+    kinds = F.sort_array(F.array("sv_type", "r_sv_type")) == F.array(F.lit("BND"), F.lit("INV"))
+    alike = F.when(F.col("sv_type") == "SNV", same & (F.col("allele") == F.col("r_allele"))).when(F.col("sv_type") == "INS", same & conn & (F.col("alt_chrom") == F.col("r_alt_chrom")))
+    alike = alike.when(F.col("sv_type") == "INV", (same | kinds) & right).otherwise((same & conn | kinds) & right)
+    linked = lambda x, y, within: intervals.range_join(x, y, within=within).where((F.abs(F.col("pos") - F.col("r_pos")) <= near) & alike & (F.col("site") != F.col("r_site"))).select(F.least("site", "r_site").alias("a"), F.greatest("site", "r_site").alias("b"))
+    # the wide buffer only where one side is imprecise
+    links = linked(a, a, precise).union(linked(a.where("loose"), a, imprecise)).distinct()
+    roots = components(links).withColumnsRenamed({"node": "site", "root": "cluster"})
+    rows = rows.join(roots.select("site", "cluster"), "site", "left").withColumn("cluster", F.coalesce("cluster", "site"))
+    first = F.min_by(F.struct("chrom", "pos", "ref", "allele", "sv_type", "alt_chrom", "alt_pos"), F.struct("caller", "chrom", "pos", "allele", "ref", "alt_chrom", "alt_pos")).alias("v")
+    groups = rows.groupBy("cluster").agg(first, F.countDistinct("caller").alias("callers"), F.bool_and(F.col("failed").isNull()).alias("all_pass"), F.bool_or(F.col("failed").isNull()).alias("any_pass"), F.array_join(F.array_sort(F.collect_set("failed")), ",").alias("orig_filter"))
+    fine = F.col("any_pass") if rescue else F.col("all_pass")
+    kept = (F.col("callers") >= least) & (fine if passing else F.lit(True))
+    groups = groups.withColumn("kept", kept)
+    if event:
+        ties = rows.where("event is not null").select("caller", "event", "cluster").distinct()
+        begun = ties.join(groups.where("kept").select("cluster", (F.col("any_pass") if passing and rescue else F.col("all_pass")).alias("passed")), "cluster")
+        reached = ties.join(begun.groupBy("caller", "event").agg(F.bool_or("passed").alias("lifted")), ["caller", "event"]).groupBy("cluster").agg(F.bool_or("lifted").alias("lifted"))
+        groups = groups.join(reached, "cluster", "left")
+    else:
+        groups = groups.withColumn("lifted", F.lit(None).cast("boolean"))
+    lifted = F.lit(rescue) & F.coalesce("lifted", F.lit(False))
+    linked_in = ~F.col("kept") & F.col("lifted").isNotNull() & (F.col("all_pass") | lifted if passing else F.lit(True))
+    mark = F.when(F.col("kept") & ~F.col("all_pass") & F.lit(passing and rescue), "CG_PASS_RESCUE").when(~F.col("all_pass") & lifted, "CG_EVENT_RESCUE")
+    out = groups.withColumn("linked", linked_in).where("kept or linked").withColumn("rescue", mark)
+    return out.select("v.*", "callers", "linked", "rescue", F.when(F.col("rescue").isNotNull(), F.col("orig_filter")).alias("orig_filter"))

@@ -140,9 +140,25 @@ def bam_consensus(s, d):
     return A.base_calls(al(s, d)).select("chrom", "pos", A.consensus_base(0.3, 4).alias("base"))
 
 
+def _reference(calls):
+    """A base for each position, in chunks of one."""
+    return calls.select("chrom", F.col("pos").alias("chunk_start")).distinct().withColumn("seq", F.substring(F.translate(F.md5(F.concat_ws(":", "chrom", F.col("chunk_start").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 1))
+
+
+def allele_calls(s, d):
+    return A.allele_calls(al(s, d), 10)
+
+
 def bam_varcall(s, d):
-    ref = A.base_calls(al(s, d)).select("chrom", F.col("pos").alias("chunk_start"), F.lit("A").alias("seq"))
-    return A.call_variants(A.base_calls(al(s, d)), ref, 1)
+    reference = _reference(A.base_calls(al(s, d)))
+    return A.call_variants(A.allele_calls(al(s, d)), reference, 1, least_depth=8, least_alt=2).select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), "gt", F.array_join("filters", ",").alias("filters"), "dp")
+
+
+def bam_varcall_normal(s, d):
+    rows = al(s, d)
+    first, second = (A.allele_calls(rows.where(f"event_id % 2 = {k}")) for k in (0, 1))
+    called = A.call_variants(first, _reference(A.base_calls(rows)), 1, second, least_depth=4, most_normal=1)
+    return called.select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), "gt", F.array_join("filters", ",").alias("filters"), "dp", "t_depth", "n_depth")
 
 
 def bam_removeclipping(s, d):
@@ -215,8 +231,9 @@ def bam_pileup(s, d):
 
 
 def vcf_count(s, d):
-    sites = frame(s, d, "vr").select("var_id", "chrom", (F.col("pos") % 20000 + 1).alias("pos"), "ref", "alt")
-    return A.count_alleles(A.base_calls(al(s, d)), sites)
+    sites = frame(s, d, "vr").select("var_id", "chrom", (F.col("pos") % 20000 + 1).alias("pos"), "ref", "alt", (F.col("sac0") + F.col("sac1")).alias("vcf_ref"), (F.col("sac2") + F.col("sac3")).alias("vcf_alt"))
+    rows = A.count_alleles(A.allele_calls(al(s, d)), sites)
+    return rows.select("var_id", "chrom", "pos", "ref", "alt", "ref_count", "alt_count", "depth", F.round("af", 9).alias("af"), F.round("vcf_af", 9).alias("vcf_af"), F.round("pvalue", 8).alias("pvalue"))
 
 
 def bam_pir(s, d):
@@ -231,7 +248,7 @@ def bam_phase(s, d):
 
 QUERIES = {f.__name__: f for f in (
     flag_filter, unique_mapping, pair_keep, pair_remove, sane_pairs, tag_min, tag_max, tag_eq, unique_start, bam_region_include, bam_region_exclude, bam_region_within, bam_junctions, dups,
-    best, discord, ref_count, span_count, span_count_stranded, span_count_details, bam_bedgraph, coverage_quantiles, expressed_regions, softclip, wps, base_call, bam_consensus, bam_varcall, bam_removeclipping,
+    best, discord, ref_count, span_count, span_count_stranded, span_count_details, bam_bedgraph, coverage_quantiles, expressed_regions, softclip, wps, base_call, bam_consensus, allele_calls, bam_varcall, bam_varcall_normal, bam_removeclipping,
     bam_readgroup, bam_concat, bam_clean, bam_check, bam_split, bam_stats, bam_stats_reads, bam_stats_flags, bam_stats_tags, bam_stats_unique, bam_on_target, bam_tobed, bam_tobedpe, bam_extract, bam_sample, bam_pileup, vcf_count, bam_pir, bam_phase,
 )}
 
@@ -257,6 +274,9 @@ c AS (SELECT chrom, pos, call, m FROM b WHERE q >= {q} UNION ALL SELECT chrom, p
 g AS (SELECT chrom, pos, count(*) FILTER (call = 'A') AS "A", count(*) FILTER (call = 'C') AS "C", count(*) FILTER (call = 'G') AS "G", count(*) FILTER (call = 'T') AS "T", count(*) FILTER (call = 'N') AS "N",
  count(*) FILTER (call = 'ins') AS ins, count(*) FILTER (call = 'del') AS del, count(*) FILTER (length(call) = 1 AND m = 0) AS plus, count(*) FILTER (length(call) = 1 AND m <> 0) AS minus, count(*) FILTER (length(call) = 1) AS depth FROM c GROUP BY chrom, pos)
 """
+# Calls by position: an indel takes the place of the base ahead of it (the twentieth, where there is one).
+_ALLELES = """WITH b AS (SELECT event_id, chrom, s + i AS pos, rs + i AS ra, substr(seq, CAST(rs + i + 1 AS INT), 1) AS call, ascii(substr(qual, CAST(rs + i + 1 AS INT), 1)) - 33 AS q, flag & 16 AS m, seq FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM bl WHERE flag & 1796 = 0)),
+c AS (SELECT chrom, pos, CASE WHEN event_id % 6 = 2 AND ra = 19 THEN '+' || substr(seq, 21, 5) WHEN event_id % 6 = 3 AND ra = 19 THEN '-10' ELSE call END AS call, m FROM b WHERE q >= {q})"""
 _IUPAC = "CASE x WHEN 'A' THEN 'A' WHEN 'C' THEN 'C' WHEN 'G' THEN 'G' WHEN 'T' THEN 'T' WHEN 'AG' THEN 'R' WHEN 'CT' THEN 'Y' WHEN 'CG' THEN 'S' WHEN 'AT' THEN 'W' WHEN 'GT' THEN 'K' WHEN 'AC' THEN 'M' WHEN 'CGT' THEN 'B' WHEN 'AGT' THEN 'D' WHEN 'ACT' THEN 'H' WHEN 'ACG' THEN 'V' ELSE 'N' END"
 _SITES = "sites AS (SELECT var_id, chrom, pos % 20000 + 1 AS pos, ref, alt FROM vr)"
 ORACLE_SQL = {
@@ -317,8 +337,14 @@ FROM am a JOIN am b ON a.name = b.name AND a.flag & 64 <> 0 AND b.flag & 128 <>
     "bam_extract": sql(f"SELECT event_id FROM am a WHERE name IN (SELECT name FROM am WHERE {_HIT.format(score=995)})", f"{_BL}, {_RGM}", "al rg"),
     "bam_pileup": sql("""WITH b AS (SELECT name, flag, chrom, s + i AS pos, substr(seq, CAST(rs + i + 1 AS INT), 1) AS c FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM bl WHERE flag & 1796 = 0)), l AS (SELECT chrom, pos, name, CASE WHEN flag & 16 <> 0 THEN lower(c) ELSE c END AS c FROM b)
 SELECT chrom, pos, count(*) AS depth, string_agg(c, '' ORDER BY name, c) AS bases FROM l GROUP BY chrom, pos""", _BL),
-    "vcf_count": sql(_CALLS.format(q=0) + """SELECT s.*, coalesce(CASE s.ref WHEN 'A' THEN "A" WHEN 'C' THEN "C" WHEN 'G' THEN "G" WHEN 'T' THEN "T" END, 0) AS ref_count, coalesce(CASE s.alt WHEN 'A' THEN "A" WHEN 'C' THEN "C" WHEN 'G' THEN "G" WHEN 'T' THEN "T" END, 0) AS alt_count, coalesce(depth, 0) AS depth
-FROM sites s LEFT JOIN g ON g.chrom = s.chrom AND g.pos + 1 = s.pos""", f"{_BL}, {_SITES}", "al vr"),
+    "allele_calls": sql(_ALLELES.format(q=10) + 'SELECT chrom, pos, call, CAST(count(*) FILTER (m = 0) AS BIGINT) AS plus, CAST(count(*) FILTER (m <> 0) AS BIGINT) AS minus, count(*) AS "count" FROM c GROUP BY ALL', _BL),
+    "vcf_count": sql(_ALLELES.format(q=0) + """, k AS (SELECT chrom, pos + 1 AS pos, call, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT chrom, pos, sum(n) AS depth FROM k GROUP BY ALL),
+j AS (SELECT s.*, coalesce((SELECT n FROM k WHERE k.chrom = s.chrom AND k.pos = s.pos AND k.call = s.ref), 0) AS ref_count, coalesce((SELECT n FROM k WHERE k.chrom = s.chrom AND k.pos = s.pos AND k.call = CASE WHEN length(s.alt) = 1 THEN s.alt WHEN starts_with(s.alt, s.ref) THEN '+' || substr(s.alt, 2) ELSE '+' || s.alt END), 0) AS alt_count, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth,
+ sac0 + sac1 AS b, sac2 + sac3 AS a FROM sites s LEFT JOIN t ON t.chrom = s.chrom AND t.pos = s.pos),
+x AS (SELECT *, a + b + alt_count + ref_count AS n, sqrt(n * greatest(0.0, abs(a * ref_count - b * alt_count) - n / 2.0) ** 2 / nullif((a + alt_count) * (b + ref_count) * (a + b) * (alt_count + ref_count), 0) / 2.0) AS z FROM j)
+SELECT var_id, chrom, pos, ref, alt, ref_count, alt_count, depth, CASE WHEN depth > 0 THEN round(alt_count / depth, 9) END AS af, CASE WHEN a + b > 0 THEN round(a / (a + b), 9) END AS vcf_af,
+ CASE WHEN (b = 0 AND ref_count = 0) OR (a = 0 AND alt_count = 0) THEN 1.0 WHEN a + b > 0 AND alt_count + ref_count > 0 THEN round(1 - 2 / sqrt(pi()) * least(z, 6.0) / 1200 * list_sum(list_transform(range(401), lambda i: CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(0 - power(least(z, 6.0) * i / 400, 2)))), 8) END AS pvalue FROM x""",
+ f"{_BL}, {_SITES.replace('ref, alt', 'ref, alt, sac0, sac1, sac2, sac3')}", "al vr"),
     "bam_pir": sql("""WITH h AS (SELECT v.var_id, bl.name, substr(bl.seq, CAST(bl.rs + v.pos - 1 - bl.s + 1 AS INT), 1) AS c, v.ref, v.alt FROM sites v JOIN bl ON bl.chrom = v.chrom AND bl.s <= v.pos - 1 AND v.pos - 1 < bl.e)
 SELECT var_id, CASE c WHEN ref THEN 'ref' WHEN alt THEN 'alt' ELSE 'other' END AS allele, count(DISTINCT name) AS "count" FROM h GROUP BY ALL""", f"{_BL}, {_SITES}", "al vr"),
 }

@@ -223,6 +223,11 @@ def vcf_consensus(s, d):
     return V.consensus(rows)
 
 
+def vcf_consensus_passing(s, d):
+    rows = variants(s, d).withColumn("caller", F.concat(F.lit("c"), (F.col("var_id") % 3).cast("string")))
+    return V.consensus(rows, precise=0, passing=True, rescue=True, event="ST")
+
+
 def poisson_tmb(s, d):
     return V.tmb(V.bed_count(variants(s, d), frame(s, d, "rg"), ["region_id"])).select("region_id", "count", F.round("pvalue", 7).alias("pvalue"))
 
@@ -250,7 +255,7 @@ _SUM = "(sac0 + sac1 + sac2 + sac3)"
 _QUERIES = (
     vcf_filter_passing, vcf_filter_stats, vcf_vardist, vcf_tstv, vcf_tstv_ratio, vcf_indel, vcf_dosage, vcf_vaf, vcf_minor_strand, vcf_auto_id, vcf_copy_ratio, vcf_bed_annotate,
     vcf_bed_flag, vcf_vcf_annotate, vcf_in_file, vcf_tag, vcf_stats, vcf_info_tally, vcf_tocount, vcf_bedcount, vcf_sample_export, vcf_export, vcf_chrfix, vcf_clearfilter, vcf_strip,
-    vcf_remove_flags, vcf_reorder, vcf_merge, vcf_concat, vcf_split, vcf_export_unique_event, vcf_tobed, vcf_tobedpe, vcf_consensus, poisson_tmb, vcf_rename, vcf_refbuild, vcf_flanking,
+    vcf_remove_flags, vcf_reorder, vcf_merge, vcf_concat, vcf_split, vcf_export_unique_event, vcf_tobed, vcf_tobedpe, vcf_consensus, vcf_consensus_passing, poisson_tmb, vcf_rename, vcf_refbuild, vcf_flanking,
 )
 QUERIES = {f"vcf_filter_{k}": filter_query(k) for k in PREDICATES} | {f.__name__: f for f in _QUERIES}
 
@@ -261,8 +266,17 @@ _ADS = "CAST(sac0 + sac1 AS VARCHAR) || ',' || CAST(sac2 + sac3 AS VARCHAR)"
 _TS = "CASE WHEN length(alt) = 1 AND ref <> alt THEN CASE WHEN ref || alt IN ('AG', 'GA', 'CT', 'TC') THEN 'TS' ELSE 'TV' END END"
 _BASE = "substr(translate(md5(v.chrom || ':' || ({0})), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 1)"
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+# Alike calls: runs of positions by contig and type (and alt, for SNVs).
+_CONSENSUS = """WITH b AS (SELECT *, 'c' || (var_id % 3) AS caller, CASE WHEN length(alt) > 1 THEN 'INS' ELSE 'SNV' END AS t, CASE WHEN length(alt) > 1 THEN '' ELSE alt END AS a FROM vr),
+n AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= {gap} THEN 0 ELSE 1 END AS f FROM b WINDOW w AS (PARTITION BY chrom, t, a ORDER BY pos, var_id)),
+c AS (SELECT *, sum(f) OVER (PARTITION BY chrom, t, a ORDER BY pos, var_id ROWS UNBOUNDED PRECEDING) AS i FROM n),
+g AS (SELECT chrom, t, a, i, arg_min({{'chrom': chrom, 'pos': pos, 'ref': ref, 'alt': alt, 't': t}}, (caller, chrom, pos, alt, ref)) AS v, count(DISTINCT caller) AS callers, bool_and(filter IS NULL) AS all_pass, bool_or(filter IS NULL) AS any_pass, string_agg(DISTINCT filter, ',' ORDER BY filter) AS was FROM c GROUP BY chrom, t, a, i)"""
 ORACLE_SQL = {f"vcf_filter_{k}": filter_sql(k) for k in PREDICATES} | {
     "vcf_rename": with_sql("vr", "SELECT 'tumor' AS sample, gt_a AS gt, count(*) AS n FROM vr GROUP BY gt_a UNION ALL SELECT 'normal', gt_b, count(*) FROM vr GROUP BY gt_b"),
+    "vcf_consensus": with_sql("vr", _CONSENSUS.format(gap=10) + " SELECT v.chrom AS chrom, v.pos AS pos, v.ref AS ref, v.alt AS allele, v.t AS sv_type, v.chrom AS alt_chrom, v.pos AS alt_pos, callers, false AS linked, CAST(NULL AS VARCHAR) AS rescue, CAST(NULL AS VARCHAR) AS orig_filter FROM g WHERE callers >= 2"),
+    "vcf_consensus_passing": with_sql("vr", _CONSENSUS.format(gap=0) + """, k AS (SELECT *, callers >= 2 AND any_pass AS kept FROM g), e AS (SELECT DISTINCT c.caller, c.status FROM c JOIN k USING (chrom, t, a, i) WHERE kept),
+r AS (SELECT DISTINCT chrom, t, a, i FROM c JOIN e USING (caller, status)), o AS (SELECT k.*, r.i IS NOT NULL AS hit FROM k LEFT JOIN r USING (chrom, t, a, i)), u AS (SELECT *, NOT kept AND hit AS linked FROM o WHERE kept OR hit)
+SELECT v.chrom AS chrom, v.pos AS pos, v.ref AS ref, v.alt AS allele, v.t AS sv_type, v.chrom AS alt_chrom, v.pos AS alt_pos, callers, linked, CASE WHEN all_pass THEN NULL WHEN kept THEN 'CG_PASS_RESCUE' ELSE 'CG_EVENT_RESCUE' END AS rescue, CASE WHEN NOT all_pass THEN was END AS orig_filter FROM u"""),
     "vcf_refbuild": with_sql("vr", f"SELECT count(*) AS checked, avg(CASE WHEN ref = {_BASE.format('pos - 1')} THEN 1 ELSE 0 END) AS fraction FROM vr v WHERE length(alt) = 1"),
     "vcf_flanking": with_sql("vr", f"""WITH f AS (SELECT var_id, ref, alt, {_BASE.format('pos - 2')} || {_BASE.format('pos - 1')} || {_BASE.format('pos')} AS x FROM vr v WHERE length(alt) = 1), g AS (SELECT var_id, CASE WHEN ref IN ('A', 'G') THEN {_RC.format('x')} ELSE x END AS x, CASE WHEN ref IN ('A', 'G') THEN {_RC.format('ref')} ELSE ref END AS r, CASE WHEN ref IN ('A', 'G') THEN {_RC.format('alt')} ELSE alt END AS a FROM f)
 SELECT vr.var_id, g.x AS flank, left(g.x, 1) || '[' || r || '>' || a || ']' || right(g.x, 1) AS sub FROM vr LEFT JOIN g USING (var_id)"""),

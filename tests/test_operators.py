@@ -303,3 +303,110 @@ def test_trinucleotides_across_chunks(spark):
             want[t] = want.get(t, 0) + 1
     df = spark.createDataFrame([("a", seq), ("b", "AC"), ("c", ""), ("d", None)], "name string, seq string")
     assert {r["tri"]: r["count"] for r in references.trinucleotides(df).collect()} == want
+
+
+def _reads(spark, rows):
+    """Alignments of (name, flag, pos, cigar, seq) on one contig, all bases of quality 40 but those in lower case (5)."""
+    full = [(n, f, "c", p, 60, c, s.upper(), "".join("&" if x.islower() else "I" for x in s)) for n, f, p, c, s in rows]
+    return spark.createDataFrame(full, "name string, flag int, chrom string, pos long, mapq int, cigar string, seq string, qual string")
+
+
+def test_allele_calls(spark):
+    from helixframe.operators import alignments as A
+
+    df = _reads(spark, [("a", 0, 0, "3M2I2M", "ACGTTAC"), ("b", 16, 0, "3M3D2M", "ACGGG"), ("c", 0, 0, "2S3M", "TTACG"), ("d", 0, 2, "2I2M", "GGTA"), ("e", 0, 0, "3M1I1D1M", "ACgTT"), ("f", 0, 0, "3M1I1D1M", "ACGTT"), ("g", 1024, 0, "3M", "TTT")])
+    got = {(r.pos, r.call): (r.plus, r.minus) for r in A.allele_calls(df, 10).collect()}
+    # e's base ahead of its indels is weak, so these do not count; f has both behind one base
+    assert {k: v for k, v in got.items() if k[0] == 2} == {(2, "+TT"): (1, 0), (2, "-3"): (0, 1), (2, "G"): (1, 0), (2, "+T"): (1, 0), (2, "-1"): (1, 0), (2, "T"): (1, 0)}
+    assert got[0, "A"] == (4, 1) and got[3, "A"] == (2, 0)
+
+
+def _plain_calls(first, second, reference, error, least_depth, most_normal):
+    """Calls of one position at a time: tallies are dicts of call to (plus, minus)."""
+    from helixframe.functions.stats import genotype_pvalue as pv
+
+    def kind(a, n, somatic):
+        noise = pv("background", a, n, error)
+        if somatic:
+            return "present" if pv("present", a, n) > noise else ""
+        hom, het = pv("hom", a, n, error), pv("het", a, n)
+        return "hom" if hom > het and hom > noise else "het" if het > hom and het > noise else ""
+
+    out = {}
+    for pos, tally in first.items():
+        base, normal = reference[pos], second.get(pos, {}) if second is not None else {}
+        n = {c: sum(v) for c, v in tally.items()}
+        m = {c: sum(v) for c, v in normal.items()}
+        known = {c for c in m if kind(m[c], sum(m.values()), False)}
+        alts = sorted((c for c in n if c != base and c not in known), key=lambda c: (-n[c], c))
+        if base not in "ACGT" or not alts:
+            continue
+        depth, other = n.get(base, 0) + sum(n[c] for c in alts), m.get(base, 0) + sum(m.get(c, 0) for c in alts)
+        kinds = [kind(n[c], depth, second is not None) for c in alts]
+        good = [str(i + 1) for i, k in enumerate(kinds) if k]
+        gt = f"{kinds.index('hom') + 1}/{kinds.index('hom') + 1}" if "hom" in kinds else "0/0" if not good else f"0/{good[0]}" if len(good) == 1 else "/".join(good) if len(good) == 2 else "./."
+        filters = [] if good else ["low_pred_call_tumor" if second is not None else "low_pred_call_germline"]
+        filters += ["multi_alleles"] if len(alts) + (base in n) > 3 else []
+        filters += ["multi_indel"] if sum(c[0] in "+-" for c in alts) > 1 else []
+        filters += ["min_depth"] if depth < least_depth else []
+        filters += ["max_normal_abs_count"] if second is not None and m.get(alts[0], 0) > most_normal else []
+        gone = max([int(c[1:]) for c in alts if c[0] == "-"], default=0)
+        ref = reference[pos : pos + 1 + gone]
+        text = [base + c[1:] + ref[1:] if c[0] == "+" else base + ref[1 + int(c[1:]) :] if c[0] == "-" else c + ref[1:] for c in alts]
+        out[pos + 1] = (ref, text, gt, filters or None, depth + other, [n.get(c, 0) + m.get(c, 0) for c in [base, *alts]], [x for c in [base, *alts] for x in tally.get(c, (0, 0))])
+    return out
+
+
+def test_variant_calls(spark):
+    import random
+
+    from helixframe.operators import alignments as A
+
+    rng = random.Random(5)
+    reference = "".join(rng.choice("ACGT") for _ in range(60))
+    reference = reference[:7] + "N" + reference[8:]
+
+    def tallies(rate):
+        out = {}
+        for pos in range(50):
+            weights = {reference[pos]: 30, rng.choice("ACGT"): rng.choice([0, 1, 15, 40]), "+" + "T" * rng.randint(1, 3): rng.choice([0, 0, 0, 9]), f"-{rng.randint(1, 6)}": rng.choice([0, 0, 0, 9, 1])}
+            weights[f"-{rng.randint(1, 6)}"] = rng.choice([0, 0, 3])
+            out[pos] = {c: (rng.randint(0, w), rng.randint(1, w)) for c, w in weights.items() if w and c != "N" and rng.random() < rate}
+        return {p: t for p, t in out.items() if t}
+
+    def frame(t):
+        return spark.createDataFrame([("c", p, c, a, b, a + b) for p, x in t.items() for c, (a, b) in x.items()], "chrom string, pos long, call string, plus long, minus long, count long")
+
+    first, second = tallies(0.9), tallies(0.5)
+    for chunk in (1, 7, 100):
+        chunks = spark.createDataFrame([("c", i, reference[i : i + chunk]) for i in range(0, 60, chunk)], "chrom string, chunk_start long, seq string")
+        for normal in (None, second):
+            got = A.call_variants(frame(first), chunks, chunk, None if normal is None else frame(normal), least_depth=20, most_normal=2)
+            want = _plain_calls(first, normal, reference, 0.02, 20, 2)
+            assert len(want) > 20 and {r.pos: (r.ref, r.alt, r.gt, r.filters, r.dp, r.ad, r.t_sac) for r in got.collect()} == want
+    passed = A.call_variants(frame(first), chunks, 100, tumor_only=True, passing=True).collect()
+    assert passed and all(r.filters is None and r.gt != "0/0" for r in passed)
+
+
+def test_consensus_of_structural_variants(spark):
+    def calls(rows):
+        full = [(c, p, "N", [a], ["q"] if f else None, dict(x.split("=") if "=" in x else (x, "") for x in i.split(";") if x), k) for k, c, p, a, i, f in rows]
+        return spark.createDataFrame(full, "chrom string, pos long, ref string, alt array<string>, filters array<string>, info map<string,string>, caller string")
+
+    rows = [
+        ("a", "1", 1000, "<DEL>", "END=2000;EVENT=x", 0), ("b", "1", 1008, "<DEL>", "END=1995", 1),  # alike
+        ("a", "1", 5000, "<DEL>", "END=6000", 0), ("b", "1", 5100, "<DEL>", "END=6100", 0),  # too far
+        ("a", "1", 8000, "<DEL>", "END=9000;IMPRECISE", 0), ("b", "1", 8150, "<DEL>", "END=9100", 0),  # near enough for an imprecise one
+        ("a", "2", 100, "<INV>", "END=900", 0), ("b", "2", 104, "N]2:903]", "", 0),  # inversion and breakend
+        ("a", "3", 100, "<INS>", "END=100", 0), ("b", "3", 103, "<INS>", "END=400", 0),  # an insertion's end does not matter
+        ("a", "4", 100, "<CNV>", "END=200", 0), ("b", "4", 100, "<CNV>", "END=200", 0),  # left out
+        ("a", "5", 700, "<DUP>", "END=800;EVENT=x", 1),  # of the event of a kept call
+    ]
+    got = lambda **o: {(r.chrom, r.pos): (r.callers, r.linked, r.rescue, r.orig_filter) for r in variants.consensus(calls(rows), **o).collect()}
+    plain = (2, False, None, None)
+    rest = {("1", 8000): plain, ("2", 100): plain, ("3", 100): plain}
+    assert got() == {("1", 1000): plain} | rest
+    assert got(passing=True) == rest
+    assert got(passing=True, rescue=True) == {("1", 1000): (2, False, "CG_PASS_RESCUE", "q")} | rest
+    assert got(event="EVENT") == {("1", 1000): plain, ("5", 700): (1, True, None, None)} | rest
+    assert got(passing=True, rescue=True, event="EVENT") == {("1", 1000): (2, False, "CG_PASS_RESCUE", "q"), ("5", 700): (1, True, "CG_EVENT_RESCUE", "q")} | rest

@@ -45,7 +45,7 @@ def test_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).columns
+    assert len(catalogue.QUERIES[name](spark, SF).take(1)) == 1
 
 
 def test_keys_are_keys(duck):
