@@ -69,6 +69,14 @@ def read_fastq(spark: SparkSession, path: str, mate: int | None = None) -> DataF
     return out if mate is None else out.withColumn("mate", F.lit(mate))
 
 
+def split_mates(df: DataFrame) -> DataFrame:
+    """Takes ``/1`` or ``/2`` off the names as column mate; where a name has none, the number that begins the comment (``1:N:0:ACGT``), else 1."""
+    end = F.regexp_extract("name", r"/([12])$", 1)
+    other = F.regexp_extract("comment", r"^([12]):", 1)
+    mate = F.coalesce(F.nullif(end, F.lit("")), F.nullif(other, F.lit("")), F.lit("1")).cast("int")
+    return df.withColumn("mate", mate).withColumn("name", F.regexp_replace("name", r"/[12]$", ""))
+
+
 def write_fastq(df: DataFrame, path: str) -> None:
     head = F.concat(F.lit("@"), "name", F.when(F.coalesce("comment", F.lit("")) != "", F.concat(F.lit(" "), "comment")).otherwise(""))
     df.select(F.concat_ws("\n", head, "seq", F.lit("+"), "qual")).write.text(path)

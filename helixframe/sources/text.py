@@ -124,6 +124,23 @@ def read_vcf(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     )
 
 
+def read_numbered(spark: SparkSession, first: str) -> DataFrame:
+    """Variant rows of files numbered from ``first`` (``calls.1.vcf``, ``calls.2.vcf``, ...) up to the first gap, with the number as column chunk."""
+    m = re.fullmatch(r"(.*\.)(\d+)(\.[^/]*)", first)
+    if m is None:
+        raise ValueError(f"no number in {first}")
+    folder, name = m[1].rpartition("/")[::2]
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder or ".")
+    listed = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(there)
+    present, k, out = {s.getPath().getName() for s in listed}, int(m[2]), None
+    while f"{name}{k}{m[3]}" in present:
+        part = read_vcf(spark, f"{m[1]}{k}{m[3]}").withColumn("chunk", F.lit(k))
+        out, k = part if out is None else out.union(part), k + 1
+    if out is None:
+        raise FileNotFoundError(first)
+    return out
+
+
 def vcf_lines(df: DataFrame) -> DataFrame:
     """Variant rows as VCF text lines; FORMAT keys are those of the first sample, GT first."""
     text = lambda c: F.coalesce(c, F.lit("."))
