@@ -116,24 +116,39 @@ def bonferroni(df: DataFrame, p: str = "pvalue") -> DataFrame:
     return df.join(F.broadcast(n)).withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.col("__n"))).drop("__n")
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "pvalue", blocks: int = 1024) -> DataFrame:
-    """Adds adjusted = min over larger p of p * n / rank.  Ranks and the running minimum go by blocks of p values,
-    so no task sorts them all."""
-    df = df.withColumn("__b", F.least(F.floor(F.col(p) * blocks), F.lit(blocks - 1)))
-    totals = df.groupBy("__b").agg(F.count(F.lit(1)).alias("k"))  # one row for each block
-    every = Window.partitionBy(F.lit(0))
+def value_blocks(counts: DataFrame, value: str, name: str, blocks: int) -> DataFrame:
+    """Adds ``name``: the block of a value, by quantiles of the rows of ``counts``, so that blocks are even however values are spread."""
+    marks = counts.agg(F.percentile_approx(value, F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 10_000).alias("__cuts")) if blocks > 1 else counts.limit(0).agg(F.array().cast("array<double>").alias("__cuts"))
+    return counts.join(F.broadcast(marks)).withColumn(name, F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(value)))).drop("__cuts")
+
+
+def ranks(df: DataFrame, value: str, blocks: int = 256) -> DataFrame:
+    """Distinct values with n (rows of each), least_rank and rank (its first and last row in ascending order, from 1) and total (rows in all).
+    Nulls have no rank.  Equal values are counted first, and windows run within blocks of values, so no task sorts them all."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    counts = value_blocks(counts, value, "__b", blocks)
+    totals = counts.groupBy("__b").agg(F.sum("n").alias("k"))  # one row for each block
     ahead = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("__b", F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("__base"), F.sum("k").over(every).alias("__n"))
-    rows = df.join(F.broadcast(base), "__b")
-    # equal p values get their largest rank
-    rows = rows.withColumn("__rank", F.col("__base") + F.count(F.lit(1)).over(Window.partitionBy("__b").orderBy(p)))
-    rows = rows.withColumn("__q", F.col(p) * F.col("__n") / F.col("__rank"))
+    base = totals.select("__b", F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("__base"), F.sum("k").over(Window.partitionBy(F.lit(0))).alias("total"))
+    rows = counts.join(F.broadcast(base), "__b")
+    rank = F.col("__base") + F.sum("n").over(Window.partitionBy("__b").orderBy(value))
+    return rows.withColumn("rank", rank).withColumn("least_rank", F.col("rank") - F.col("n") + 1).select(value, "n", "least_rank", "rank", "total", "__b")
+
+
+def benjamini_hochberg(df: DataFrame, p: str = "pvalue", blocks: int = 256) -> DataFrame:
+    """Adds adjusted = min over larger p of p * n / rank; null for a null p.  Ranks and the running minimum are those of :func:`ranks`."""
+    rows = ranks(df, p, blocks).withColumn("__q", F.col(p) * F.col("total") / F.col("rank"))
     least = rows.groupBy("__b").agg(F.min("__q").alias("m"))
     behind = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
     least = least.select("__b", F.coalesce(F.min("m").over(behind), F.lit(1.0)).alias("__m"))
     within = F.min("__q").over(Window.partitionBy("__b").orderBy(F.col(p).desc()))
-    rows = rows.join(F.broadcast(least), "__b")
-    return rows.withColumn("adjusted", F.least(F.lit(1.0), within, F.col("__m"))).drop("__b", "__base", "__n", "__rank", "__q", "__m")
+    adjusted = rows.join(F.broadcast(least), "__b").select(p, F.least(F.lit(1.0), within, F.col("__m")).alias("adjusted"))
+    return df.join(adjusted, p, "left")
+
+
+def mean_stddev(value: Column) -> list[Column]:
+    """Aggregates: mean and sample standard deviation (n - 1; null for fewer than two values)."""
+    return [F.avg(value).alias("mean"), F.try_divide(F.stddev_samp(value), F.lit(1)).alias("stddev")]
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -150,6 +165,12 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) ->
     return rows.groupBy(*keys).agg(((lower + upper) / 2).alias("median"))
 
 
+def permuted(score: Column, test: Column, pseudocount: int = 1) -> Column:
+    """Aggregate: two-sided p value of ``test`` (one value for each group) against permuted scores; null without scores."""
+    extreme = F.count_if(F.abs(score) >= F.abs(test))
+    return F.least(F.lit(1.0), F.try_divide(F.lit(pseudocount) + extreme, F.count(score)))
+
+
 def permuted_pvalue(scores: np.ndarray, test: float, pseudocount: int = 1) -> float:
     """Two-sided p value against permuted scores."""
     return min(1.0, (pseudocount + int((np.abs(scores) >= abs(test)).sum())) / len(scores))

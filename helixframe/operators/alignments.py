@@ -38,6 +38,24 @@ def tag(key: str) -> Column:
     return F.abs("tlen") if key == "TLEN" else F.try_element_at("tags", F.lit(key)).try_cast("int")
 
 
+def by_names(df: DataFrame, names: DataFrame, keep: bool = True) -> DataFrame:
+    """Alignments whose name is among ``names`` (name), or the others."""
+    return df.join(names.select("name").distinct(), "name", "left_semi" if keep else "left_anti").select(*df.columns)
+
+
+def contigs(include: list[str] = (), exclude: list[str] = ()) -> Column:
+    """Alignments on the contigs to include (all, if none is named) and not on those to exclude."""
+    name = F.coalesce("chrom", F.lit("*"))
+    return (name.isin(*include) if include else F.lit(True)) & ~(name.isin(*exclude) if exclude else F.lit(False))
+
+
+def sift(df: DataFrame, tests: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Alignments that pass all tests, and the others with column failed, the first test they fail (a null test fails)."""
+    fails = F.coalesce(*[F.when(~F.coalesce(v, F.lit(False)), k) for k, v in tests.items()], F.lit(None).cast("string"))
+    rows = df.withColumn("failed", fails)
+    return rows.where("failed is null").drop("failed"), rows.where("failed is not null")
+
+
 def unique_mapping() -> Column:
     """NH is 1, else IH is 1, else the mapping quality is not 0."""
     return F.coalesce(tag("NH") == 1, tag("IH") == 1, F.col("mapq") != 0)

@@ -23,12 +23,16 @@ def overlaps(a: Column, a_end: Column, b: Column, b_end: Column) -> Column:
     return ((a <= b) & (b < a_end)) | ((a < b_end) & (b_end <= a_end)) | ((b <= a) & (a_end <= b_end))
 
 
-def range_join(left: DataFrame, right: DataFrame, within: int = 0, stranded: bool = False, contained: bool = False, bin_size: int = BIN) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, within: int = 0, stranded: bool = False, contained: bool = False, bin_size: int = BIN, deal: int | None = None) -> DataFrame:
     """All pairs on one chrom whose intervals overlap (or lie within ``within`` positions of each other);
     with ``contained``, the right one lies inside the left.  Right columns get the prefix ``r_``.
 
     Both sides are filed under the bins they touch and joined on (chrom, bin); a pair is kept in the
-    first bin that both touch, so nothing is emitted twice and nothing needs a distinct."""
+    first bin that both touch, so nothing is emitted twice and nothing needs a distinct.
+
+    ``deal`` is for bins that one task cannot hold (a locus of great depth): left rows are counted by bin first, those of a bin of more than
+    ``deal`` rows are dealt by their hash to parts of about that many, and the right rows of such a bin go to each of its parts.
+    Equal left rows stay together.  Pairs are the same; the left side is read twice."""
     a = left.withColumn("__lo", F.col("start") - within).withColumn("__hi", F.greatest(F.col("end") + within, F.col("start") - within + 1))
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     b = b.withColumn("__rhi", F.greatest(F.col("r_end"), F.col("r_start") + 1))
@@ -37,7 +41,17 @@ def range_join(left: DataFrame, right: DataFrame, within: int = 0, stranded: boo
     a = a.withColumn("__bin", F.explode(F.sequence(floor(F.col("__lo") - int(within > 0)), floor(F.col("__hi") - int(within == 0)))))
     b = b.withColumn("__rbin", F.explode(F.sequence(floor(F.col("r_start")), floor(F.col("__rhi") - int(within == 0)))))
     first = F.greatest(floor(F.col("__lo") - int(within > 0)), floor(F.col("r_start")))
+    if deal is not None:
+        counts = a.groupBy("chrom", "__bin").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > deal)
+        counts = counts.select("chrom", "__bin", F.ceil(F.col("__n") / deal).alias("__parts"))
+        part = F.coalesce(F.pmod(F.xxhash64(*[c for c in left.columns]), F.col("__parts")), F.lit(0))
+        a = a.join(counts, ["chrom", "__bin"], "left").withColumn("__part", part).select(*a.columns, "__part")
+        right_parts = counts.select(F.col("chrom").alias("r_chrom"), F.col("__bin").alias("__rbin"), F.col("__parts"))
+        every = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__parts"), F.lit(1)) - 1)
+        b = b.join(right_parts, ["r_chrom", "__rbin"], "left").withColumn("__rpart", F.explode(every)).select(*b.columns, "__rpart")
     on = (F.col("chrom") == F.col("r_chrom")) & (F.col("__bin") == F.col("__rbin")) & (F.col("__bin") == first)
+    if deal is not None:
+        on &= F.col("__part") == F.col("__rpart")
     if contained:
         on &= (F.col("start") <= F.col("r_start")) & (F.col("r_end") <= F.col("end"))
     elif within:
@@ -46,7 +60,7 @@ def range_join(left: DataFrame, right: DataFrame, within: int = 0, stranded: boo
         on &= overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
     if stranded:
         on &= strands_match(F.col("strand"), F.col("r_strand"))
-    return a.join(b, on).drop("__lo", "__hi", "__rhi", "__bin", "__rbin")
+    return a.join(b, on).drop("__lo", "__hi", "__rhi", "__bin", "__rbin", "__part", "__rpart")
 
 
 def row_key(df: DataFrame) -> dict[str, Column]:

@@ -32,6 +32,30 @@ def flag_filter(s, d):
     return ids(A.flags(al(s, d), A.COUNT_FILTER, A.PAIRED | A.PROPER))
 
 
+def bam_names(s, d):
+    return ids(A.by_names(al(s, d), frame(s, d, "iv").select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("name"))))
+
+
+def bam_contigs(s, d):
+    return ids(al(s, d).where(A.contigs(["chr1", "chr2", "chr3"], ["chr2"])))
+
+
+def _sifted(s, d):
+    return A.sift(al(s, d), {"mapq": F.col("mapq") >= 10, "flags": A.lacks(A.COUNT_FILTER), "nh": A.tag("NH") == 1})
+
+
+def bam_passed(s, d):
+    return ids(_sifted(s, d)[0])
+
+
+def bam_failed(s, d):
+    return _sifted(s, d)[1].select("event_id", "failed")
+
+
+def bam_sort(s, d):
+    return A.sort_alignments(al(s, d)).select("event_id", "chrom", "pos")
+
+
 def unique_mapping(s, d):
     return ids(al(s, d).where(A.unique_mapping()))
 
@@ -247,7 +271,7 @@ def bam_phase(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    flag_filter, unique_mapping, pair_keep, pair_remove, sane_pairs, tag_min, tag_max, tag_eq, unique_start, bam_region_include, bam_region_exclude, bam_region_within, bam_junctions, dups,
+    flag_filter, bam_names, bam_contigs, bam_passed, bam_failed, bam_sort, unique_mapping, pair_keep, pair_remove, sane_pairs, tag_min, tag_max, tag_eq, unique_start, bam_region_include, bam_region_exclude, bam_region_within, bam_junctions, dups,
     best, discord, ref_count, span_count, span_count_stranded, span_count_details, bam_bedgraph, coverage_quantiles, expressed_regions, softclip, wps, base_call, bam_consensus, allele_calls, bam_varcall, bam_varcall_normal, bam_removeclipping,
     bam_readgroup, bam_concat, bam_clean, bam_check, bam_split, bam_stats, bam_stats_reads, bam_stats_flags, bam_stats_tags, bam_stats_unique, bam_on_target, bam_tobed, bam_tobedpe, bam_extract, bam_sample, bam_pileup, vcf_count, bam_pir, bam_phase,
 )}
@@ -285,6 +309,11 @@ c AS (SELECT DISTINCT chrom, id, unnest(list_concat(generate_series(greatest(s -
 u AS (SELECT chrom, pos, 1 AS x, 0 AS y FROM a UNION ALL SELECT chrom, pos, 0, 1 FROM c) SELECT chrom, pos, CAST(sum(x) - sum(y) AS BIGINT) AS wps FROM u GROUP BY chrom, pos"""),
     "bam_sample": sql("WITH n AS (SELECT DISTINCT name FROM am), r AS (SELECT l.list, name, row_number() OVER (PARTITION BY l.list ORDER BY md5((l.list + 1) || ':' || name), name) AS k FROM n, (VALUES (0), (1)) AS l(list)) SELECT CAST(list AS INT) AS list, name FROM r WHERE k <= 100"),
     "flag_filter": sql("SELECT event_id FROM am WHERE flag & 3844 = 0 AND flag & 3 = 3"),
+    "bam_names": sql("SELECT event_id FROM am WHERE name IN (SELECT 'r' || l_orderkey FROM iv)", "", "al iv"),
+    "bam_contigs": sql("SELECT event_id FROM am WHERE chrom IN ('chr1', 'chr3')"),
+    "bam_passed": sql("SELECT event_id FROM am WHERE mapq >= 10 AND flag & 3844 = 0 AND nh = 1"),
+    "bam_failed": sql("SELECT * FROM (SELECT event_id, CASE WHEN mapq < 10 THEN 'mapq' WHEN flag & 3844 <> 0 THEN 'flags' WHEN coalesce(nh, 0) <> 1 THEN 'nh' END AS failed FROM am) WHERE failed IS NOT NULL"),
+    "bam_sort": sql("SELECT event_id, chrom, pos FROM am"),
     "unique_mapping": sql("SELECT event_id FROM am WHERE coalesce(nh = 1, mapq <> 0)"),
     "pair_keep": sql("SELECT event_id FROM am WHERE name IN (SELECT name FROM am WHERE mapq >= 40)"),
     "pair_remove": sql("SELECT event_id FROM am WHERE name NOT IN (SELECT name FROM am WHERE mapq < 10)"),

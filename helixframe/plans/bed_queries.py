@@ -25,6 +25,11 @@ def bed_overlap(s, d):
     return pairs.select(*IV_KEY, "chrom", "start", "end", F.col("r_region_id").alias("region_id"), F.greatest("start", "r_start").alias("o_start"), F.least("end", "r_end").alias("o_end"))
 
 
+def bed_overlap_dealt(s, d):
+    pairs = I.range_join(iv(s, d), rg(s, d), bin_size=2000, deal=50)
+    return pairs.select(*IV_KEY, F.col("r_region_id").alias("region_id"))
+
+
 def bed_contains(s, d):
     return I.range_join(rg(s, d), iv(s, d), contained=True).select("region_id", *[F.col(f"r_{k}").alias(k) for k in IV_KEY])
 
@@ -175,7 +180,7 @@ WITH p AS (
 """
 
 QUERIES = {f.__name__: f for f in (
-    bed_overlap, bed_contains, bed_semi, bed_anti, bed_count, bed_count_ns, bed_nearest, bed_reduce, bed_reduce_extend, bed_reduce_ns, bed_resize,
+    bed_overlap, bed_overlap_dealt, bed_contains, bed_semi, bed_anti, bed_count, bed_count_ns, bed_nearest, bed_reduce, bed_reduce_extend, bed_reduce_ns, bed_resize,
     bed_clean, bed_to3, bed_to6, bed_stats, bed_stats_chrom, bed_bedgraph, bed_bedgraph_zero, bed_depth_positions, bed_split_merge, bed_merge, bed_sort,
     bed_to_bedpe, bedpe_to_bed, bedpe_split, fasta_bins, bin_counts, bin_counts_all, position_counts,
 )}
@@ -188,6 +193,7 @@ w AS (SELECT chrom, pos, CAST(sum(d) OVER (PARTITION BY chrom ORDER BY pos) AS B
 """
 ORACLE_SQL = {
     "bed_overlap": with_sql("iv rg", f'SELECT {_QKEYS}, q.chrom, q."start", q."end", r.region_id, greatest(q."start", r."start") AS o_start, least(q."end", r."end") AS o_end FROM iv q JOIN rg r ON q.chrom = r.chrom AND {OVER}'),
+    "bed_overlap_dealt": with_sql("iv rg", f'SELECT {_QKEYS}, r.region_id FROM iv q JOIN rg r ON q.chrom = r.chrom AND {OVER}'),
     "bed_contains": with_sql("iv rg", f'SELECT r.region_id, {_QKEYS} FROM iv q JOIN rg r ON q.chrom = r.chrom AND r."start" <= q."start" AND q."end" <= r."end"'),
     "bed_semi": with_sql("iv rg", f"SELECT * FROM iv q WHERE EXISTS (SELECT 1 FROM rg r WHERE r.score > 985 AND r.chrom = q.chrom AND {OVER})"),
     "bed_anti": with_sql("iv rg", f"SELECT * FROM iv q WHERE NOT EXISTS (SELECT 1 FROM rg r WHERE r.score > 985 AND r.chrom = q.chrom AND {OVER} AND {STRAND})"),

@@ -206,6 +206,20 @@ def bh(s, d):
     return S.benjamini_hochberg(pvalues(s, d)).select("o_orderkey", F.round("adjusted", 9).alias("adjusted"))
 
 
+def value_ranks(s, d):
+    return S.ranks(table(s, d, "lineitem").withColumn("v", F.col("l_quantity").cast("double")), "v").select("v", "n", "least_rank", "rank", "total")
+
+
+def mean_stddev(s, d):
+    rows = table(s, d, "lineitem").groupBy("l_suppkey").agg(*S.mean_stddev(F.col("l_extendedprice").cast("double")))
+    return rows.select("l_suppkey", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"))
+
+
+def permuted(s, d):
+    rows = table(s, d, "lineitem").withColumn("v", F.col("l_quantity").cast("double") - 25)
+    return rows.groupBy("l_suppkey").agg(F.round(S.permuted(F.col("v"), F.lit(20.0)), 9).alias("pvalue"))
+
+
 def bonferroni(s, d):
     return S.bonferroni(pvalues(s, d)).select("o_orderkey", F.round("adjusted", 9).alias("adjusted"))
 
@@ -250,7 +264,7 @@ def running_extremes(s, d):
 _PLAIN = (
     gtf_genes, gtf_transcripts, gtf_exons, gtf_exons_combined, gtf_introns, gtf_junctions, gtf_donors, gtf_tss, gtf_tlss, gtf_orf, gtf_utr5, gtf_utr3, gtf_geneinfo, gtf_find_junction,
     gtf_classify, annotate_gtf, annotate_repeat, vcf_effect, vcf_peptide, gtf_tofasta, vcf_svtofasta, tdf_join, tdf_join_csv, tdf_infile, tab_bedgraph_weighted, tab_bedgraph_median, tabix_region, tabix_indexed, tabix_bins, sort_rows, tabix_concat, tabix_split, bh,
-    bonferroni, weighted_mean, weighted_median, prop_test, fisher_test, fisher_sb, running_extremes,
+    value_ranks, mean_stddev, permuted, bonferroni, weighted_mean, weighted_median, prop_test, fisher_test, fisher_sb, running_extremes,
 )
 QUERIES = {f.__name__: f for f in _PLAIN} | {f"tab_annotate_{h}": _tab(h) for h in HOW}
 
@@ -329,6 +343,9 @@ SELECT transcript_id, md5(seq) AS md5, CAST(length(seq) AS INT) AS n, CAST(coale
     "prop_test": f"""WITH {_CT}, x AS (SELECT p_partkey, sqrt((a + b + c + d) * greatest(0.0, abs(a * d - b * c) - (a + b + c + d) / 2.0) ** 2 / nullif((a + c) * (b + d) * (a + b) * (c + d), 0) / 2.0) AS z FROM ct)
 SELECT p_partkey, CASE WHEN z IS NOT NULL THEN round(1 - 2 / sqrt(pi()) * least(z, 6.0) / 1200 * list_sum(list_transform(range(401), lambda i: CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(0 - power(least(z, 6.0) * i / 400, 2)))), 9) END AS pvalue FROM x""",
     "bh": "WITH p AS (SELECT o_orderkey, (o_orderkey * 7919) % 100003 / 100003.0 AS p FROM orders), r AS (SELECT *, count(*) OVER () AS n, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM p) SELECT o_orderkey, round(least(1.0, min(p * n / k) OVER (ORDER BY p DESC)), 9) AS adjusted FROM r",
+    "value_ranks": "WITH k AS (SELECT CAST(l_quantity AS DOUBLE) AS v, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT v, n, CAST(sum(n) OVER (ORDER BY v) AS BIGINT) AS rank, CAST(sum(n) OVER () AS BIGINT) AS total FROM k) SELECT v, n, rank - n + 1 AS least_rank, rank, total FROM r",
+    "mean_stddev": "SELECT l_suppkey, round(avg(CAST(l_extendedprice AS DOUBLE)), 4) AS mean, round(stddev_samp(CAST(l_extendedprice AS DOUBLE)), 4) AS stddev FROM lineitem GROUP BY l_suppkey",
+    "permuted": "SELECT l_suppkey, round(least(1.0, (1 + count(*) FILTER (abs(CAST(l_quantity AS DOUBLE) - 25) >= 20)) / count(l_quantity)), 9) AS pvalue FROM lineitem GROUP BY l_suppkey",
     "bonferroni": "WITH p AS (SELECT o_orderkey, (o_orderkey * 7919) % 100003 / 100003.0 AS p FROM orders) SELECT o_orderkey, round(least(1.0, p * count(*) OVER ()), 9) AS adjusted FROM p",
     "weighted_mean": "SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS mean FROM lineitem GROUP BY 1",
     "weighted_median": "WITH li AS (SELECT l_returnflag, l_extendedprice, CAST(l_quantity AS BIGINT) AS w FROM lineitem), " + _WM.format(key="l_returnflag", v="l_extendedprice", w="w", t="li"),

@@ -410,3 +410,24 @@ def test_consensus_of_structural_variants(spark):
     assert got(passing=True, rescue=True) == {("1", 1000): (2, False, "CG_PASS_RESCUE", "q")} | rest
     assert got(event="EVENT") == {("1", 1000): plain, ("5", 700): (1, True, None, None)} | rest
     assert got(passing=True, rescue=True, event="EVENT") == {("1", 1000): (2, False, "CG_PASS_RESCUE", "q"), ("5", 700): (1, True, "CG_EVENT_RESCUE", "q")} | rest
+
+
+def test_dealt_bins(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = lambda n, hot: [("c", s := (rng.randrange(50) if rng.random() < hot else rng.randrange(5000)), s + rng.randint(0, 40), f"n{k % 60}", 0.0, rng.choice("+-*")) for k in range(n)]
+    left, right = bed(spark, rows(400, 0.7) + [("c", 5, 9, "same", 0.0, "+")] * 20), bed(spark, rows(150, 0.3))
+    for options in ({}, {"within": 30}, {"stranded": True}, {"contained": True}):
+        plain, dealt = (sorted(map(str, intervals.range_join(left, right, bin_size=64, deal=d, **options).collect())) for d in (None, 9))
+        assert plain == dealt and len(plain) > 100
+
+
+def test_ranks(spark):
+    values = [3.0, 1.0, 1.0, 2.0, 2.0, 2.0, -5.0, None, 3.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for blocks in (1, 2, 64):
+        assert {r.v: (r.n, r.least_rank, r["rank"], r.total) for r in stats.ranks(df, "v", blocks).collect()} == {-5.0: (1, 1, 1, 8), 1.0: (2, 2, 3, 8), 2.0: (3, 4, 6, 8), 3.0: (2, 7, 8, 8)}
+    assert stats.ranks(df.where("v > 9"), "v").count() == 0
+    rows = stats.benjamini_hochberg(spark.createDataFrame([(x,) for x in (None, 0.5, 0.5, 0.01)], "pvalue double")).collect()
+    assert sorted((str(r.pvalue), r.adjusted) for r in rows) == [("0.01", 0.03), ("0.5", 0.5), ("0.5", 0.5), ("None", None)]
