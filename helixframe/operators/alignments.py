@@ -310,10 +310,11 @@ def consensus_base(least_share: float = 0.2, least_depth: int = 1) -> Column:
     return F.when(total >= least_depth, F.coalesce(F.try_element_at(F.create_map(*table), strong), F.lit("N"))).otherwise("N")
 
 
-def allele_calls(df: DataFrame, least_quality: int = 0, drop: int = COVERAGE_FILTER) -> DataFrame:
+def allele_calls(df: DataFrame, least_quality: int = 0, drop: int = COVERAGE_FILTER, gaps: bool = False) -> DataFrame:
     """Alleles by position: chrom, pos, call, plus, minus, count.  A call is a base, ``+`` and the bases inserted behind the position, or
     ``-`` and the number of bases deleted behind it; a base that an insertion or deletion follows counts as that alone.
-    The base's quality decides on both.  Insertions ahead of the first aligned base have no position and do not count."""
+    The base's quality decides on both.  Insertions ahead of the first aligned base have no position and do not count.
+    With ``gaps``, deleted positions have calls ``*``, whatever the qualities."""
     parts = blocks(df.where(lacks(drop)).withColumn("__minus", has(REVERSE)), ["seq", "qual", "__minus"])
     base = lambda c, i: F.substring(F.col(c), (i + 1).cast("int"), F.lit(1))
     i = F.col("read_start") + F.col("i")
@@ -326,6 +327,9 @@ def allele_calls(df: DataFrame, least_quality: int = 0, drop: int = COVERAGE_FIL
     two = F.array(F.struct(what.alias("call"), F.lit(1).alias("w")), F.struct(base("seq", ahead).alias("call"), F.when(on, -1).otherwise(0).alias("w")))
     indel = indel.select("chrom", F.col("base_pos").alias("pos"), F.explode(two).alias("x"), (F.ascii(base("qual", ahead)) - 33).alias("q"), "__minus")
     every = match.unionByName(indel.select("chrom", "pos", "x.call", "q", "__minus", "x.w")).where(F.col("q") >= least_quality)
+    if gaps:
+        gone = parts.where("k = 'D'").withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
+        every = every.unionByName(gone.select("chrom", (F.col("start") + F.col("i")).alias("pos"), F.lit("*").alias("call"), F.lit(0).alias("q"), "__minus", F.lit(1).alias("w")))
     minus = F.sum(F.when(F.col("__minus"), F.col("w")).otherwise(0))
     return every.groupBy("chrom", "pos", "call").agg((F.sum("w") - minus).alias("plus"), minus.alias("minus"), F.sum("w").alias("count")).where("count > 0")
 
@@ -363,6 +367,32 @@ def _called(somatic: bool, error: float):
     return run.asNondeterministic()  # else projections are merged and the call ends up in a lambda, where Spark cannot run it
 
 
+def _codes() -> Column:
+    """IUPAC code of a sorted set of bases."""
+    import itertools
+
+    return F.create_map(*[x for n in range(1, 5) for c in itertools.combinations("ACGT", n) for x in (F.lit("".join(c)), F.lit(ambiguous(set(c))))])
+
+
+def consensus_chunks(calls: DataFrame, reference: DataFrame, least_depth: int = 1, least_share: float = 0.2, least_count: int = 1) -> DataFrame:
+    """The chunks of a reference (chrom, chunk_start, seq) as the reads of :func:`allele_calls` (with gaps) have them: chrom, chunk_start, seq.
+
+    An allele counts if at least ``least_share`` of the position's calls and ``least_count`` of them have it.  Positions of fewer than
+    ``least_depth`` calls, or without such an allele, keep the reference in lower case.  One allele is written as it is: a base, the base
+    and what is inserted behind it, nothing for a gap, the reference's base ahead of a deletion.  Several are written as the
+    ambiguity code of the bases among them, as a sequence cannot hold indels beside bases; without a base among them the reference stays."""
+    least = F.greatest(F.ceil(F.sum("count").over(Window.partitionBy("chrom", "pos")) * least_share), F.lit(least_count))
+    at = calls.withColumn("fits", F.col("count") >= least).groupBy("chrom", "pos").agg(F.sum("count").alias("depth"), F.array_sort(F.collect_list(F.when(F.col("fits"), F.col("call")))).alias("alleles"))
+    each = reference.select("chrom", "chunk_start", F.posexplode(F.split("seq", "(?!$)")).alias("i", "base")).withColumn("pos", F.col("chunk_start") + F.col("i"))
+    rows = each.join(at, ["chrom", "pos"], "left")
+    only, upper, lower = F.get("alleles", F.lit(0)), F.upper("base"), F.lower("base")
+    one = F.when(only == "*", "").when(only.startswith("-"), upper).when(only.startswith("+"), F.concat(upper, F.substring(only, F.lit(2), F.length(only)))).otherwise(only)
+    some = F.coalesce(F.try_element_at(_codes(), F.array_join(F.filter("alleles", lambda c: c.isin(*"ACGT")), "")), lower)
+    called = F.when(F.coalesce("depth", F.lit(0)) < least_depth, lower).when(F.size("alleles") == 0, lower).when(F.size("alleles") == 1, one).otherwise(some)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce(called, lower).alias("s")))), lambda x: x["s"]), "")
+    return rows.groupBy("chrom", "chunk_start").agg(text.alias("seq"))
+
+
 def call_variants(
     first: DataFrame, reference: DataFrame, chunk: int, second: DataFrame | None = None, tumor_only: bool = False, error: float = 0.02, least_depth: int = 1, least_alt: int = 0,
     least_af: float = 0.0, least_normal_depth: int = 0, most_normal: int | None = None, most_normal_af: float | None = None, passing: bool = False,
@@ -471,7 +501,10 @@ def informative_reads(df: DataFrame, variants: DataFrame, key: list[str]) -> Dat
 
 def phase(df: DataFrame, variants: DataFrame, key: str) -> DataFrame:
     """Phase sets: heterozygous variants linked by reads that carry two of them.  Reads vote for cis or trans of each pair of
-    neighbours on a read; (key, phase_set), the set's name being its smallest key."""
+    neighbours on a read; (key, phase_set, side), the set's name being its smallest key (a whole number).  side is 0 if the alt lies on one
+    haplotype with the alt of the set's smallest variant, 1 if with its ref, null in a set whose votes contradict each other.
+
+    Components are those of a graph with two nodes for each variant, its alt and its ref: cis links like ends of two variants, trans unlike ones."""
     from .graph import components
 
     at = variants.select(key, "chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), "ref", "alt")
@@ -482,7 +515,13 @@ def phase(df: DataFrame, variants: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy("r_name").orderBy("start", key)
     steps = seen.select(F.lag(key).over(w).alias("a"), F.col(key).alias("b"), (F.lag("allele").over(w) == F.col("allele")).alias("cis")).where("a is not null and a <> b")
     votes = steps.groupBy("a", "b").agg(F.count_if("cis").alias("cis"), F.count_if(~F.col("cis")).alias("trans")).where("cis <> trans")
-    return components(votes.select("a", "b")).select(F.col("node").alias(key), F.col("root").alias("phase_set"))
+    trans = F.when(F.col("cis") > F.col("trans"), 0).otherwise(1)
+    ends = votes.select("a", "b", trans.alias("t"), F.explode(F.array(F.lit(0), F.lit(1))).alias("s"))
+    ends = ends.select((F.col("a") * 2 + F.col("s")).alias("a"), (F.col("b") * 2 + F.col("s").bitwiseXOR(F.col("t"))).alias("b"))
+    nodes = components(ends).select(F.shiftright("node", 1).alias(key), F.col("node").bitwiseAND(1).alias("s"), "root")
+    both = nodes.groupBy(key).agg(F.min(F.when(F.col("s") == 0, F.col("root"))).alias("alt"), F.min("root").alias("least"), F.max("root").alias("most"))
+    side = F.when(F.col("least") != F.col("most"), F.col("alt").bitwiseAND(1)).cast("int")
+    return both.select(key, F.shiftright("least", 1).alias("phase_set"), side.alias("side"))
 
 
 def remove_clipping(df: DataFrame) -> DataFrame:

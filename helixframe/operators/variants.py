@@ -349,6 +349,13 @@ def to_bed(df: DataFrame, padding: int = 0) -> DataFrame:
     return rows.select("chrom", F.greatest(F.lit(0), F.col("pos") - 1 - padding).alias("start"), (F.greatest("pos", "alt_pos") + padding).alias("end"), F.col("sv_type").alias("name"))
 
 
+def sv_regions(df: DataFrame, flank: int = 0) -> DataFrame:
+    """Both ends of variants that join two places: chrom, start, end; reads around either are those to extract."""
+    ends = to_bedpe(df)
+    side = lambda k: ends.select(F.col(f"chrom{k}").alias("chrom"), F.greatest(F.lit(0), F.col(f"start{k}") - flank).alias("start"), (F.col(f"end{k}") + flank).alias("end"))
+    return side(1).union(side(2)).distinct()
+
+
 def to_bedpe(df: DataFrame, del_offset: bool = True) -> DataFrame:
     """A pair of regions for each alt; a deletion begins behind its anchor base unless ``del_offset`` is off.  Of one EVENT the first row stays."""
     event = F.try_element_at("info", F.lit("EVENT"))

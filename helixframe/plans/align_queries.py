@@ -173,6 +173,12 @@ def allele_calls(s, d):
     return A.allele_calls(al(s, d), 10)
 
 
+def bam_tofasta(s, d):
+    starts = s.range(0, 21000, 1000).select(F.explode(F.array(*[F.lit(f"chr{k}") for k in range(1, 6)])).alias("chrom"), F.col("id").alias("chunk_start"))
+    reference = starts.withColumn("seq", F.expr("substring(repeat('ACGTTGCAAGCT', 85), cast(chunk_start % 12 as int) + 1, 1000)"))
+    return A.consensus_chunks(A.allele_calls(al(s, d), gaps=True), reference, 4, 0.3, 2)
+
+
 def bam_varcall(s, d):
     reference = _reference(A.base_calls(al(s, d)))
     return A.call_variants(A.allele_calls(al(s, d)), reference, 1, least_depth=8, least_alt=2).select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), "gt", F.array_join("filters", ",").alias("filters"), "dp")
@@ -272,7 +278,7 @@ def bam_phase(s, d):
 
 QUERIES = {f.__name__: f for f in (
     flag_filter, bam_names, bam_contigs, bam_passed, bam_failed, bam_sort, unique_mapping, pair_keep, pair_remove, sane_pairs, tag_min, tag_max, tag_eq, unique_start, bam_region_include, bam_region_exclude, bam_region_within, bam_junctions, dups,
-    best, discord, ref_count, span_count, span_count_stranded, span_count_details, bam_bedgraph, coverage_quantiles, expressed_regions, softclip, wps, base_call, bam_consensus, allele_calls, bam_varcall, bam_varcall_normal, bam_removeclipping,
+    best, discord, ref_count, span_count, span_count_stranded, span_count_details, bam_bedgraph, coverage_quantiles, expressed_regions, softclip, wps, base_call, bam_consensus, allele_calls, bam_tofasta, bam_varcall, bam_varcall_normal, bam_removeclipping,
     bam_readgroup, bam_concat, bam_clean, bam_check, bam_split, bam_stats, bam_stats_reads, bam_stats_flags, bam_stats_tags, bam_stats_unique, bam_on_target, bam_tobed, bam_tobedpe, bam_extract, bam_sample, bam_pileup, vcf_count, bam_pir, bam_phase,
 )}
 
@@ -366,6 +372,11 @@ FROM am a JOIN am b ON a.name = b.name AND a.flag & 64 <> 0 AND b.flag & 128 <>
     "bam_extract": sql(f"SELECT event_id FROM am a WHERE name IN (SELECT name FROM am WHERE {_HIT.format(score=995)})", f"{_BL}, {_RGM}", "al rg"),
     "bam_pileup": sql("""WITH b AS (SELECT name, flag, chrom, s + i AS pos, substr(seq, CAST(rs + i + 1 AS INT), 1) AS c FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM bl WHERE flag & 1796 = 0)), l AS (SELECT chrom, pos, name, CASE WHEN flag & 16 <> 0 THEN lower(c) ELSE c END AS c FROM b)
 SELECT chrom, pos, count(*) AS depth, string_agg(c, '' ORDER BY name, c) AS bases FROM l GROUP BY chrom, pos""", _BL),
+    "bam_tofasta": sql(_ALLELES.format(q=0) + f""", a AS (SELECT chrom, pos, call FROM c UNION ALL SELECT chrom, pos + 20 + i, '*' FROM (SELECT *, unnest(generate_series(0, 9)) AS i FROM am WHERE flag & 1796 = 0 AND event_id % 6 = 3)),
+k AS (SELECT chrom, pos, call, count(*) AS n FROM a GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY chrom, pos) AS depth FROM k), v AS (SELECT chrom, pos, max(depth) AS depth, list(call ORDER BY call) FILTER (n >= greatest(ceil(depth * 0.3), 2)) AS al, string_agg(call, '' ORDER BY call) FILTER (n >= greatest(ceil(depth * 0.3), 2) AND call IN ('A', 'C', 'G', 'T')) AS x FROM w GROUP BY chrom, pos),
+r AS (SELECT 'chr' || unnest([1, 2, 3, 4, 5]) AS chrom, p AS pos, substr('ACGTTGCAAGCT', p % 12 + 1, 1) AS base FROM range(21000) AS t(p)),
+o AS (SELECT r.chrom, r.pos, CASE WHEN coalesce(depth, 0) < 4 OR al IS NULL THEN lower(base) WHEN len(al) = 1 THEN CASE WHEN al[1] = '*' THEN '' WHEN al[1][1] = '-' THEN base WHEN al[1][1] = '+' THEN base || substr(al[1], 2) ELSE al[1] END WHEN x IS NULL THEN lower(base) ELSE {_IUPAC} END AS s FROM r LEFT JOIN v ON v.chrom = r.chrom AND v.pos = r.pos)
+SELECT chrom, CAST(pos // 1000 * 1000 AS BIGINT) AS chunk_start, string_agg(s, '' ORDER BY pos) AS seq FROM o GROUP BY chrom, pos // 1000""", _BL),
     "allele_calls": sql(_ALLELES.format(q=10) + 'SELECT chrom, pos, call, CAST(count(*) FILTER (m = 0) AS BIGINT) AS plus, CAST(count(*) FILTER (m <> 0) AS BIGINT) AS minus, count(*) AS "count" FROM c GROUP BY ALL', _BL),
     "vcf_count": sql(_ALLELES.format(q=0) + """, k AS (SELECT chrom, pos + 1 AS pos, call, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT chrom, pos, sum(n) AS depth FROM k GROUP BY ALL),
 j AS (SELECT s.*, coalesce((SELECT n FROM k WHERE k.chrom = s.chrom AND k.pos = s.pos AND k.call = s.ref), 0) AS ref_count, coalesce((SELECT n FROM k WHERE k.chrom = s.chrom AND k.pos = s.pos AND k.call = CASE WHEN length(s.alt) = 1 THEN s.alt WHEN starts_with(s.alt, s.ref) THEN '+' || substr(s.alt, 2) ELSE '+' || s.alt END), 0) AS alt_count, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth,

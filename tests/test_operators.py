@@ -431,3 +431,16 @@ def test_ranks(spark):
     assert stats.ranks(df.where("v > 9"), "v").count() == 0
     rows = stats.benjamini_hochberg(spark.createDataFrame([(x,) for x in (None, 0.5, 0.5, 0.01)], "pvalue double")).collect()
     assert sorted((str(r.pvalue), r.adjusted) for r in rows) == [("0.01", 0.03), ("0.5", 0.5), ("0.5", 0.5), ("None", None)]
+
+
+def test_phase_sides(spark):
+    # three variants; reads hold alleles of two or three: 1 and 2 in trans, 2 and 3 in cis; 8 and 9 contradict each other evenly
+    sites = spark.createDataFrame([(5, "c", 2, "A", "T"), (3, "c", 4, "A", "T"), (7, "c", 6, "A", "T"), (8, "c", 30, "A", "T"), (9, "c", 32, "A", "T")], "id long, chrom string, pos long, ref string, alt string")
+    seqs = [("r1", 0, "CTCACACC"), ("r2", 0, "CACTCTCC"), ("r3", 2, "CTCTCC"), ("r4", 28, "CTCTC"), ("r5", 28, "CTCAC")]
+    df = spark.createDataFrame([(n, 0, "c", p, 60, f"{len(q)}M", q, "I" * len(q)) for n, p, q in seqs], "name string, flag int, chrom string, pos long, mapq int, cigar string, seq string, qual string")
+    assert sorted(map(tuple, alignments.phase(df, sites, "id").collect())) == [(3, 3, 0), (5, 3, 1), (7, 3, 0)]
+
+
+def test_sv_regions(spark):
+    rows = spark.createDataFrame([("1", 100, "N", ["N]2:900]"], None, {}, 1.0, "x")], "chrom string, pos long, ref string, alt array<string>, filters array<string>, info map<string,string>, qual double, id string")
+    assert sorted((r.chrom, r.end - r.start) for r in variants.sv_regions(rows, 10).collect()) == [("1", 21), ("2", 21)]
