@@ -345,9 +345,12 @@ def _total(tally: Column) -> Column:
 
 
 def _called(somatic: bool, error: float):
-    """What counts of a position are: ``hom`` or ``het``, ``present`` (somatic) or ``background``, whichever is likeliest."""
+    """What counts of a position are: ``hom`` or ``het``, ``present`` (somatic) or ``background``, whichever is likeliest; where two
+    are equally likely but for rounding (a share of 1e-9), ``background``."""
     from ..functions.stats import genotype_pvalue
 
+    above = lambda x, *others: all(x > o * (1 + 1e-9) for o in others)
+
     @F.pandas_udf("array<string>")
     def run(counts: pd.Series, total: pd.Series) -> pd.Series:
         seen: dict[tuple[int, int], str] = {}
@@ -356,10 +359,10 @@ def _called(somatic: bool, error: float):
             if (a, n) not in seen:
                 noise = genotype_pvalue("background", a, n, error)
                 if somatic:
-                    seen[a, n] = "present" if genotype_pvalue("present", a, n) > noise else "background"
+                    seen[a, n] = "present" if above(genotype_pvalue("present", a, n), noise) else "background"
                 else:
                     hom, het = genotype_pvalue("hom", a, n, error), genotype_pvalue("het", a, n)
-                    seen[a, n] = "hom" if hom > max(het, noise) else "het" if het > max(hom, noise) else "background"
+                    seen[a, n] = "hom" if above(hom, het, noise) else "het" if above(het, hom, noise) else "background"
             return seen[a, n]
 
         return pd.Series([[kind(int(a), int(n)) for a in c] for c, n in zip(counts, total)], dtype="object")

@@ -307,6 +307,9 @@ g AS (SELECT chrom, pos, count(*) FILTER (call = 'A') AS "A", count(*) FILTER (c
 # Calls by position: an indel takes the place of the base ahead of it (the twentieth, where there is one).
 _ALLELES = """WITH b AS (SELECT event_id, chrom, s + i AS pos, rs + i AS ra, substr(seq, CAST(rs + i + 1 AS INT), 1) AS call, ascii(substr(qual, CAST(rs + i + 1 AS INT), 1)) - 33 AS q, flag & 16 AS m, seq FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM bl WHERE flag & 1796 = 0)),
 c AS (SELECT chrom, pos, CASE WHEN event_id % 6 = 2 AND ra = 19 THEN '+' || substr(seq, 21, 5) WHEN event_id % 6 = 3 AND ra = 19 THEN '-10' ELSE call END AS call, m FROM b WHERE q >= {q})"""
+_MD5_BASE = "translate(left(md5(chrom || ':' || {0}), 1), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+#: Failures x before success r, of probability p.
+_PMF = "CASE WHEN {x} < 0 OR {p} <= 0 THEN 0.0::DOUBLE WHEN {p} >= 1 THEN CASE WHEN {x} = 0 THEN 1.0::DOUBLE ELSE 0.0 END ELSE exp(lgamma({x} + {r}) - lgamma({r}) - lgamma({x} + 1) + {r} * ln({p}) + {x} * ln(1 - {p})) END"
 _IUPAC = "CASE x WHEN 'A' THEN 'A' WHEN 'C' THEN 'C' WHEN 'G' THEN 'G' WHEN 'T' THEN 'T' WHEN 'AG' THEN 'R' WHEN 'CT' THEN 'Y' WHEN 'CG' THEN 'S' WHEN 'AT' THEN 'W' WHEN 'GT' THEN 'K' WHEN 'AC' THEN 'M' WHEN 'CGT' THEN 'B' WHEN 'AGT' THEN 'D' WHEN 'ACT' THEN 'H' WHEN 'ACG' THEN 'V' ELSE 'N' END"
 _SITES = "sites AS (SELECT var_id, chrom, pos % 20000 + 1 AS pos, ref, alt FROM vr)"
 ORACLE_SQL = {
@@ -372,6 +375,13 @@ FROM am a JOIN am b ON a.name = b.name AND a.flag & 64 <> 0 AND b.flag & 128 <>
     "bam_extract": sql(f"SELECT event_id FROM am a WHERE name IN (SELECT name FROM am WHERE {_HIT.format(score=995)})", f"{_BL}, {_RGM}", "al rg"),
     "bam_pileup": sql("""WITH b AS (SELECT name, flag, chrom, s + i AS pos, substr(seq, CAST(rs + i + 1 AS INT), 1) AS c FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM bl WHERE flag & 1796 = 0)), l AS (SELECT chrom, pos, name, CASE WHEN flag & 16 <> 0 THEN lower(c) ELSE c END AS c FROM b)
 SELECT chrom, pos, count(*) AS depth, string_agg(c, '' ORDER BY name, c) AS bases FROM l GROUP BY chrom, pos""", _BL),
+    "bam_varcall": sql(_ALLELES.format(q=0) + f""", k AS (SELECT chrom, pos, call, count(*) AS n FROM c GROUP BY ALL), p AS (SELECT *, {_MD5_BASE.format('pos')} AS base, sum(n) OVER (PARTITION BY chrom, pos) AS depth FROM k),
+s AS (SELECT *, 1 - greatest(1.0::DOUBLE, ceil(depth * 0.02::DOUBLE)) / depth AS p FROM p), t AS (SELECT *, {_PMF.format(x='(depth - n)', r='depth', p='p')} AS hom, {_PMF.format(x='n', r='((depth + 1) // 2)', p='0.5::DOUBLE')} AS het, CASE WHEN p = 0 THEN 1.0::DOUBLE ELSE {_PMF.format(x='n', r='depth', p='p')} END AS noise FROM s),
+a AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY n DESC, call) AS i, bool_or(call[1] = '-') OVER (PARTITION BY chrom, pos) AS gone, CASE WHEN hom > het * (1 + 1e-9) AND hom > noise * (1 + 1e-9) THEN 'hom' WHEN het > hom * (1 + 1e-9) AND het > noise * (1 + 1e-9) THEN 'het' END AS kind FROM t WHERE call <> base),
+w AS (SELECT *, CASE WHEN gone THEN {' || '.join(_MD5_BASE.format(f'(pos + {j})') for j in range(1, 11))} ELSE '' END AS tail FROM a),
+g AS (SELECT chrom, pos, any_value(base) || any_value(tail) AS ref, string_agg(CASE call[1] WHEN '+' THEN base || substr(call, 2) || tail WHEN '-' THEN base ELSE call || tail END, ',' ORDER BY i) AS alt, list(i ORDER BY i) FILTER (kind IS NOT NULL) AS good, min(i) FILTER (kind = 'hom') AS hom, CAST(any_value(depth) AS BIGINT) AS dp, sum(n) AS other, count(*) AS alts, count(*) FILTER (call[1] IN ('+', '-')) AS indels, max(n) AS top FROM w GROUP BY chrom, pos)
+SELECT chrom, pos + 1 AS pos, ref, alt, CASE WHEN hom IS NOT NULL THEN hom || '/' || hom WHEN good IS NULL THEN '0/0' WHEN len(good) = 1 THEN '0/' || good[1] WHEN len(good) = 2 THEN good[1] || '/' || good[2] ELSE './.' END AS gt,
+ nullif(concat_ws(',', CASE WHEN good IS NULL THEN 'low_pred_call_germline' END, CASE WHEN alts + CASE WHEN dp > other THEN 1 ELSE 0 END > 3 THEN 'multi_alleles' END, CASE WHEN indels > 1 THEN 'multi_indel' END, CASE WHEN dp < 8 THEN 'min_depth' END, CASE WHEN top < 2 THEN 'min_abs_count' END), '') AS filters, dp FROM g""", _BL),
     "bam_tofasta": sql(_ALLELES.format(q=0) + f""", a AS (SELECT chrom, pos, call FROM c UNION ALL SELECT chrom, pos + 20 + i, '*' FROM (SELECT *, unnest(generate_series(0, 9)) AS i FROM am WHERE flag & 1796 = 0 AND event_id % 6 = 3)),
 k AS (SELECT chrom, pos, call, count(*) AS n FROM a GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY chrom, pos) AS depth FROM k), v AS (SELECT chrom, pos, max(depth) AS depth, list(call ORDER BY call) FILTER (n >= greatest(ceil(depth * 0.3), 2)) AS al, string_agg(call, '' ORDER BY call) FILTER (n >= greatest(ceil(depth * 0.3), 2) AND call IN ('A', 'C', 'G', 'T')) AS x FROM w GROUP BY chrom, pos),
 r AS (SELECT 'chr' || unnest([1, 2, 3, 4, 5]) AS chrom, p AS pos, substr('ACGTTGCAAGCT', p % 12 + 1, 1) AS base FROM range(21000) AS t(p)),

@@ -328,9 +328,9 @@ def _plain_calls(first, second, reference, error, least_depth, most_normal):
     def kind(a, n, somatic):
         noise = pv("background", a, n, error)
         if somatic:
-            return "present" if pv("present", a, n) > noise else ""
+            return "present" if pv("present", a, n) > noise * (1 + 1e-9) else ""
         hom, het = pv("hom", a, n, error), pv("het", a, n)
-        return "hom" if hom > het and hom > noise else "het" if het > hom and het > noise else ""
+        return "hom" if hom > max(het, noise) * (1 + 1e-9) else "het" if het > max(hom, noise) * (1 + 1e-9) else ""
 
     out = {}
     for pos, tally in first.items():
