@@ -118,8 +118,13 @@ def bonferroni(df: DataFrame, p: str = "pvalue") -> DataFrame:
 
 def value_blocks(counts: DataFrame, value: str, name: str, blocks: int) -> DataFrame:
     """Adds ``name``: the block of a value, by quantiles of the rows of ``counts``, so that blocks are even however values are spread."""
-    marks = counts.agg(F.percentile_approx(value, F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 10_000).alias("__cuts")) if blocks > 1 else counts.limit(0).agg(F.array().cast("array<double>").alias("__cuts"))
-    return counts.join(F.broadcast(marks)).withColumn(name, F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(value)))).drop("__cuts")
+    none = F.array().cast("array<double>")
+    marks = counts.agg(F.coalesce(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 10_000), none).alias("__cuts")) if blocks > 1 else counts.limit(0).agg(none.alias("__cuts"))
+    # every sixteenth cut first, then those behind it
+    marks = marks.withColumn("__coarse", F.filter("__cuts", lambda c, i: (i + 1) % 16 == 0))
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    rows = counts.join(F.broadcast(marks)).withColumn("__k", below(F.col("__coarse")) * 16)
+    return rows.withColumn(name, F.col("__k") + below(F.slice("__cuts", F.col("__k") + 1, F.lit(16)))).drop("__cuts", "__coarse", "__k")
 
 
 def ranks(df: DataFrame, value: str, blocks: int = 256) -> DataFrame:
