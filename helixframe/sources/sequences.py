@@ -11,7 +11,10 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
@@ -110,17 +113,77 @@ def parse_pileup(bases: str, quals: str, ref: str, least: int = 0) -> list[tuple
     return out
 
 
+#: Characters of bases that are turned into calls at once.
+PILEUP_CALLS = 200_000
+_KINDS = ("match", "gap", "skip", "ins", "del")
+
+
+def _pileup_codes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, call (its own character's code, 128 for the reference, 129 for none) and strand of each character that is a call by itself."""
+    kind, call, plus = np.zeros(128, np.int8), np.zeros(128, np.int32), np.zeros(128, bool)
+    for i in range(128):
+        c = chr(i)
+        kind[i] = 2 if c in "<>" else 1 if c in "*#" else 0
+        call[i] = 129 if c in "<>" else ord("*") if c in "*#" else 128 if c in ".," else ord(c.upper())
+        plus[i] = c in ">*." or c.isupper()
+    return kind, call, plus
+
+
+_CODES = _pileup_codes()
+
+
+def pileup_calls(bases: list[str], quals: list[str], refs: list[str], least: int = 0) -> pa.Array:
+    """``parse_pileup`` of many lines.  Lines without indels go by arrays."""
+    kinds, calls, plus, sizes = [], [], [], []
+    names = {"": 129, **{chr(i): i for i in range(128)}}
+    table = [*map(chr, range(128)), "", ""]
+
+    def code(call: str) -> int:
+        if call not in names:
+            names[call] = len(table)
+            table.append(call)
+        return names[call]
+
+    for b, q, r in zip(bases, quals, refs):
+        plain = re.sub(r"\^.|\$", "", b, flags=re.S)
+        if plain.isascii() and q.isascii() and not re.search(r"[+^-]", plain):
+            x = np.frombuffer(plain.encode(), np.uint8)
+            v = np.zeros(len(x), np.int16)
+            v[: len(q)] = np.frombuffer(q.encode(), np.uint8)[: len(x)]
+            fine = (v - 33 >= least) & (np.arange(len(x)) < len(q))
+            k, c, p = (t[x] for t in _CODES)
+            stays = fine | (k == 2)
+            k, c, p = k[stays], c[stays], p[stays]
+            if (c == 128).any():
+                c[c == 128] = code(r.upper())
+        else:
+            got = parse_pileup(b, q, r, least)
+            k = np.array([_KINDS.index(g[0]) for g in got], np.int8)
+            c = np.array([code(g[1]) for g in got], np.int32)
+            p = np.array([g[2] for g in got], bool)
+        kinds.append(k), calls.append(c), plus.append(p), sizes.append(len(k))
+    flat = lambda a, kind: np.concatenate(a) if a else np.empty(0, kind)
+    fields = [pa.array(_KINDS).take(pa.array(flat(kinds, np.int8))), pa.array(table).take(pa.array(flat(calls, np.int32))), pa.array(flat(plus, bool))]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.StructArray.from_arrays(fields, ["kind", "call", "plus"]))
+
+
 def read_pileup(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
     """chrom, pos (0-based), ref, depth, calls array<struct<kind,call,plus>> of a one-sample pileup."""
     c = F.split("value", "\t")
     rows = spark.read.text(path).select(c.alias("c")).where(F.size("c") >= 6)
     rows = rows.select(F.col("c")[0].alias("chrom"), (F.col("c")[1].cast("long") - 1).alias("pos"), F.col("c")[2].alias("ref"), F.col("c")[3].cast("long").alias("depth"), F.col("c")[4].alias("b"), F.col("c")[5].alias("q"))
 
-    @F.pandas_udf("array<struct<kind:string,call:string,plus:boolean>>")
-    def parse(b: pd.Series, q: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "call": x, "plus": p} for k, x, p in parse_pileup(*v, least)] for v in zip(b, q, r)])
-
-    return rows.select("chrom", "pos", "ref", "depth", parse("b", "q", "ref").alias("calls"))
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a deep line has many calls, so a batch of lines goes out in pieces
+            sizes = np.cumsum(pc.binary_length(batch["b"]).fill_null(0).to_numpy(zero_copy_only=False)) // PILEUP_CALLS
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                part = batch.slice(lo, hi - lo)
+                calls = pileup_calls(part["b"].to_pylist(), part["q"].to_pylist(), part["ref"].to_pylist(), least)
+                yield pa.RecordBatch.from_arrays([*(part[k] for k in ("chrom", "pos", "ref", "depth")), calls], ["chrom", "pos", "ref", "depth", "calls"])
+
+    return rows.mapInArrow(parse, "chrom string, pos long, ref string, depth long, calls array<struct<kind:string,call:string,plus:boolean>>")
 
 
 def read_matrix(text: str) -> tuple[str, dict[str, list[float]]]:

@@ -444,3 +444,11 @@ def test_phase_sides(spark):
 def test_sv_regions(spark):
     rows = spark.createDataFrame([("1", 100, "N", ["N]2:900]"], None, {}, 1.0, "x")], "chrom string, pos long, ref string, alt array<string>, filters array<string>, info map<string,string>, qual double, id string")
     assert sorted((r.chrom, r.end - r.start) for r in variants.sv_regions(rows, 10).collect()) == [("1", 21), ("2", 21)]
+
+
+def test_pileup_by_bins(spark):
+    """Blocks that cross bins, mates of one name, no names, empty blocks and sequences that are too short; no line is collected from rows of single bases."""
+    rows = [("b", 0, "c", 126, "4M", "ACGT"), ("a", 16, "c", 126, "4M", "GGGG"), ("a", 0, "c", 128, "0M2M", "TT"), (None, 0, "c", 129, "1M", "C"), ("d", 0, "c", 127, "3M", "AC"), ("e", 0, "c", -1, "2M", "AC"), ("f", 1024, "c", 0, "1M", "A"), ("g", 0, "k", 300, "1M", None)]
+    df = alignments.pileup(spark.createDataFrame(rows, "name string, flag int, chrom string, pos long, cigar string, seq string"))
+    assert sorted(map(tuple, df.collect())) == [("c", -1, 1, "A"), ("c", 0, 1, "C"), ("c", 126, 2, "gA"), ("c", 127, 3, "gCA"), ("c", 128, 4, "TgGC"), ("c", 129, 5, "CTgT"), ("k", 300, 1, "")]
+    assert "collect_list" not in df._jdf.queryExecution().executedPlan().toString()

@@ -194,3 +194,21 @@ def test_indexed_table(spark, tmp_path):
     got = X.read_regions(files, [("0", 100, 200), ("chr1", 100, 200), ("chr1", 150, 160)])
     want = {n: df.where(f"chrom = '{c}' and start < {b} and end > {a}").count() for n, (c, a, b) in enumerate([("chr0", 100, 200), ("chr1", 100, 200), ("chr1", 150, 160)])}
     assert {r.region: r["count"] for r in got.groupBy("region").count().collect()} == want
+
+
+def test_deep_pileup(spark, tmp_path):
+    """Calls by arrays are those of the parser; deep lines leave a task in pieces, not as one batch of all their calls."""
+    import random
+
+    rng = random.Random(3)
+    tokens = ["A", "c", "N", ".", ",", "*", "#", "<", ">", "^I", "^+", "^$", "$", "+2ag", "-3NNN", "="]
+    lines = [("".join(rng.choice(tokens[: 8 + 8 * (i % 2)]) for _ in range(rng.randrange(40))), "".join(chr(rng.randrange(33, 80)) for _ in range(rng.randrange(40))), rng.choice("acGT")) for i in range(400)]
+    got = Q.pileup_calls(*map(list, zip(*lines)), 10).to_pylist()
+    assert got == [[{"kind": k, "call": x, "plus": p} for k, x, p in Q.parse_pileup(*v, 10)] for v in lines]
+    deep = "".join(f"chr1\t{i}\tN\t50000\t{'Ac' * 25000}\t{'I' * 50000}\n" for i in range(1, 31))
+    rows = Q.read_pileup(spark, write(tmp_path, "deep", deep))
+    sizes = rows.mapInArrow(lambda bs: (b.select(["pos"]) for b in bs), "pos long")
+    assert sizes.count() == 30
+    assert rows.selectExpr("size(filter(calls, c -> c.call = 'C' and not c.plus)) n", "depth").distinct().collect() == [(25000, 50000)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan  # a scalar function returns a batch of lines as one
