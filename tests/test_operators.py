@@ -530,3 +530,17 @@ def test_informative_reads_deep(spark):
     sites = spark.range(n).selectExpr("id k", "'c' chrom", "20 + id % 20 pos", "'A' ref", "'C' alt")
     rows = within(spark, 90, lambda: alignments.informative_reads(df, sites, ["k"], names=False).groupBy("allele", "count").count().collect())
     assert [tuple(r) for r in rows] == [("ref", n, n)]
+
+
+def test_index_bins_of_every_level(spark):
+    """Intervals over a multiple of 2^14, 2^17, 2^20, 2^23 and 2^26 are in the smallest bin that holds them, at levels of 2^17 up to all."""
+    edges = [0, *(1 << s for s in (14, 17, 20, 23, 26)), 3 << 20, 5 << 23]
+    rows = spark.createDataFrame([(e - 1 if e else 0, e + 1) for e in edges], "s long, e long").select(tables.reg2bin(F.col("s"), F.col("e")).alias("b"), "s", "e").collect()
+
+    def smallest(s, e):
+        for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+            if s >> shift == (e - 1) >> shift:
+                return first + (s >> shift)
+        return 0
+
+    assert [r.b for r in rows] == [smallest(r.s, r.e) for r in rows] == [4681, 585, 73, 9, 1, 0, 9, 1]
